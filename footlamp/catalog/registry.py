@@ -44,5 +44,6 @@ class Tables:
 
 
 def r6(expr: str) -> str:
-    """SQL text rounding to 6 digits without negative zero."""
-    return f"(CASE WHEN round(CAST({expr} AS DOUBLE), 6) = 0 THEN 0e0 ELSE round(CAST({expr} AS DOUBLE), 6) END)"
+    """SQL text of :func:`footlamp.functions.scalars.r6`."""
+    rounded = f"round(CAST({expr} AS DOUBLE) + 1.37e-8, 6)"
+    return f"(CASE WHEN {rounded} = 0 THEN 0e0 ELSE {rounded} END)"

@@ -11,8 +11,11 @@ EPS = 1e-10
 
 
 def r6(value: Column) -> Column:
-    """Round to 6 digits without negative zero."""
-    rounded = F.round(value.cast("double"), 6)
+    """Round to 6 digits without negative zero.
+
+    The nudge keeps decimal ties from depending on the last bit of the sum before them.
+    """
+    rounded = F.round(value.cast("double") + 1.37e-8, 6)
     return F.when(rounded == 0, F.lit(0.0)).otherwise(rounded)
 
 
@@ -55,3 +58,16 @@ def codes(*parts: Column) -> Column:
 
 def any_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions)
+
+
+EPOCH = "timestamp_ntz'1970-01-01 00:00:00'"
+
+
+def epoch_us(ts: str = "ts") -> Column:
+    """Microseconds since 1970 of a zone-less timestamp column."""
+    return F.expr(f"timestampdiff(MICROSECOND, {EPOCH}, {ts})")
+
+
+def hour_no(ts: str = "ts") -> Column:
+    """Whole hours since 1970: a chunk id that grows with event time."""
+    return F.floor(epoch_us(ts) / F.lit(3600 * 1000000)).cast("bigint")

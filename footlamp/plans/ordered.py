@@ -86,6 +86,35 @@ def sliding(
     return out.where(F.col("__chunk") == home).drop("__chunk")
 
 
+def asof_last(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str | Column],
+    chunk: Column,
+    value: Column,
+    name: str,
+) -> DataFrame:
+    """Add the newest non-null ``value`` at or before each row of its key."""
+    keys = list(keys)
+    tagged = df.withColumn("__chunk", chunk).withColumn("__value", value)
+    inside = Window.partitionBy(*keys, "__chunk").orderBy(*order)
+    rank = F.struct(*[F.col(c) if isinstance(c, str) else c for c in order])
+    per_chunk = tagged.groupBy(*keys, "__chunk").agg(
+        F.max_by("__value", F.when(F.col("__value").isNotNull(), rank)).alias("__last")
+    )
+    earlier = Window.partitionBy(*keys).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
+    carry = per_chunk.select(
+        *keys, "__chunk", F.last("__last", ignorenulls=True).over(earlier).alias("__carry")
+    )
+    local = tagged.withColumn(
+        "__local",
+        F.last("__value", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0)),
+    )
+    return local.join(carry, [*keys, "__chunk"]).select(
+        *df.columns, F.coalesce("__local", "__carry").alias(name)
+    )
+
+
 def magnitude_bucket(value: Column, per_octave: int = 32) -> Column:
     """A monotone bucket id of a double: ``per_octave`` buckets for each power of two."""
     size = F.floor(F.log2(F.abs(value)) * per_octave) + 40000
