@@ -181,9 +181,10 @@ def frames(t: Tables) -> DataFrame:
     )
 
 
+# Positions are a running count: a filter on ``row_number() - 1`` loses rows in this DuckDB version.
 FRAMES_CTE = (
     "frame_src AS (SELECT label AS asset_id, embedding, "
-    "row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS frame_no FROM embeddings)"
+    "count(*) OVER (PARTITION BY label ORDER BY vec_id ROWS UNBOUNDED PRECEDING) - 1 AS frame_no FROM embeddings)"
 )
 PX_CTE = (
     FRAMES_CTE
@@ -224,7 +225,7 @@ def audio_blocks(t: Tables) -> DataFrame:
 
 
 BLOCK_CTE = """block AS (SELECT asset_id, hop, CAST(p - 1 AS INT) AS n, CAST(v AS DOUBLE) AS amp
-FROM (SELECT label AS asset_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS hop,
+FROM (SELECT label AS asset_id, count(*) OVER (PARTITION BY label ORDER BY vec_id ROWS UNBOUNDED PRECEDING) - 1 AS hop,
       unnest(embedding) AS v, generate_subscripts(embedding, 1) AS p FROM embeddings))"""
 
 # Spectrum of each block: periodic Hann window, 33 bins of 125 Hz.
@@ -260,7 +261,7 @@ def audio_samples(t: Tables) -> DataFrame:
 
 
 SAMPLE_CTE = """smp AS (SELECT user_id AS asset_id, CAST(event_id % 2 AS INT) AS ch,
-row_number() OVER (PARTITION BY user_id, event_id % 2 ORDER BY ts, event_id) - 1 AS n,
+count(*) OVER (PARTITION BY user_id, event_id % 2 ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) - 1 AS n,
 greatest(-1e0, least(1e0, (value - 100) / 330)) AS amp FROM events)"""
 
 

@@ -25,29 +25,21 @@ RETURNS = {
 }
 
 
-def frame_udf(fn: Callable[..., np.ndarray | float], returns: str, n_frames: int = 1) -> Callable[..., Column]:
+def frame_udf(fn: Callable[..., np.ndarray | float], returns: str) -> Callable[..., Column]:
     """Wrap ``fn(img, ...)`` on 2-D arrays as ``udf(array, ..., w, h)`` on packed columns.
 
     A null frame (no previous frame, say) is passed as None.
     """
     packed, kind = returns.startswith("array"), RETURNS[returns]
 
-    def one(arrays, w, h):
-        images = [None if a is None else np.asarray(a).reshape(h, w) for a in arrays]
-        out = fn(*images)
-        return out.ravel() if packed else out
-
-    if n_frames == 1:
-
-        @F.pandas_udf(kind)
-        def run(a: pd.Series, w: pd.Series, h: pd.Series) -> pd.Series:
-            return pd.Series([one((p,), i, j) for p, i, j in zip(a, w, h)])
-
-    else:
-
-        @F.pandas_udf(kind)
-        def run(a: pd.Series, b: pd.Series, w: pd.Series, h: pd.Series) -> pd.Series:
-            return pd.Series([one((p, q), i, j) for p, q, i, j in zip(a, b, w, h)])
+    @F.pandas_udf(kind)
+    def run(*columns: pd.Series) -> pd.Series:
+        *arrays, w, h = columns
+        out = []
+        for *row, i, j in zip(*arrays, w, h):
+            result = fn(*[None if a is None else np.asarray(a).reshape(j, i) for a in row])
+            out.append(result.ravel() if packed else result)
+        return pd.Series(out, dtype=object if packed else float)
 
     return run
 
@@ -214,6 +206,42 @@ def label_regions(mask: np.ndarray) -> np.ndarray:
         labels = low
 
 
+# Temporal -----------------------------------------------------------------------------------------
+
+# Keeps a weighted mean of equal integers from truncating to the integer below.
+TRUNC_GUARD = 1e-6
+
+
+def truncated(value: np.ndarray) -> np.ndarray:
+    return np.floor(value + TRUNC_GUARD).astype(np.int64)
+
+
+def motion_recent(img: np.ndarray, prev: np.ndarray | None, prev2: np.ndarray | None, threshold: float) -> np.ndarray:
+    """Motion against the last two frames, closed; with one earlier frame just its mask."""
+    if prev2 is None:
+        return motion(img, prev, threshold)
+    both = motion(img, prev, threshold) | motion(img, prev2, threshold)
+    return closed(both, ellipse(5))
+
+
+def lock_static(img: np.ndarray, moving: np.ndarray, background: np.ndarray) -> np.ndarray:
+    wide = dilate(dilate(moving.astype(bool), ellipse(7)), ellipse(7))
+    return np.where(wide, img, background)
+
+
+def smooth_static(img: np.ndarray, prev: np.ndarray | None, threshold: float, alpha: float) -> np.ndarray:
+    if prev is None:
+        return img
+    mixed = truncated((1 - alpha) * img + alpha * prev)
+    return np.where(motion(img, prev, threshold), img, mixed)
+
+
+def three_tap(img: np.ndarray, prev: np.ndarray | None, nxt: np.ndarray | None) -> np.ndarray:
+    if prev is None or nxt is None:
+        return img
+    return truncated(0.15 * prev + 0.70 * img + 0.15 * nxt)
+
+
 # Similarity and motion ----------------------------------------------------------------------------
 
 
@@ -316,6 +344,18 @@ def axis_weights(n: int, scale: int, method: str) -> np.ndarray:
     return out
 
 
+def tone_curve(img: np.ndarray, clip: float, tiles: int, gamma: float) -> np.ndarray:
+    flat = equalise_tiles(img, clip, tiles)
+    return truncated(np.power(flat / 255.0, 1.0 / gamma) * 255.0)
+
+
+def sharpen_soft(img: np.ndarray, sigma: float = 1.0) -> np.ndarray:
+    """Blend of a frame with its unsharp mask, each step held in 0..255."""
+    soft = weighted_sum(img, gaussian_kernel(7, sigma))
+    unsharp = np.clip(1.5 * img - 0.5 * soft, 0, 255)
+    return np.clip(0.7 * img + 0.3 * unsharp, 0, 255)
+
+
 def resample(img: np.ndarray, scale: int, method: str) -> np.ndarray:
     h, w = img.shape
     return axis_weights(h, scale, method) @ img.astype(np.float64) @ axis_weights(w, scale, method).T

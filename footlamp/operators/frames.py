@@ -434,7 +434,7 @@ def psnr(pairs: DataFrame) -> DataFrame:
 
 
 def ssim(pairs: DataFrame, win: int = 7) -> DataFrame:
-    similarity = K.frame_udf(lambda a, b: K.ssim(a, b, win), "double", 2)
+    similarity = K.frame_udf(lambda a, b: K.ssim(a, b, win), "double")
     per = pairs.select("asset_id", similarity("luma", "other", "w", "h").alias("s"))
     return per.groupBy("asset_id").agg(F.avg("s").alias("ssim_mean"), F.stddev_pop("s").alias("ssim_std"))
 
