@@ -122,10 +122,15 @@ def magnitude_bucket(value: Column, per_octave: int = 32) -> Column:
 
 
 def exact_percentiles(
-    df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float]
+    df: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    probs: dict[str, float | Callable[[Column], Column]],
 ) -> DataFrame:
     """Exact linear-interpolated percentiles per key for keys of any size.
 
+    A probability may also be a function from the key's row count to a 0-based rank.
+
     Equal values are counted first, a histogram finds the buckets that hold the wanted ranks, and
     only the distinct values in those buckets are ranked. ``percentile`` would hold every distinct
     value of a key in one task.
@@ -147,7 +152,8 @@ def exact_percentiles(
     )
     ranks, wanted = {}, F.lit(False)
     for name, p in probs.items():
-        pos = F.lit(float(p)) * (F.col("__total") - 1)
+        total = F.col("__total")
+        pos = p(total).cast("double") if callable(p) else F.lit(float(p)) * (total - 1)
         ranks[name] = (pos, F.floor(pos), F.ceil(pos))
         for rank in ranks[name][1:]:
             wanted = wanted | (
