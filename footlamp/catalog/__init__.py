@@ -4,7 +4,7 @@ from importlib import import_module
 
 from footlamp.catalog.registry import REGISTRY
 
-AREAS = ["validation", "planning", "jobs", "telemetry", "frames", "filters", "audio", "spectrum"]
+AREAS = ["validation", "planning", "jobs", "telemetry", "frames", "filters", "audio", "spectrum", "live"]
 
 for _area in AREAS:
     import_module(f"footlamp.catalog.{_area}")
