@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from footlamp.catalog.fixtures import frames
-from footlamp.catalog.frames import ENH, FR, canny, enhanced, nb, px, rounded
+from footlamp.catalog.frames import ENH, FR, canny, enhanced, nb, px, rounded, totals
 from footlamp.catalog.registry import query
 from footlamp.catalog.registry import r6 as S6
 from footlamp.functions.kernels import ellipse, gaussian_kernel
@@ -83,7 +83,7 @@ BACK = f"""bs AS (SELECT fr.* FROM fr JOIN tot USING (asset_id) WHERE frame_no %
 
 @query("frm22_background_model", f"WITH {FR}, {BACK} SELECT asset_id, CAST(i AS INT) AS p, background FROM bg")
 def frm22(t):
-    return O.background_model(frames(t), 20).select("asset_id", F.posexplode("background").alias("p", "background"))
+    return O.background_model(frames(t), 20, totals(t)).select("asset_id", F.posexplode("background").alias("p", "background"))
 
 
 @query("frm23_motion_mask", f"WITH {FL}, {motion_sql('P', 'm')} SELECT {K1}, {unpack()} FROM m, {GRID}")
@@ -111,7 +111,7 @@ def frm24(t):
 )
 def frm25(t):
     f = frames(t)
-    return to_pixels(O.background_lock(f, O.background_model(f, 20), 0.5))
+    return to_pixels(O.background_lock(f, O.background_model(f, 20, totals(t)), 0.5))
 
 
 @query(

@@ -92,7 +92,7 @@ def frm1(t):
     SELECT DISTINCT asset_id, frame_no FROM g""",
 )
 def frm1_linspace(t):
-    return O.sample_linspace(frames(t), 10).select("asset_id", "frame_no")
+    return O.sample_linspace(frames(t), 10, totals(t)).select("asset_id", "frame_no")
 
 
 @query("frm1_sample_every", f"WITH {FR} SELECT asset_id, frame_no FROM fr WHERE frame_no % 3 = 0 AND frame_no // 3 < 15")
@@ -105,7 +105,7 @@ def frm1_every(t):
     f"WITH {FR} SELECT asset_id, frame_no FROM fr JOIN tot USING (asset_id) WHERE frame_no % greatest(1, total // 50) = 0 AND frame_no // greatest(1, total // 50) < 50",
 )
 def frm1_stride(t):
-    return O.sample_stride(frames(t), 50).select("asset_id", "frame_no")
+    return O.sample_stride(frames(t), 50, totals(t)).select("asset_id", "frame_no")
 
 
 LIGHT = "l AS (SELECT asset_id, frame_no, avg(CASE WHEN luma / 255e0 > 0.85e0 THEN 1 ELSE 0 END) AS hi, avg(CASE WHEN luma / 255e0 < 0.15e0 THEN 1 ELSE 0 END) AS lo FROM px GROUP BY asset_id, frame_no)"
@@ -157,7 +157,7 @@ FEATURE_NUMS = ["highlight", "dark", "midtone", "edge_density", "frame_change",
 
 
 def features(t):
-    return O.structure_features(frames(t), N)
+    return O.structure_features(frames(t), N, total=totals(t))
 
 
 @query(

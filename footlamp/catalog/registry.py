@@ -7,6 +7,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from footlamp.session import ship_package
+
 Runner = Callable[[SparkSession, str], DataFrame]
 
 
@@ -26,7 +28,12 @@ def query(name: str, sql: str | None = None) -> Callable[[Callable], Callable]:
     def wrap(fn: Callable) -> Callable:
         if name in REGISTRY:
             raise ValueError(f"duplicate query {name}")
-        REGISTRY[name] = Query(name, lambda spark, sf: fn(Tables(spark, sf)), sql)
+
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship_package(spark)
+            return fn(Tables(spark, sf_dir))
+
+        REGISTRY[name] = Query(name, run, sql)
         return fn
 
     return wrap

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from footlamp.functions.scalars import EPS, clamp, db
+from footlamp.plans.joins import join_per_key
 from footlamp.plans.ordered import CHUNK, exact_percentiles, sliding
 
 KEY = ["asset_id", "ch"]
@@ -49,7 +50,7 @@ def signal_stats(samples: DataFrame) -> DataFrame:
     flip = F.coalesce((F.col("amp") < 0) != (F.col("__prev") < 0), F.lit(False))
     zcr = crossed.groupBy(*KEY).agg(F.avg(flip.cast("int")).alias("zcr"))
     quiet = (
-        mag.join(pct.select(*KEY, "p20"), KEY)
+        join_per_key(mag, pct.select(*KEY, "p20"), KEY, "n")
         .groupBy(*KEY)
         .agg(F.avg(F.when(F.col("mag") < F.col("p20"), F.col("mag"))).alias("__q"))
     )
@@ -92,7 +93,7 @@ def reverb_time(frames: DataFrame, hop: int = 512, rate: int = 22050, drop: floa
     peak = frames.groupBy("asset_id", "ch").agg(
         F.max_by("hop", F.struct("rms", -F.col("hop"))).alias("peak_hop"), F.max("rms").alias("top")
     )
-    later = frames.join(peak, KEY).where((F.col("hop") >= F.col("peak_hop")) & (F.col("rms") < F.col("top") / drop))
+    later = join_per_key(frames, peak, KEY, "hop").where((F.col("hop") >= F.col("peak_hop")) & (F.col("rms") < F.col("top") / drop))
     found = later.groupBy(*KEY).agg(F.min(F.col("hop") - F.col("peak_hop")).alias("__d"))
     rt = F.coalesce(F.least(F.col("__d") * hop / float(rate), F.lit(5.0)), F.lit(1.5))
     return (
@@ -108,7 +109,7 @@ def reverb_time(frames: DataFrame, hop: int = 512, rate: int = 22050, drop: floa
 def noise_floor(frames: DataFrame) -> DataFrame:
     """Mean of the quietest tenth of the frames in dB, not below -80."""
     p = exact_percentiles(frames, KEY, "rms", {"p10": 0.10})
-    quiet = frames.join(p, KEY).where(F.col("rms") <= F.col("p10"))
+    quiet = join_per_key(frames, p, KEY, "hop").where(F.col("rms") <= F.col("p10"))
     level = quiet.groupBy(*KEY).agg(F.avg("rms").alias("__m"))
     return level.select(*KEY, F.coalesce(F.greatest(db(F.col("__m") + EPS), F.lit(-80.0)), F.lit(-60.0)).alias("noise_floor_db"))
 
@@ -216,7 +217,7 @@ def loudness_range(samples: DataFrame, size: int = 4800, hop: int = 2400) -> Dat
     A frame that ends exactly at the last sample is not counted; silent frames are dropped.
     """
     lv = _levels(samples)
-    f = frame_rms(samples, size, hop).join(lv.select(*KEY, "n_samples"), KEY)
+    f = join_per_key(frame_rms(samples, size, hop), lv.select(*KEY, "n_samples"), KEY, "hop")
     f = f.where((F.col("hop") * hop < F.col("n_samples") - size) & (F.col("rms") > 0))
     p = exact_percentiles(f.withColumn("level", db(F.col("rms"))), KEY, "level", {"hi": 0.95, "lo": 0.10})
     df = lv.join(p, KEY, "left")
@@ -242,12 +243,45 @@ def volume_consistency(samples: DataFrame) -> DataFrame:
 # Lag products -------------------------------------------------------------------------------------
 
 
+SHORT_RANGE = 64
+
+
 def lag_sums(pairs: DataFrame, keys: list[str], a: str, b: str, max_lag: int, min_lag: int = 0, size: int = CHUNK) -> DataFrame:
     """Sums of products of a[n] and b[n + lag] for every lag, as one row per key and lag.
 
-    A key is cut into chunks of ``size`` samples that also see the neighbours they need; each chunk is
-    one numpy task and only its few sums are shuffled.
+    A key is cut into chunks that also see the neighbours they need. Up to ``SHORT_RANGE`` lags, the
+    neighbours are window leads; beyond, each chunk is one numpy task. Either way only a few sums per
+    chunk are shuffled.
     """
+    if max_lag - min_lag < SHORT_RANGE:
+        return _lag_sums_window(pairs, keys, a, b, max_lag, min_lag, size)
+    return _lag_sums_chunks(pairs, keys, a, b, max_lag, min_lag, size)
+
+
+def _lag_sums_window(pairs: DataFrame, keys: list[str], a: str, b: str, max_lag: int, min_lag: int, size: int) -> DataFrame:
+    df = pairs.select(*keys, "n", F.col(a).alias("a"), F.col(b).alias("b"))
+
+    def make(w):
+        return {
+            "__near": F.array(
+                *[
+                    F.struct(F.lit(k).alias("lag"), F.lead("n", k).over(w).alias("n"), F.lead("b", k).over(w).alias("b"))
+                    for k in range(min_lag, max_lag + 1)
+                ]
+            )
+        }
+
+    near = sliding(df, keys, "n", make, before=max(0, -min_lag), after=max(0, max_lag), size=size)
+    cells = near.select(*keys, "n", "a", F.explode("__near").alias("o"))
+    hit = cells.where(F.col("o.n") == F.col("n") + F.col("o.lag")).select(*keys, "o.lag", "a", "o.b")
+    u, v = F.col("a"), F.col("b")
+    return hit.groupBy(*keys, "lag").agg(
+        F.count(F.lit(1)).alias("m"), F.sum(u).alias("sa"), F.sum(v).alias("sb"),
+        F.sum(u * u).alias("saa"), F.sum(v * v).alias("sbb"), F.sum(u * v).alias("sab"),
+    )
+
+
+def _lag_sums_chunks(pairs: DataFrame, keys: list[str], a: str, b: str, max_lag: int, min_lag: int, size: int) -> DataFrame:
     reach = max(abs(min_lag), abs(max_lag))
     first = F.greatest(F.lit(0), F.floor((F.col("n") - reach) / size)).cast("bigint")
     last = F.floor((F.col("n") + reach) / size).cast("bigint")
@@ -339,7 +373,7 @@ def loudness_normalise(samples: DataFrame, target: float = -23.0) -> DataFrame:
     lv = lv.withColumn("__top", F.when(F.col("rms") > 0, shape(F.col("peak"))).otherwise(F.col("peak")))
     scale = F.when((F.col("rms") > 0) & (F.col("__top") > 0.99), F.lit(0.95) / F.col("__top")).otherwise(1.0)
     lv = lv.select(*KEY, "rms", "gain", scale.alias("__scale"))
-    df = samples.join(lv, KEY)
+    df = join_per_key(samples, lv, KEY, "n")
     out = F.when(F.col("rms") > 0, shape(F.col("amp")) * F.col("__scale")).otherwise(F.col("amp"))
     return df.select(*KEY, "n", out.alias("amp"))
 
@@ -414,7 +448,7 @@ def compress_envelope(samples: DataFrame, venue: str = "medium", rate: int = 220
         (F.max(F.abs("out")) / (F.sqrt(F.avg(F.col("out") * F.col("out"))) + EPS)).alias("__c1"),
     )
     fix = F.when(F.col("__c1") > 0, clamp(F.col("__c0") / F.col("__c1"), 0.8, 1.2)).otherwise(1.0)
-    return df.join(lv, KEY).select(*KEY, "n", (F.col("out") * fix).alias("amp"))
+    return join_per_key(df, lv, KEY, "n").select(*KEY, "n", (F.col("out") * fix).alias("amp"))
 
 
 def smooth_and_normalise(samples: DataFrame, target: float = 0.95) -> DataFrame:
@@ -433,7 +467,7 @@ def scale_peak(df: DataFrame, keys: list[str], cols: list[str], target: float =
     top = F.greatest(*[F.abs(c) for c in cols]) if len(cols) > 1 else F.abs(cols[0])
     lv = df.groupBy(*keys).agg(F.max(top).alias("__p"))
     k = F.when(F.col("__p") > target, F.lit(target) / F.col("__p")).otherwise(1.0)
-    out = df.join(lv, keys)
+    out = join_per_key(df, lv, keys, "n")
     for c in cols:
         out = out.withColumn(c, F.col(c) * k)
     return out.drop("__p")
@@ -479,7 +513,7 @@ def spatial_adjust(pairs: DataFrame, rate: int, venue: str = "medium", focus: fl
     )
     c = df.groupBy("asset_id").agg(F.corr("l", "r").alias("__c"))
     flip = F.when(F.col("__c") < -0.5, -F.col("r")).otherwise(F.col("r"))
-    return df.join(c, "asset_id").select("asset_id", "n", "l", flip.alias("r"))
+    return join_per_key(df, c, ["asset_id"], "n").select("asset_id", "n", "l", flip.alias("r"))
 
 
 def shift_audio(samples: DataFrame, delay_ms: float, rate: int) -> DataFrame:
@@ -492,7 +526,7 @@ def shift_audio(samples: DataFrame, delay_ms: float, rate: int) -> DataFrame:
         pad = keys.select(*KEY, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(d - 1).cast("bigint"))).alias("n"), F.lit(0.0).alias("amp"))
         return samples.withColumn("n", F.col("n") + d).unionByName(pad)
     total = samples.groupBy(*KEY).agg((F.max("n") + 1).alias("__t"))
-    df = samples.join(total, KEY)
+    df = join_per_key(samples, total, KEY, "n")
     short = F.lit(-d) >= F.col("__t")
     kept = df.where(short | (F.col("n") >= -d))
     return kept.select(*KEY, F.when(short, F.col("n")).otherwise(F.col("n") + d).alias("n"), "amp")
@@ -508,7 +542,7 @@ def split_sources(samples: DataFrame) -> DataFrame:
     y = F.coalesce("l", "r")
     both = F.col("l").isNotNull() & F.col("r").isNotNull()
     return (
-        side.join(lone, "asset_id")
+        join_per_key(side, lone, ["asset_id"], "n")
         .where(mono | both)
         .select(
             "asset_id",
@@ -527,7 +561,7 @@ def remix(dialogue: DataFrame, music: DataFrame, dialogue_db: float = 0.0, music
     df = df.select("asset_id", "n", (F.col("amp") * a + F.coalesce("__m", F.lit(0.0)) * b).alias("amp"))
     top = df.groupBy("asset_id").agg(F.max(F.abs("amp")).alias("__p"))
     k = F.when(F.col("__p") > 0, F.lit(10 ** (-headroom_db / 20)) / F.col("__p")).otherwise(1.0)
-    return df.join(top, "asset_id").select("asset_id", "n", (F.col("amp") * k).alias("amp"))
+    return join_per_key(df, top, ["asset_id"], "n").select("asset_id", "n", (F.col("amp") * k).alias("amp"))
 
 
 # Choices ------------------------------------------------------------------------------------------
@@ -557,8 +591,8 @@ def noise_result(gain: DataFrame) -> DataFrame:
 
 
 def choose_dynamics(stats: DataFrame) -> DataFrame:
-    """Compressor settings; compression is needed above a crest of 20 dB."""
-    hard = (F.col("crest_db") > 20) | (F.col("crest_db") > 18)
+    """Compressor settings: firm above 18 dB of crest, else gentle."""
+    hard = F.col("crest_db") > 18
     return stats.select(
         *KEY,
         F.when(hard, -18).otherwise(-20).alias("threshold_db"),

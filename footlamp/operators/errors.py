@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from footlamp.functions.scalars import any_of, codes
@@ -182,27 +182,39 @@ def error_stats(resolved: DataFrame) -> DataFrame:
 
 
 def recovery_metrics(attempts: DataFrame, sessions: DataFrame, since: Column) -> DataFrame:
-    """One row of recovery figures since a point in time; no input gives the fixed defaults."""
+    """One row of recovery figures since a point in time; no input gives the fixed defaults.
+
+    Grouping sets read the attempts once; their few result rows and the session row fold into one.
+    """
     a, s = attempts.where(F.col("ts") >= since), sessions.where(F.col("ts") >= since)
-    per_category = a.groupBy("category").agg(F.count(F.lit(1)).alias("n"))
-    per_action = a.groupBy("action").agg(F.avg(F.col("success").cast("int")).alias("share"))
-    # four one-row tables meet on a constant key
-    one = F.lit(1).alias("__k")
-    top_category = per_category.agg(
-        F.max_by("category", F.struct("n", -_rank("category", CATEGORIES))).alias("most_common_category")
-    ).select(one, "*")
-    top_action = per_action.agg(
-        F.max_by("action", F.struct("share", -_rank("action", ACTIONS))).alias("best_action")
-    ).select(one, "*")
-    at = a.agg(
-        F.count(F.lit(1)).alias("total_attempts"),
-        F.avg(F.col("success").cast("int")).alias("success_rate"),
-        F.avg("duration_s").alias("avg_recovery_s"),
-    ).select(one, "*")
-    st = s.agg(
-        F.count(F.lit(1)).alias("total_errors"), F.avg(F.col("has_checkpoint").cast("int")).alias("checkpoint_rate")
-    ).select(one, "*")
-    df = at.join(st, "__k").join(top_category, "__k").join(top_action, "__k")
+    ok = F.avg(F.col("success").cast("int"))
+    per = a.groupingSets([["category"], ["action"], []], "category", "action").agg(
+        F.count(F.lit(1)).alias("n"), ok.alias("share"), F.avg("duration_s").alias("seconds"), F.grouping_id().cast("int").alias("level")
+    )
+    of_sessions = s.agg(
+        F.lit(None).cast("string").alias("category"),
+        F.lit(None).cast("string").alias("action"),
+        F.count(F.lit(1)).alias("n"),
+        F.avg(F.col("has_checkpoint").cast("int")).alias("share"),
+        F.lit(None).cast("double").alias("seconds"),
+        F.lit(-1).alias("level"),
+    )
+    level = F.col("level")
+
+    def only(value: int, c: str) -> Column:
+        return F.max(F.when(level == value, F.col(c)))
+
+    by_count = F.when(level == 1, F.struct("n", -_rank("category", CATEGORIES)))
+    by_share = F.when(level == 2, F.struct("share", -_rank("action", ACTIONS)))
+    df = per.unionByName(of_sessions).agg(
+        F.coalesce(only(3, "n"), F.lit(0)).alias("total_attempts"),
+        only(3, "share").alias("success_rate"),
+        only(3, "seconds").alias("avg_recovery_s"),
+        F.coalesce(only(-1, "n"), F.lit(0)).alias("total_errors"),
+        only(-1, "share").alias("checkpoint_rate"),
+        F.max_by("category", by_count).alias("most_common_category"),
+        F.max_by("action", by_share).alias("best_action"),
+    )
     some = (F.col("total_attempts") > 0) & (F.col("total_errors") > 0)
 
     def kept(c: Column | str, default) -> Column:
@@ -222,18 +234,13 @@ def recovery_metrics(attempts: DataFrame, sessions: DataFrame, since: Column) ->
 
 
 def session_shares(sessions: DataFrame, since: Column) -> DataFrame:
-    """Share of sessions by operation and by stage."""
+    """Share of sessions by operation and by stage; the window runs over the few result rows."""
     s = sessions.where(F.col("ts") >= since)
-    per = s.groupingSets([["operation"], ["stage"], []], "operation", "stage").agg(
+    per = s.groupingSets([["operation"], ["stage"]], "operation", "stage").agg(
         F.count(F.lit(1)).alias("n"), F.grouping_id().alias("level")
     )
-    total = per.where("level = 3").select(F.lit(1).alias("__k"), F.col("n").alias("__total"))
-    return (
-        per.where("level <> 3")
-        .withColumn("__k", F.lit(1))
-        .join(total, "__k")
-        .select("operation", "stage", "n", (F.col("n") / F.col("__total")).alias("share"))
-    )
+    total = F.sum("n").over(Window.partitionBy("level"))
+    return per.select("operation", "stage", "n", (F.col("n") / total).alias("share"))
 
 
 def recovery_report(sessions: DataFrame, since: Column, n: int = 10) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from footlamp.functions import kernels as K
 from footlamp.operators.frames import KEY, sample_stride, with_previous
+from footlamp.plans.joins import broadcast_checked, join_per_key
 from footlamp.plans.ordered import sliding
 
 # Share of the earlier frame by strength.
@@ -37,14 +38,14 @@ def pack(pixels: DataFrame, keys: list[str], value: str) -> DataFrame:
 # Background and motion ----------------------------------------------------------------------------
 
 
-def background_model(frames: DataFrame, n: int = 50) -> DataFrame:
+def background_model(frames: DataFrame, n: int = 50, total: DataFrame | None = None) -> DataFrame:
     """Median of at most ``n`` softly blurred frames per pixel, truncated; one packed row per asset."""
     soft = K.gaussian_kernel(3, 0.5)
 
     def blur(img):
         return np.floor(K.weighted_sum(img, soft) + 0.5).astype(np.int64)
 
-    s = apply_kernel(sample_stride(frames, n), blur, "array<int>")
+    s = apply_kernel(sample_stride(frames, n, total), blur, "array<int>")
     px = s.select("asset_id", "w", "h", F.posexplode("luma").alias("p", "v"))
     med = px.groupBy("asset_id", "w", "h", "p").agg(F.floor(F.percentile("v", F.lit(0.5))).cast("int").alias("background"))
     return pack(med, ["asset_id", "w", "h"], "background")
@@ -65,7 +66,7 @@ def motion_mask_multi(frames: DataFrame, threshold: float = 0.05) -> DataFrame:
 def background_lock(frames: DataFrame, background: DataFrame, threshold: float = 0.05) -> DataFrame:
     """Static pixels take the background value of their asset."""
     df = motion_mask_multi(frames, threshold).drop("prev", "prev2")
-    df = df.join(background.select("asset_id", "background"), "asset_id")
+    df = join_per_key(df, background.select("asset_id", "background"), ["asset_id"], "frame_no", spread=8)
     return apply_kernel(df, K.lock_static, "array<int>", "luma", "motion", "background").drop("background")
 
 
@@ -95,7 +96,9 @@ def temporal_in_place(frames: DataFrame, chunk: int = 256, warm: int = 48, block
     """
     last = frames.groupBy("asset_id").agg(F.max("frame_no").alias("last"))
     n_blocks = F.ceil(F.size("luma") / block).cast("int")
-    df = frames.join(last, "asset_id").withColumn("block", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
+    small = broadcast_checked(last)
+    df = frames.join(small, "asset_id") if small is not None else join_per_key(frames, last, ["asset_id"], "frame_no")
+    df = df.withColumn("block", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
     df = df.withColumn("luma", F.slice("luma", F.col("block") * block + 1, F.lit(block)))
     lo = F.greatest(F.lit(0), F.floor((F.col("frame_no") - 1) / chunk))
     hi = F.floor((F.col("frame_no") + warm) / chunk)

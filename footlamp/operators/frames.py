@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from footlamp.functions import kernels as K
 from footlamp.functions.pixels import at, explode_pixels, laplacian, sobel_magnitude
 from footlamp.functions.scalars import clamp
+from footlamp.plans.joins import broadcast_checked, join_per_key
 from footlamp.plans.ordered import sliding
 
 KEY = ["asset_id", "frame_no"]
@@ -25,23 +26,31 @@ edge_share = K.frame_udf(K.edge_share, "double")
 # Sampling -----------------------------------------------------------------------------------------
 
 
-def _with_total(frames: DataFrame) -> DataFrame:
-    total = frames.groupBy("asset_id").agg((F.max("frame_no") + 1).alias("total"))
-    return frames.join(total, "asset_id")
+def _with_total(frames: DataFrame, total: DataFrame | None) -> DataFrame:
+    """Add ``total``, the frame count of the asset, without moving packed frames if avoidable.
+
+    ``total`` is (asset_id, total) when the asset table already knows it.
+    """
+    if total is None:
+        total = frames.groupBy("asset_id").agg((F.max("frame_no") + 1).alias("total"))
+    small = broadcast_checked(total)
+    if small is not None:
+        return frames.join(small, "asset_id")
+    return join_per_key(frames, total, ["asset_id"], "frame_no")
 
 
 def sample_frames(frames: DataFrame, n: int, total: DataFrame | None = None) -> DataFrame:
     """All frames when there are at most ``n``, else every ``total // n``-th; adds ``sample_no``."""
-    df = _with_total(frames) if total is None else frames.join(total, "asset_id")
+    df = _with_total(frames, total)
     step = F.greatest(F.lit(1), F.floor(F.col("total") / n)).cast("bigint")
     idx = F.floor(F.col("frame_no") / step).cast("bigint")
     keep = (F.col("frame_no") % step == 0) & ((F.col("total") <= n) | (idx < n))
     return df.where(keep).withColumn("sample_no", idx)
 
 
-def sample_linspace(frames: DataFrame, n: int = 10) -> DataFrame:
+def sample_linspace(frames: DataFrame, n: int = 10, total: DataFrame | None = None) -> DataFrame:
     """Frames at the truncated points of an even grid from first to last."""
-    df = _with_total(frames)
+    df = _with_total(frames, total)
     step = (F.col("total") - 1) / F.lit(float(n - 1))
     grid = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: (i * step).cast("bigint"))
     return df.where(F.array_contains(grid, F.col("frame_no")))
@@ -53,9 +62,9 @@ def sample_every(frames: DataFrame, step: int, limit: int) -> DataFrame:
     return frames.where((F.col("frame_no") % step == 0) & (idx < limit)).withColumn("sample_no", idx)
 
 
-def sample_stride(frames: DataFrame, n: int = 50) -> DataFrame:
+def sample_stride(frames: DataFrame, n: int = 50, total: DataFrame | None = None) -> DataFrame:
     """The first ``n`` frames at stride max(1, total // n)."""
-    df = _with_total(frames)
+    df = _with_total(frames, total)
     step = F.greatest(F.lit(1), F.floor(F.col("total") / n)).cast("bigint")
     idx = F.floor(F.col("frame_no") / step).cast("bigint")
     return df.where((F.col("frame_no") % step == 0) & (idx < n)).withColumn("sample_no", idx)
@@ -129,14 +138,15 @@ def frame_change(frames: DataFrame, seq: str = "sample_no") -> DataFrame:
 
 
 def noise_score(frames: DataFrame) -> DataFrame:
-    px = explode_pixels(frames.select(*KEY, "w", "h", "luma"))
-    per = px.groupBy(*KEY).agg(F.least(F.lit(1.0), F.var_pop(laplacian()) / 1000.0).alias("n"))
+    # a moment aggregate reads its argument many times, so the stencil is computed in a projection first
+    px = explode_pixels(frames.select(*KEY, "w", "h", "luma")).select(*KEY, laplacian().alias("lap"))
+    per = px.groupBy(*KEY).agg(F.least(F.lit(1.0), F.var_pop("lap") / 1000.0).alias("n"))
     return per.groupBy("asset_id").agg(F.avg("n").alias("noise_score"))
 
 
-def structure_features(frames: DataFrame, n: int = 20, fps: float = 25.0) -> DataFrame:
+def structure_features(frames: DataFrame, n: int = 20, fps: float = 25.0, total: DataFrame | None = None) -> DataFrame:
     """The feature record of an asset: every measure in one pass over its sampled frames."""
-    sampled = with_previous(sample_frames(frames, n), "sample_no")
+    sampled = with_previous(sample_frames(frames, n, total), "sample_no")
     sampled = sampled.withColumn("edges", edge_share("luma", "w", "h"))
     per = frame_measures(sampled)
     out = per.groupBy("asset_id").agg(
@@ -210,7 +220,8 @@ def blockiness(frames: DataFrame, block: int = 8, limit: int = 100, wrap: bool =
 
     total = F.when(used & last_x, step(0, 1)).otherwise(0) + F.when(used & last_y, step(1, 0)).otherwise(0)
     n = F.least(F.lit(limit), F.greatest(cols * rows, F.lit(0)))
-    per = px.groupBy(*KEY).agg(F.sum(total).alias("__t"), F.max(n).alias("__n"))
+    px = px.select(*KEY, total.alias("t"), n.alias("n"))
+    per = px.groupBy(*KEY).agg(F.sum("t").alias("__t"), F.max("n").alias("__n"))
     score = F.col("__t") / block / 255.0 / F.greatest(F.col("__n"), F.lit(1))
     return per.select(*KEY, score.alias("blockiness"))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from footlamp.plans.joins import join_per_key
 from footlamp.plans.ordered import number_rows, running_sums, sliding
 
 BLOCK = 65536
@@ -32,7 +33,7 @@ def plan_time_segments(jobs: DataFrame, seconds: str, length_s: float) -> DataFr
 
 def segments_to_timeline(frames: DataFrame, jobs: DataFrame, n: int, total: str) -> DataFrame:
     """Segment range of each frame: the range join is an equi-join because the index is computed."""
-    df = frames.join(jobs.select("job_id", F.col(total).cast("bigint").alias("__total")), "job_id")
+    df = join_per_key(frames, jobs.select("job_id", F.col(total).cast("bigint").alias("__total")), ["job_id"], "frame_no", spread=8)
     df = df.where((F.col("frame_no") >= 0) & (F.col("frame_no") < F.col("__total")))
     idx = F.floor(F.col("frame_no") / n).cast("bigint")
     return (
@@ -80,9 +81,8 @@ def merge_order(segments: DataFrame, audio: DataFrame) -> DataFrame:
     """Offsets of the successful segments in index order, cut at the shorter of video and audio."""
     good = segments.where(F.col("status") == "completed")
     placed = running_sums(good, ["job_id"], ["segment_idx"], _block("segment_idx"), {"end": F.col("frames").cast("bigint")})
-    df = placed.withColumn("offset", F.col("end") - F.col("frames")).join(
-        audio.select("job_id", "audio_frames"), "job_id"
-    )
+    df = placed.withColumn("offset", F.col("end") - F.col("frames"))
+    df = join_per_key(df, audio.select("job_id", "audio_frames"), ["job_id"], "segment_idx", spread=8)
     kept = F.greatest(F.lit(0), F.least("end", "audio_frames") - F.col("offset"))
     return df.withColumn("frames_kept", kept)
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from footlamp.functions.scalars import clamp, codes, lookup, trunc
+from footlamp.plans.joins import join_per_key
 from footlamp.plans.ordered import running_sums
 
 HD, FULL_HD, UHD = 1280 * 720, 1920 * 1080, 3840 * 2160
@@ -375,7 +376,7 @@ def space_check(files: DataFrame, volumes: DataFrame) -> DataFrame:
     )
     need = F.col("size_bytes").cast("double") * 4
     return (
-        queued.join(volumes, "volume")
+        join_per_key(queued, volumes, ["volume"], "file_id")
         .withColumn("fits_alone", F.col("free_bytes") > need * 1.2)
         .withColumn("fits_in_queue", F.col("free_bytes") > F.col("queued_bytes").cast("double") * 1.2)
     )

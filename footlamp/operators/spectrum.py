@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from footlamp.functions.scalars import EPS, clamp, db
+from footlamp.plans.joins import join_per_key
 from footlamp.plans.ordered import exact_percentiles, number_rows, sliding
 
 BLOCK = 1024
@@ -68,13 +69,23 @@ def _inverse(mag: pd.Series, phase: pd.Series) -> pd.Series:
 
 
 def frame_samples(samples: DataFrame, keys: list[str], size: int, hop: int) -> DataFrame:
-    """Complete frames of ``size`` samples at every ``hop``, packed in sample order."""
-    first = F.greatest(F.lit(0), F.ceil((F.col("n") - size + 1) / hop)).cast("bigint")
-    last = F.floor(F.col("n") / hop).cast("bigint")
-    spread = samples.select(*keys, "n", "amp", F.explode(F.sequence(first, last)).alias("hop"))
+    """Complete frames of ``size`` samples at every ``hop`` (a divisor of it), packed in sample order.
+
+    Samples are packed once per hop block and frames are joined from neighbouring blocks, so each
+    sample is shuffled once as a row and not once per frame that contains it.
+    """
+    k = size // hop
     cells = F.array_sort(F.collect_list(F.struct("n", "amp")))
-    packed = spread.groupBy(*keys, "hop").agg(F.transform(cells, lambda c: c["amp"]).alias("samples"))
-    return packed.where(F.size("samples") == size)
+    blocks = samples.groupBy(*keys, F.floor(F.col("n") / hop).cast("bigint").alias("hop")).agg(
+        F.transform(cells, lambda c: c["amp"]).alias("part")
+    )
+
+    def make(w):
+        parts = [F.when(F.lead("hop", i).over(w) == F.col("hop") + i, F.lead("part", i).over(w)) for i in range(1, k)]
+        return {"samples": F.concat(F.col("part"), *parts) if parts else F.col("part")}
+
+    framed = sliding(blocks, keys, "hop", make, after=max(k - 1, 0), size=BLOCK)
+    return framed.where(F.size("samples") == size).select(*keys, "hop", "samples")
 
 
 def stft(blocks: DataFrame) -> DataFrame:
@@ -119,7 +130,7 @@ def ambient_profile(blocks: DataFrame, step: float) -> DataFrame:
     level = F.sqrt(F.aggregate("samples", F.lit(0.0), lambda a, v: a + v * v) / F.size("samples"))
     leveled = blocks.withColumn("rms", level)
     p = exact_percentiles(leveled, ["asset_id"], "rms", {"p20": 0.20})
-    quiet = leveled.join(p, "asset_id").where(F.col("rms") <= F.col("p20")).select("asset_id", "hop", "samples")
+    quiet = join_per_key(leveled, p, ["asset_id"], "hop").where(F.col("rms") <= F.col("p20")).select("asset_id", "hop", "samples")
     m = mean_spectrum(stft(quiet), step)
     f = F.col("freq")
     return m.groupBy("asset_id").agg(
@@ -193,7 +204,7 @@ def spectral_descriptors(spectra: DataFrame, step: float) -> DataFrame:
     )
     cells = bins(spectra, step)
     k = exact_percentiles(cells, ["asset_id"], "mag", {"edge": lambda n: F.greatest(F.lit(0), F.floor(n * 0.1) - 1)})
-    lv = cells.join(k, "asset_id").groupBy("asset_id").agg(
+    lv = join_per_key(cells, k, ["asset_id"], "hop").groupBy("asset_id").agg(
         F.avg("mag").alias("signal"),
         F.floor(F.count(F.lit(1)) * 0.1).alias("__k"),
         F.sum(F.when(F.col("mag") < F.col("edge"), F.col("mag")).otherwise(0.0)).alias("__s"),
@@ -259,7 +270,7 @@ def noise_profile(blocks: DataFrame, step: float, rate: int) -> DataFrame:
     px = blocks.select("asset_id", (F.col("hop") * size).alias("__o"), F.posexplode("samples").alias("i", "amp"))
     px = px.select("asset_id", (F.col("__o") + F.col("i")).alias("n"), "amp", F.abs("amp").alias("mag"))
     p = exact_percentiles(px, ["asset_id"], "mag", {"p20": 0.20})
-    quiet = px.join(p, "asset_id").where(F.col("mag") < F.col("p20")).select("asset_id", "n", "amp")
+    quiet = join_per_key(px, p, ["asset_id"], "n").where(F.col("mag") < F.col("p20")).select("asset_id", "n", "amp")
     seq = number_rows(quiet, ["asset_id"], ["n"], F.floor(F.col("n") / 65536).cast("bigint"), "m").where(F.col("m") < 2 * rate)
     length = int(round(rate / step))
     framed = frame_samples(seq.select("asset_id", F.col("m").alias("n"), "amp"), ["asset_id"], length, length)
@@ -267,7 +278,7 @@ def noise_profile(blocks: DataFrame, step: float, rate: int) -> DataFrame:
     spectra = stft(blocks).withColumn("energy", F.aggregate("mag", F.lit(0.0), lambda a, v: a + v * v))
     rest = spectra.join(main.select("asset_id").distinct(), "asset_id", "left_anti")
     e = exact_percentiles(rest, ["asset_id"], "energy", {"p10": 0.10})
-    low = rest.join(e, "asset_id").where(F.col("energy") < F.col("p10")).drop("energy", "p10")
+    low = join_per_key(rest, e, ["asset_id"], "hop").where(F.col("energy") < F.col("p10")).drop("energy", "p10")
     return main.unionByName(mean_spectrum(low, step))
 
 
@@ -383,7 +394,7 @@ def spectral_gate(spectra: DataFrame, noise_floor_db: float = -60.0, strength: f
         g = F.when(ratio > 1.0, 1.0).otherwise(F.pow(ratio, F.lit(1.0 + strength)))
         return m * F.greatest(g, F.lit(least))
 
-    return spectra.join(limits, "asset_id").withColumn("mag", F.zip_with("mag", "__t", gate)).drop("__t")
+    return join_per_key(spectra, limits, ["asset_id"], "hop").withColumn("mag", F.zip_with("mag", "__t", gate)).drop("__t")
 
 
 def spectral_gain(spectra: DataFrame, step: float, table: list[tuple[float, float, float]]) -> DataFrame:
@@ -452,7 +463,7 @@ def onsets(spectra: DataFrame) -> DataFrame:
     near = sliding(df, ["asset_id"], "hop", lambda w: {"__l": F.lag("flux").over(w), "__r": F.lead("flux").over(w)}, before=1, after=1, size=BLOCK)
     f = F.col("flux")
     peak = (f > F.coalesce("__l", F.lit(-1.0))) & (f >= F.coalesce("__r", F.lit(-1.0))) & (f > F.col("__m"))
-    return near.join(mean, "asset_id").select("asset_id", "hop", "flux", peak.alias("onset"))
+    return join_per_key(near, mean, ["asset_id"], "hop").select("asset_id", "hop", "flux", peak.alias("onset"))
 
 
 def transient_boost(blocks: DataFrame, size: int, rate: int, factor: float = 1.15, window_s: float = 0.02) -> DataFrame:
