@@ -33,6 +33,11 @@ def db(ratio: Column) -> Column:
     return F.lit(20.0) * F.log10(ratio)
 
 
+def ratio(a, b) -> Column:
+    """a / b, null where b is 0 (strict SQL mode would fail the job on one bad row)."""
+    return F.try_divide(a if isinstance(a, Column) else F.lit(a), b if isinstance(b, Column) else F.lit(b))
+
+
 def banded(value: Column, bands: list[tuple[float, object]], default: object) -> Column:
     """First label whose lower bound (inclusive) is reached; bounds are listed from high to low."""
     out = None

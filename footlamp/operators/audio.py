@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from footlamp.functions.scalars import EPS, clamp, db
+from footlamp.functions.scalars import EPS, clamp, db, ratio
 from footlamp.plans.joins import join_per_key
 from footlamp.plans.ordered import CHUNK, exact_percentiles, sliding
 
@@ -48,13 +48,17 @@ def signal_stats(samples: DataFrame) -> DataFrame:
     pct = exact_percentiles(mag, KEY, "mag", {"p20": 0.20, **PERCENTILES})
     crossed = sliding(samples, KEY, "n", lambda w: {"__prev": F.lag("amp").over(w)}, before=1)
     flip = F.coalesce((F.col("amp") < 0) != (F.col("__prev") < 0), F.lit(False))
-    zcr = crossed.groupBy(*KEY).agg(F.avg(flip.cast("int")).alias("zcr"))
+    y = F.col("amp")
+    levels = crossed.groupBy(*KEY).agg(
+        F.count(F.lit(1)).alias("n_samples"), F.sqrt(F.avg(y * y)).alias("rms"), F.max(F.abs(y)).alias("peak"),
+        F.avg(flip.cast("int")).alias("zcr"),
+    )
     quiet = (
         join_per_key(mag, pct.select(*KEY, "p20"), KEY, "n")
         .groupBy(*KEY)
         .agg(F.avg(F.when(F.col("mag") < F.col("p20"), F.col("mag"))).alias("__q"))
     )
-    df = _levels(samples).join(zcr, KEY).join(quiet, KEY).join(pct, KEY)
+    df = levels.join(quiet, KEY).join(pct, KEY)
     floor = F.coalesce("__q", "p20")
     return df.select(
         *KEY,
@@ -230,7 +234,7 @@ def loudness_range(samples: DataFrame, size: int = 4800, hop: int = 2400) -> Dat
 
 def volume_consistency(samples: DataFrame) -> DataFrame:
     lv = _levels(samples)
-    r = db(F.col("peak") / F.col("rms"))
+    r = db(ratio(F.col("peak"), F.col("rms")))
     score = (
         F.when((F.col("rms") <= 0) | F.col("rms").isNull(), 0.5)
         .when((r >= 6) & (r <= 20), 1.0)
@@ -315,9 +319,12 @@ def sync_offset(stereo_pairs: DataFrame, max_lag: int, rate: int) -> DataFrame:
     """Lag of ``r`` against ``l`` with the highest correlation; ties go to the smaller shift."""
     s = lag_sums(stereo_pairs, ["asset_id"], "l", "r", max_lag, -max_lag)
     m = F.col("m")
-    cov = F.col("sab") - F.col("sa") * F.col("sb") / m
-    spread = F.sqrt((F.col("saa") - F.col("sa") * F.col("sa") / m) * (F.col("sbb") - F.col("sb") * F.col("sb") / m))
-    c = s.withColumn("corr", F.when((m > 2) & (spread > 0), F.round(cov / spread, 9)))
+
+    def moment(both: str, u: str, v: str) -> Column:
+        return F.col(both) - ratio(F.col(u) * F.col(v), m)
+
+    spread = F.sqrt(moment("saa", "sa", "sa") * moment("sbb", "sb", "sb"))
+    c = s.withColumn("corr", F.when((m > 2) & (spread > 0), F.round(ratio(moment("sab", "sa", "sb"), spread), 9)))
     best = c.where(F.col("corr").isNotNull()).groupBy("asset_id").agg(
         F.max_by(F.struct("lag", "corr"), F.struct(F.col("corr"), -F.abs("lag"), F.col("lag"))).alias("b")
     )

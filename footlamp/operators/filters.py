@@ -392,7 +392,7 @@ def tile_weight_gaussian(fade: int) -> Column:
     f = F.least(F.lit(fade), F.floor(F.least("tw", "th") / 4))
 
     def side(pos: Column) -> Column:
-        d = (f - pos) / (f / 3.0)
+        d = F.try_divide(f - pos, f / 3.0)
         return F.when((f > 0) & (pos < f), F.exp(-d * d)).otherwise(1.0)
 
     return side(F.col("ix")) * side(F.col("tw") - 1 - F.col("ix")) * side(F.col("iy")) * side(F.col("th") - 1 - F.col("iy"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from footlamp.functions.scalars import clamp, codes, lookup, trunc
+from footlamp.functions.scalars import clamp, codes, lookup, ratio, trunc
 from footlamp.plans.joins import join_per_key
 from footlamp.plans.ordered import running_sums
 
@@ -45,7 +45,7 @@ def pixels(w: str = "width", h: str = "height") -> Column:
 
 
 def aspect(w: str = "width", h: str = "height") -> Column:
-    return F.col(w) / F.col(h)
+    return ratio(F.col(w), F.col(h))
 
 
 def _grid8(value: Column, lo: int = 256, hi: int = 1024) -> Column:
@@ -154,8 +154,8 @@ def rescale_plan(plan: DataFrame, quality: str = "quality") -> DataFrame:
 def estimate_cost(assets: DataFrame, input_gb: Column | None = None) -> DataFrame:
     """Scale, tile, time, memory and output size of an offline run; input size is a parameter."""
     gb = F.lit(0.76) if input_gb is None else input_gb
-    ratio = F.lit(3840.0) / F.col("width")
-    scale = F.when(ratio <= 1.5, 1).when(ratio <= 2.5, 2).when(ratio <= 3.5, 3).otherwise(4)
+    grow = ratio(3840.0, F.col("width"))
+    scale = F.when(grow <= 1.5, 1).when(grow <= 2.5, 2).when(grow <= 3.5, 3).otherwise(4)
     base = F.when(pixels() > FULL_HD, 400).when(pixels() < HD, 640).otherwise(512)
     cx = F.col("complexity")
     tile = (
@@ -397,7 +397,7 @@ def score_hosts(hosts: DataFrame, min_version: str = "4.5") -> DataFrame:
         + F.when(cuda, 2.0).when(F.col("gpu"), 1.0).otherwise(0.0)
         + found / F.lit(float(REQUIRED_DEPENDENCIES)) * 2.0
     )
-    parts = F.transform(F.split("version", r"\."), lambda p: p.cast("int"))
+    parts = F.transform(F.split("version", r"\."), lambda p: p.try_cast("int"))
     wanted = [int(p) for p in min_version.split(".")]
     newest = F.lit(True)
     for i in reversed(range(max(3, len(wanted)))):

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from footlamp.functions.scalars import EPS, clamp, db
+from footlamp.functions.scalars import EPS, clamp, db, ratio
 from footlamp.plans.joins import join_per_key
 from footlamp.plans.ordered import exact_percentiles, number_rows, sliding
 
@@ -211,7 +211,7 @@ def spectral_descriptors(spectra: DataFrame, step: float) -> DataFrame:
         F.count_if(F.col("mag") < F.col("edge")).alias("__c"),
         F.max("edge").alias("__e"),
     )
-    floor = (F.col("__s") + (F.col("__k") - F.col("__c")) * F.col("__e")) / F.col("__k")
+    floor = ratio(F.col("__s") + (F.col("__k") - F.col("__c")) * F.col("__e"), F.col("__k"))
     lv = lv.select("asset_id", floor.alias("noise_floor"), db(F.col("signal") / (floor + EPS)).alias("snr_db"))
     return out.join(lv, "asset_id")
 
@@ -328,8 +328,8 @@ def dialogue_clarity(spectra: DataFrame, step: float) -> DataFrame:
     per = bins(spectra, step).groupBy("asset_id").agg(
         F.avg(F.when(_between(300, 3400), F.col("mag"))).alias("__s"), F.avg("mag").alias("__a")
     )
-    ratio = F.coalesce("__s", F.lit(0.0)) / F.col("__a") * 2
-    return per.select("asset_id", F.when(F.col("__a") > 0, F.least(F.lit(1.0), ratio)).otherwise(0.0).alias("clarity"))
+    share = ratio(F.coalesce("__s", F.lit(0.0)), F.col("__a")) * 2
+    return per.select("asset_id", F.when(F.col("__a") > 0, F.least(F.lit(1.0), share)).otherwise(0.0).alias("clarity"))
 
 
 def clarity_gain(before: DataFrame, after: DataFrame, step: float) -> DataFrame:
@@ -390,8 +390,8 @@ def spectral_gate(spectra: DataFrame, noise_floor_db: float = -60.0, strength: f
     least = 0.1 if keep_speech else 0.05
 
     def gate(m: Column, t: Column) -> Column:
-        ratio = m / (t + EPS)
-        g = F.when(ratio > 1.0, 1.0).otherwise(F.pow(ratio, F.lit(1.0 + strength)))
+        r = m / (t + EPS)
+        g = F.when(r > 1.0, 1.0).otherwise(F.pow(r, F.lit(1.0 + strength)))
         return m * F.greatest(g, F.lit(least))
 
     return join_per_key(spectra, limits, ["asset_id"], "hop").withColumn("mag", F.zip_with("mag", "__t", gate)).drop("__t")

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from footlamp.functions.scalars import codes, epoch_us, hour_no
+from footlamp.functions.scalars import codes, epoch_us, hour_no, ratio
 from footlamp.plans.ordered import number_rows, running_sums, sliding
 
 ORDER = ["ts", "event_id"]
@@ -131,7 +131,7 @@ def perf_report(metrics: DataFrame, baseline_fps: float = 2.4) -> DataFrame:
         F.max("cpu_pct").alias("peak_cpu"),
         F.avg("mem_pct").alias("avg_mem"),
         F.max("mem_pct").cast("double").alias("peak_mem"),
-        (F.count(F.lit(1)) / F.sum("duration_s")).alias("fps"),
+        ratio(F.count(F.lit(1)), F.sum("duration_s")).alias("fps"),
     )
     return per.withColumn("improvement_pct", (F.col("fps") / baseline_fps - 1) * 100)
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from footlamp.functions.scalars import banded, clamp, codes, lookup
+from footlamp.functions.scalars import banded, clamp, codes, lookup, ratio
 
 # Fixed values.
 VIDEO_EXTENSIONS = ["mp4", "avi", "mkv", "mov", "wmv", "flv", "webm", "m4v", "mpg", "mpeg"]
@@ -133,7 +133,7 @@ def validate_final(original: DataFrame, output: DataFrame) -> DataFrame:
     known = (d_in > 0) & (d_out > 0)
     return (
         _pair(original, output)
-        .withColumn("duration_match", F.coalesce(known & (F.abs(d_in - d_out) / d_in < 0.01), F.lit(False)))
+        .withColumn("duration_match", F.coalesce(known & (ratio(F.abs(d_in - d_out), d_in) < 0.01), F.lit(False)))
         .withColumn(
             "resolution_enhanced",
             (F.col("width") > F.col("in_width")) | (F.col("height") > F.col("in_height")),
@@ -141,7 +141,7 @@ def validate_final(original: DataFrame, output: DataFrame) -> DataFrame:
         .withColumn("audio_present", F.col("has_audio"))
         .withColumn(
             "sync_preserved",
-            F.col("has_audio") & (d_out > 0) & (a > 0) & (F.abs(d_out - a) / F.greatest(d_out, a) < 0.02),
+            F.col("has_audio") & (d_out > 0) & (a > 0) & (ratio(F.abs(d_out - a), F.greatest(d_out, a)) < 0.02),
         )
         .withColumn("success", F.col("duration_match") & F.col("audio_present"))
     )
@@ -149,7 +149,7 @@ def validate_final(original: DataFrame, output: DataFrame) -> DataFrame:
 
 def validate_merge(original: DataFrame, merged: DataFrame) -> DataFrame:
     d_in, d_out = F.col("in_duration_s"), F.col("duration_s")
-    drift = F.when((d_in > 0) & (d_out > 0), F.abs(d_in - d_out) / d_in).otherwise(0.0)
+    drift = F.when((d_in > 0) & (d_out > 0), ratio(F.abs(d_in - d_out), d_in)).otherwise(0.0)
     return _pair(original, merged).withColumn(
         "merge_ok",
         F.col("has_video") & F.col("has_audio") & (drift <= 0.05) & (F.col("size_bytes") >= MIN_BYTES),
@@ -376,7 +376,7 @@ def validate_config(kv: DataFrame) -> DataFrame:
     common = F.lit(False)
     for w, h in COMMON_SIZES:
         common = common | ((F.col("w") == w) & (F.col("h") == h))
-    aspect = F.col("w") / F.col("h")
+    aspect = ratio(F.col("w"), F.col("h"))
     odd = ~common & ((aspect < 1 / 3) | (aspect > 3))
     marks = F.array(
         *[
@@ -399,15 +399,15 @@ def size_analysis(original: DataFrame, enhanced: DataFrame) -> DataFrame:
     in_mb, out_mb = F.col("in_size_bytes") / MB, F.col("size_bytes") / MB
     in_px = F.col("in_width").cast("double") * F.col("in_height")
     out_px = F.col("width").cast("double") * F.col("height")
-    ratio = out_mb / in_mb
+    growth = ratio(out_mb, in_mb)
     return df.select(
         "asset_id",
         in_mb.alias("original_mb"),
         out_mb.alias("enhanced_mb"),
-        ratio.alias("size_ratio"),
-        (out_px / in_px).alias("pixel_ratio"),
-        (out_mb / (out_px / 1e6)).alias("mb_per_megapixel"),
-        F.when(ratio > 10, F.lit("compress")).when(ratio < 2, F.lit("reasonable")).alias("advice"),
+        growth.alias("size_ratio"),
+        ratio(out_px, in_px).alias("pixel_ratio"),
+        ratio(out_mb, out_px / 1e6).alias("mb_per_megapixel"),
+        F.when(growth > 10, F.lit("compress")).when(growth < 2, F.lit("reasonable")).alias("advice"),
     )
 
 

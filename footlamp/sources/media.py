@@ -46,7 +46,7 @@ def _number(value: Column, kind: str) -> Column:
 def frame_rate(text: Column) -> Column:
     """``num/den`` as a number; a zero denominator gives 25."""
     parts = F.split(F.coalesce(text, F.lit("25/1")), "/")
-    num, den = F.get(parts, F.lit(0)).cast("double"), F.get(parts, F.lit(1)).cast("double")
+    num, den = F.get(parts, F.lit(0)).try_cast("double"), F.get(parts, F.lit(1)).try_cast("double")
     return F.when(den == 0, F.lit(DEFAULT_FPS)).otherwise(num / F.coalesce(den, F.lit(1.0)))
 
 
