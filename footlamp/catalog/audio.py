@@ -281,6 +281,20 @@ def aud40(t):
     return rounded(A.choose_noise_level(A.signal_stats(audio_samples(t))), "gate_db")
 
 
+GAIN_DB = f"{SNR.format(r='rb', n='nb')} - {SNR.format(r='ra', n='na')}"
+
+
+@query(
+    "aud40_noise_result",
+    f"""WITH {SAMPLE_CTE}, {PROC}, a AS (SELECT {K}, sqrt(avg(amp * amp)) AS ra, quantile_cont(abs(amp), 0.1) AS na FROM smp GROUP BY {K}),
+    b AS (SELECT {K}, sqrt(avg(amp * amp)) AS rb, quantile_cont(abs(amp), 0.1) AS nb FROM prc GROUP BY {K}), g AS (SELECT a.asset_id, a.ch, {GAIN_DB} AS g FROM a JOIN b ON a.asset_id = b.asset_id AND a.ch = b.ch)
+    SELECT {K}, {S6('g')} AS gain_db, CASE WHEN g > 2 THEN 'strong' WHEN g > 0.5e0 THEN 'moderate' WHEN g > -0.5e0 THEN 'kept' ELSE 'overdone' END AS result FROM g""",
+)
+def aud40_result(t):
+    df = A.noise_result(A.snr_gain(A.pair_samples(audio_samples(t), processed(t))))
+    return rounded(df.select("asset_id", "ch", "gain_db", "result"), "gain_db")
+
+
 @query(
     "aud41_choose_dynamics",
     f"""WITH {SAMPLE_CTE}, {LV}, c AS (SELECT {K}, 20 * log10(peak / (rms + 1e-10)) + 8 > 18 AS hard FROM lv)

@@ -168,13 +168,19 @@ def pair_samples(original: DataFrame, processed: DataFrame) -> DataFrame:
 
 def snr_gain(pairs: DataFrame) -> DataFrame:
     """Change of rms over the 10th amplitude percentile in dB."""
-    df = pairs.withColumn("a", F.abs("amp")).withColumn("b", F.abs("out"))
-    pa = exact_percentiles(df, KEY, "a", {"na": 0.10})
-    pb = exact_percentiles(df, KEY, "b", {"nb": 0.10})
-    lv = df.groupBy(*KEY).agg(
+    # both signals share one percentile pass, told apart by ``side``
+    two = F.array(
+        F.struct(F.lit("a").alias("side"), F.abs("amp").alias("mag")), F.struct(F.lit("b").alias("side"), F.abs("out").alias("mag"))
+    )
+    sides = pairs.select(*KEY, F.explode(two).alias("s")).select(*KEY, "s.*")
+    p = exact_percentiles(sides, [*KEY, "side"], "mag", {"p10": 0.10})
+    noise = p.groupBy(*KEY).agg(
+        F.max(F.when(F.col("side") == "a", F.col("p10"))).alias("na"), F.max(F.when(F.col("side") == "b", F.col("p10"))).alias("nb")
+    )
+    lv = pairs.groupBy(*KEY).agg(
         F.sqrt(F.avg(F.col("amp") * F.col("amp"))).alias("ra"), F.sqrt(F.avg(F.col("out") * F.col("out"))).alias("rb")
     )
-    j = lv.join(pa, KEY).join(pb, KEY)
+    j = lv.join(noise, KEY)
     before, after = db(F.col("ra") / (F.col("na") + EPS)), db(F.col("rb") / (F.col("nb") + EPS))
 
     def quiet60(rms: str, noise: str) -> Column:

@@ -377,6 +377,17 @@ def audio_quality(before: DataFrame, after: DataFrame, step: float) -> DataFrame
     return df.withColumn("score", clamp(score, 0.0, 1.0))
 
 
+def phase_difference(spectra: DataFrame) -> DataFrame:
+    """Mean absolute phase difference of the two channels; ``spectra`` carries ``ch``."""
+    pair = spectra.groupBy("asset_id", "hop").agg(
+        F.max(F.when(F.col("ch") == 0, F.col("phase"))).alias("l"), F.max(F.when(F.col("ch") == 1, F.col("phase"))).alias("r")
+    )
+    cells = pair.where(F.col("l").isNotNull() & F.col("r").isNotNull()).select(
+        "asset_id", F.explode(F.zip_with("l", "r", lambda a, b: F.abs(a - b))).alias("d")
+    )
+    return cells.groupBy("asset_id").agg(F.avg("d").alias("phase_difference"))
+
+
 # Filters ------------------------------------------------------------------------------------------
 
 

@@ -137,3 +137,13 @@ def test_compare_includes_centroid(spark):
     s = A.signal_stats(signal(spark, [np.linspace(-1, 1, 50)])).withColumn("centroid", F.lit(500.0))
     t = s.withColumn("centroid", F.lit(350.0))
     assert A.compare_audio(s, t).first()["noise_status"] == "effective"
+
+
+def test_phase_difference(spark):
+    n = np.arange(64)
+    rows = [(1, ch, 0, np.cos(2 * np.pi * 8 * n / 64).tolist()) for ch in (0, 1)]
+    blocks = spark.createDataFrame(rows, "asset_id INT, ch INT, hop BIGINT, samples ARRAY<DOUBLE>")
+    assert S.phase_difference(S.stft(blocks)).first()["phase_difference"] == 0.0
+    shifted = spark.createDataFrame([(1, 0, 0, [1.0, 1.0], [0.5, -0.5]), (1, 1, 0, [1.0, 1.0], [0.0, 0.5])],
+                                    "asset_id INT, ch INT, hop BIGINT, mag ARRAY<DOUBLE>, phase ARRAY<DOUBLE>")
+    assert S.phase_difference(shifted).first()["phase_difference"] == pytest.approx(0.75)
