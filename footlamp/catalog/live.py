@@ -77,7 +77,7 @@ def str4(t):
 
 @query(
     "str5_stream_recovery_sessions",
-    f"""WITH {METRIC}, {SEEN}, a AS (SELECT host, ts, mem_pct < 50 AS ok, duration_s FROM metric WHERE kind = 'error'),
+    f"""WITH {METRIC}, a AS (SELECT host, ts, mem_pct < 50 AS ok, duration_s FROM metric WHERE kind = 'error'), wm AS (SELECT max(ts) - INTERVAL 10 MINUTES AS w FROM a),
     g AS (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY host ORDER BY ts) + INTERVAL 36 HOURS THEN 0 ELSE 1 END AS brk FROM a),
     s AS (SELECT *, sum(brk) OVER (PARTITION BY host ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sid FROM g)
     SELECT host, epoch_us(min(ts)) AS start_us, count(*) AS n_attempts, count(*) FILTER (WHERE ok) AS n_ok, count(*) FILTER (WHERE NOT ok) AS n_failed, {S6('sum(duration_s)')} AS duration_s,
@@ -85,7 +85,7 @@ def str4(t):
 )
 def str5(t):
     a = metric_stream(t).where("kind = 'error'").selectExpr("host", "ts", "mem_pct < 50 AS success", "duration_s")
-    # the watermark follows the error events, which end before the last event of the table
+    # the watermark follows the attempts, which may end before the last event of the table
     df = L.drain(L.stream_recovery_sessions(a, "36 hours"), "sessions")
     return rounded(df.withColumn("start_us", F.unix_micros("start")).drop("start"), "duration_s")
 
