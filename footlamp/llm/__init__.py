@@ -1,6 +1,6 @@
 """Operators for large text corpora, each with a registered query."""
 
-from footlamp.llm import mixing, simhash, url_filter, warc
+from footlamp.llm import language, mixing, simhash, url_filter, warc
 from footlamp.llm.registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "mixing", "simhash", "url_filter", "warc"]
+__all__ = ["QUERIES", "SQL", "language", "mixing", "simhash", "url_filter", "warc"]
