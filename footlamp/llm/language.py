@@ -136,7 +136,7 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS, key: str = "doc_id", text
     if languages:
         spark = docs.sparkSession
         numbers = spark.createDataFrame(pa.table({"lang": pa.array(languages), "no": pa.array(range(len(languages)), pa.int32())}))
-        sample = about(rows, "lang", F.col("key"), train_docs).join(numbers, "lang").select("no", "text")
+        sample = about(rows, "lang", F.col("key"), train_docs, {r["lang"]: r["n"] for r in counts}).join(numbers, "lang").select("no", "text")
         grams = sample.mapInArrow(_count, "no int, gram bigint, n bigint").groupBy("no", "gram").agg(F.sum("n").alias("n"))
         grams = cut_lineage(grams)
         total = grams.groupBy("no").agg(F.sum("n").alias("all"))

@@ -6,11 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def about(rows: DataFrame, label: str, key: Column, cap: int) -> DataFrame:
-    """About ``cap`` rows of each label, all rows of a label that has fewer, chosen by a hash of ``key``.
+def about(rows: DataFrame, label: str, key: Column, cap: int, counts: dict) -> DataFrame:
+    """About ``cap`` rows of each label of ``counts``, all of a label that has fewer, chosen by a hash of ``key``.
 
-    Adds ``share``, the part of the label's rows that is taken. Labels are counted over all rows.
+    ``counts`` has the number of rows of each label, over all rows. Rows of other labels are left out. Adds ``share``,
+    the part of the label's rows that is taken. A label is looked up in place, so no row is shuffled.
     """
-    counts = rows.groupBy(F.col(label).alias("of")).agg(F.least(F.lit(1.0), F.lit(float(cap)) / F.count(F.lit(1))).alias("share"))
+    if not counts:
+        return rows.where("false").withColumn("share", F.lit(1.0))
+    pairs = [F.lit(x) for name, n in counts.items() for x in (name, min(1.0, cap / n))]
+    share = F.element_at(F.create_map(*pairs), F.col(label))
     place = F.shiftrightunsigned(F.xxhash64(F.lit("sample"), key), 11) / F.lit(float(1 << 53))
-    return rows.join(counts, F.col(label) == F.col("of")).where(place < F.col("share")).drop("of")
+    return rows.withColumn("share", share).where(place < F.col("share"))

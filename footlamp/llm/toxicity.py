@@ -227,7 +227,7 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, key: str =
     asked = asked.groupBy(F.col(key).alias("id")).agg(F.max((F.col(label) == 1).cast("int")).alias("label"))
     rates = asked.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()
     base = sum(r["n"] for r in rates if r["label"]) / max(1, sum(r["n"] for r in rates))
-    chosen = cut_lineage(about(asked, "label", F.col("id"), examples).select("id", "label", "share"))
+    chosen = cut_lineage(about(asked, "label", F.col("id"), examples, {r["label"]: r["n"] for r in rates}).select("id", "label", "share"))
     texts = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("id"), F.col(text).cast("string").alias("text"))
     sample = cut_lineage(texts.join(chosen, "id").groupBy("id", "label", "share").agg(F.min("text").alias("text")))
     names = choose_terms(sample)
