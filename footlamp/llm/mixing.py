@@ -202,11 +202,10 @@ def mix_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int
     mix = plan_mix(sized_documents(docs), weights, cap, block, seed)
     used = mix.pieces.join(mix.slots, ["source_no", "block_no"])
     spans = used.groupBy("source_no", "start", "pass_no").agg(
-        F.array_sort(F.collect_list(F.struct(F.col("skip").cast("int"), F.col("words").cast("int")))).alias("spans"),
+        F.array_sort(F.collect_list(F.struct(F.col("skip").cast("int").alias("skip"), F.col("words").cast("int").alias("words")))).alias("spans"),
         F.sum("words").alias("taken"),
     )
     rows = mix.placed.where("size > 0").join(spans, ["source_no", "start"])
-    rows = rows.select("doc_id", "source", "key", "size", "pass_no", "spans", "taken")
     texts = docs.withColumn("key", text_key(F.col("text")))
     same = ["doc_id", "source", "key"]
     both = F.expr(" AND ".join(f"{c} <=> r_{c}" for c in same))
