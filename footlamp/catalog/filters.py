@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from footlamp.catalog.fixtures import frames
-from footlamp.catalog.frames import ENH, FR, canny, enhanced, nb, px, rounded, totals
+from footlamp.catalog.frames import ENH, FR, canny, enhanced, nb, px, rounded
 from footlamp.catalog.registry import query
 from footlamp.catalog.registry import r6 as S6
 from footlamp.functions.kernels import ellipse, gaussian_kernel
@@ -77,13 +77,12 @@ def kern(kernel, arr="L") -> str:
 
 
 SOFT3 = kern(gaussian_kernel(3, 0.5).tolist())
-BACK = f"""bs AS (SELECT fr.* FROM fr JOIN tot USING (asset_id) WHERE frame_no % greatest(1, total // 20) = 0 AND frame_no // greatest(1, total // 20) < 20),
-{px('bs', 'bp')}, bb AS (SELECT asset_id, i, floor({SOFT3} + 0.5e0) AS v FROM bp), bg AS (SELECT asset_id, i, CAST(floor(quantile_cont(v, 0.5)) AS INT) AS background FROM bb GROUP BY asset_id, i)"""
+BACK = f"""{px('fr', 'bp')}, bb AS (SELECT asset_id, i, floor({SOFT3} + 0.5e0) AS v FROM bp), bg AS (SELECT asset_id, i, CAST(floor(quantile_cont(v, 0.5)) AS INT) AS background FROM bb GROUP BY asset_id, i)"""
 
 
 @query("frm22_background_model", f"WITH {FR}, {BACK} SELECT asset_id, CAST(i AS INT) AS p, background FROM bg")
 def frm22(t):
-    return O.background_model(frames(t), 20, totals(t)).select("asset_id", F.posexplode("background").alias("p", "background"))
+    return O.background_model(frames(t)).select("asset_id", F.posexplode("background").alias("p", "background"))
 
 
 @query("frm23_motion_mask", f"WITH {FL}, {motion_sql('P', 'm')} SELECT {K1}, {unpack()} FROM m, {GRID}")
@@ -111,7 +110,7 @@ def frm24(t):
 )
 def frm25(t):
     f = frames(t)
-    return to_pixels(O.background_lock(f, O.background_model(f, 20, totals(t)), 0.5))
+    return to_pixels(O.background_lock(f, O.background_model(f), 0.5))
 
 
 @query(
@@ -143,7 +142,7 @@ def frm27(t):
     SELECT {K1}, {unpack('S')} FROM r, {GRID}""",
 )
 def frm27_in_place(t):
-    return to_pixels(O.temporal_in_place(frames(t), chunk=32, warm=24))
+    return to_pixels(O.temporal_in_place(frames(t), chunk=32))
 
 
 @query(

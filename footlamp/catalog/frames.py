@@ -20,6 +20,8 @@ SM = f"""sm AS (SELECT fr.*, total, frame_no // greatest(1, total // {N}) AS sam
 WHERE frame_no % greatest(1, total // {N}) = 0 AND (total <= {N} OR frame_no // greatest(1, total // {N}) < {N})),
 smp AS (SELECT *, lag(L) OVER (PARTITION BY asset_id ORDER BY sample_no) AS P FROM sm)"""
 
+WHOLE = "smp AS (SELECT fr.*, frame_no AS sample_no, lag(L) OVER (PARTITION BY asset_id ORDER BY frame_no) AS P FROM fr)"
+
 
 def px(src: str, name: str = "px") -> str:
     return f"{name} AS (SELECT s.*, CAST(i // 8 AS INT) AS y, CAST(i % 8 AS INT) AS x, L[i + 1] AS luma, i FROM {src} s, (SELECT unnest(range(64)) AS i) g)"
@@ -113,18 +115,18 @@ LIGHT = "l AS (SELECT asset_id, frame_no, avg(CASE WHEN luma / 255e0 > 0.85e0 TH
 
 @query(
     "frm2_lighting_ratios",
-    f"WITH {FR}, {SM}, {px('smp')}, {LIGHT} SELECT asset_id, {S6('avg(hi)')} AS highlight, {S6('avg(lo)')} AS dark, {S6('avg(1 - hi - lo)')} AS midtone FROM l GROUP BY asset_id",
+    f"WITH {FR}, {WHOLE}, {px('smp')}, {LIGHT} SELECT asset_id, {S6('avg(hi)')} AS highlight, {S6('avg(lo)')} AS dark, {S6('avg(1 - hi - lo)')} AS midtone FROM l GROUP BY asset_id",
 )
 def frm2(t):
-    return rounded(O.lighting_ratios(sampled(t)), "highlight", "dark", "midtone")
+    return rounded(O.lighting_ratios(frames(t)), "highlight", "dark", "midtone")
 
 
 @query(
     "frm3_edge_density",
-    f"WITH RECURSIVE {FR}, {SM}, {canny('smp', 'k')} SELECT asset_id, {S6('avg(edges)')} AS edge_density FROM k_d GROUP BY asset_id",
+    f"WITH RECURSIVE {FR}, {WHOLE}, {canny('smp', 'k')} SELECT asset_id, {S6('avg(edges)')} AS edge_density FROM k_d GROUP BY asset_id",
 )
 def frm3(t):
-    return rounded(O.edge_density(sampled(t)), "edge_density")
+    return rounded(O.edge_density(frames(t)), "edge_density")
 
 
 CHANGE = "ch AS (SELECT asset_id, sample_no, avg(abs(luma - P[i + 1]) / 255e0) AS d FROM px GROUP BY asset_id, sample_no)"
@@ -132,21 +134,21 @@ CHANGE = "ch AS (SELECT asset_id, sample_no, avg(abs(luma - P[i + 1]) / 255e0) A
 
 @query(
     "frm4_frame_change",
-    f"WITH {FR}, {SM}, {px('smp')}, {CHANGE} SELECT asset_id, {S6('coalesce(avg(d), 0)')} AS frame_change, coalesce(avg(d), 0) < 0.02e0 AS is_static FROM ch GROUP BY asset_id",
+    f"WITH {FR}, {WHOLE}, {px('smp')}, {CHANGE} SELECT asset_id, {S6('coalesce(avg(d), 0)')} AS frame_change, coalesce(avg(d), 0) < 0.02e0 AS is_static FROM ch GROUP BY asset_id",
 )
 def frm4(t):
-    return rounded(O.frame_change(sampled(t)), "frame_change")
+    return rounded(O.frame_change(frames(t), "frame_no"), "frame_change")
 
 
 NOISE = f"ns AS (SELECT asset_id, frame_no, least(1e0, var_pop({LAP}) / 1000) AS n FROM px GROUP BY asset_id, frame_no)"
 
 
-@query("frm5_noise_score", f"WITH {FR}, {SM}, {px('smp')}, {NOISE} SELECT asset_id, {S6('avg(n)')} AS noise_score FROM ns GROUP BY asset_id")
+@query("frm5_noise_score", f"WITH {FR}, {WHOLE}, {px('smp')}, {NOISE} SELECT asset_id, {S6('avg(n)')} AS noise_score FROM ns GROUP BY asset_id")
 def frm5(t):
-    return rounded(O.noise_score(sampled(t)), "noise_score")
+    return rounded(O.noise_score(frames(t)), "noise_score")
 
 
-FEATURES = f"""{FR}, {SM}, {px('smp')}, {LIGHT}, {CHANGE}, {NOISE}, {canny('smp', 'k')},
+FEATURES = f"""{FR}, {WHOLE}, {px('smp')}, {LIGHT}, {CHANGE}, {NOISE}, {canny('smp', 'k')},
 ft AS (SELECT tot.asset_id, 8 AS width, 8 AS height, 25e0 AS fps, total AS total_frames, total / 25e0 AS duration_s,
   (SELECT avg(hi) FROM l WHERE l.asset_id = tot.asset_id) AS highlight, (SELECT avg(lo) FROM l WHERE l.asset_id = tot.asset_id) AS dark,
   (SELECT avg(1 - hi - lo) FROM l WHERE l.asset_id = tot.asset_id) AS midtone,
@@ -157,7 +159,7 @@ FEATURE_NUMS = ["highlight", "dark", "midtone", "edge_density", "frame_change",
 
 
 def features(t):
-    return O.structure_features(frames(t), N, total=totals(t))
+    return O.structure_features(frames(t), total=totals(t))
 
 
 @query(
@@ -190,7 +192,7 @@ BLOCK = """bk AS (SELECT asset_id, frame_no, sum((CASE WHEN x // 2 < 3 AND y //
 
 @query(
     "frm7_quality_levels",
-    f"""WITH {FR}, e AS (SELECT * FROM fr WHERE frame_no % 4 = 0 AND frame_no // 4 < 15), {px('e')}, {BLOCK},
+    f"""WITH {FR}, {px('fr')}, {BLOCK},
     m AS (SELECT asset_id, frame_no, var_pop({LAP}) AS nz, avg({MAG}) AS sh, avg(luma) AS br, stddev_pop(luma) AS co FROM px GROUP BY asset_id, frame_no),
     a AS (SELECT asset_id, count(*) AS n_frames, avg(nz) AS noise, avg(sh) AS sharpness, avg(b) AS artifacts, avg(br) AS brightness, avg(co) AS contrast FROM m JOIN bk USING (asset_id, frame_no) GROUP BY asset_id),
     v AS (SELECT *, CASE WHEN noise > 500 THEN 'low' WHEN noise > 200 THEN 'moderate' ELSE 'high' END AS noise_level,
@@ -202,7 +204,7 @@ BLOCK = """bk AS (SELECT asset_id, frame_no, sum((CASE WHEN x // 2 < 3 AND y //
       concat(CASE len(iss) WHEN 0 THEN 'good' WHEN 1 THEN 'moderate' ELSE 'poor' END, ':', array_to_string(iss, ',')) AS summary FROM w""",
 )
 def frm7(t):
-    return rounded(O.quality_levels(frames(t), step=4, block=2), "noise", "sharpness", "artifacts", "brightness", "contrast")
+    return rounded(O.quality_levels(frames(t), block=2), "noise", "sharpness", "artifacts", "brightness", "contrast")
 
 
 @query(
@@ -210,10 +212,7 @@ def frm7(t):
     f"WITH {FR}, {px('fr')}, {BLOCK} SELECT asset_id, frame_no, {S6('b')} AS blockiness, {S6('bw')} AS blockiness_wrapped FROM bk",
 )
 def frm8(t):
-    f = frames(t)
-    plain = O.blockiness(f, 2)
-    wrapped = O.blockiness(f, 2, wrap=True).withColumnRenamed("blockiness", "blockiness_wrapped")
-    return rounded(plain.join(wrapped, O.KEY), "blockiness", "blockiness_wrapped")
+    return rounded(O.blockiness(frames(t), 2), "blockiness", "blockiness_wrapped")
 
 
 COLOUR = "cp AS (SELECT asset_id, frame_no, luma AS b, (luma + 64) % 256 AS g, (luma * 3) % 256 AS r, greatest(luma, (luma + 64) % 256, (luma * 3) % 256) AS v FROM px)"
@@ -286,7 +285,7 @@ def frm12(t):
 @query(
     "frm13_scene_vote",
     f"""WITH RECURSIVE {FR}, {px('fr')}, {LIGHTING}, {COMPLEX}, {DEPTH}, c AS (SELECT asset_id, {LCLS.format('', '')} AS lighting, {CCLS.format('', '')} AS complexity, {DCLS} AS depth
-      FROM lc JOIN k_d USING (asset_id, frame_no) JOIN lp USING (asset_id, frame_no) JOIN dm USING (asset_id, frame_no) WHERE frame_no % 2 = 0 AND frame_no // 2 < 20),
+      FROM lc JOIN k_d USING (asset_id, frame_no) JOIN lp USING (asset_id, frame_no) JOIN dm USING (asset_id, frame_no)),
     n AS (SELECT asset_id, count(*) AS n_frames FROM c GROUP BY asset_id),
     li AS (SELECT asset_id, lighting FROM c GROUP BY asset_id, lighting QUALIFY row_number() OVER (PARTITION BY asset_id ORDER BY count(*) DESC, list_position(['stage','natural','mixed'], lighting)) = 1),
     co AS (SELECT asset_id, complexity FROM c GROUP BY asset_id, complexity QUALIFY row_number() OVER (PARTITION BY asset_id ORDER BY count(*) DESC, list_position(['simple','moderate','complex'], complexity)) = 1),
@@ -298,14 +297,14 @@ def frm12(t):
     FROM n JOIN li USING (asset_id) JOIN co USING (asset_id) JOIN de USING (asset_id) JOIN sh USING (asset_id)""",
 )
 def frm13(t):
-    s = O.sample_every(frames(t), 2, 20).drop("sample_no")
+    s = frames(t)
     classes = O.depth_class(O.complexity_class(measured(s))).join(O.lighting_class(coloured(s)), O.KEY)
     return O.scene_vote(classes)
 
 
 @query(
     "frm14_brightness_stability",
-    f"""WITH {FR}, f AS (SELECT * FROM fr WHERE frame_no < 100), {px('f')}, m AS (SELECT asset_id, frame_no, avg(luma) / 255 AS m FROM px GROUP BY asset_id, frame_no)
+    f"""WITH {FR}, {px('fr')}, m AS (SELECT asset_id, frame_no, avg(luma) / 255 AS m FROM px GROUP BY asset_id, frame_no)
     SELECT asset_id, {S6('CASE WHEN count(*) < 2 THEN 0 ELSE greatest(0e0, 1 - 5 * stddev_pop(m)) END')} AS score FROM m GROUP BY asset_id""",
 )
 def frm14(t):
@@ -314,7 +313,7 @@ def frm14(t):
 
 @query(
     "frm15_edge_stability",
-    f"""WITH RECURSIVE {FR}, f AS (SELECT * FROM fr WHERE frame_no < 50), {canny('f', 'k')}
+    f"""WITH RECURSIVE {FR}, {canny('fr', 'k')}
     SELECT asset_id, {S6('CASE WHEN count(*) < 2 THEN 0 ELSE greatest(0e0, 1 - 10 * stddev_pop(edges)) END')} AS score FROM k_d GROUP BY asset_id""",
 )
 def frm15(t):
@@ -323,7 +322,7 @@ def frm15(t):
 
 @query(
     "frm16_highlight_clipping",
-    f"""WITH {FR}, f AS (SELECT * FROM fr WHERE frame_no < 30), {px('f')}, {COLOUR},
+    f"""WITH {FR}, {px('fr')}, {COLOUR},
     m AS (SELECT asset_id, frame_no, sum(CAST(b >= 250 AS INT) + CAST(g >= 250 AS INT) + CAST(r >= 250 AS INT)) / 192e0 AS c FROM cp GROUP BY asset_id, frame_no)
     SELECT asset_id, {S6('greatest(0e0, 1 - 20 * avg(c))')} AS score FROM m GROUP BY asset_id""",
 )
@@ -389,10 +388,10 @@ def frm20(t):
 
 
 STABLE = f"""{FR}, {px('fr')}, {COLOUR}, {canny('fr', 'k')},
-st AS (SELECT asset_id, greatest(0e0, 1 - 5 * stddev_pop(m)) AS brightness_score FROM (SELECT asset_id, frame_no, avg(luma) / 255 AS m FROM px WHERE frame_no < 100 GROUP BY ALL) GROUP BY asset_id),
-es AS (SELECT asset_id, greatest(0e0, 1 - 10 * stddev_pop(edges)) AS edge_score FROM k_d WHERE frame_no < 50 GROUP BY asset_id),
+st AS (SELECT asset_id, greatest(0e0, 1 - 5 * stddev_pop(m)) AS brightness_score FROM (SELECT asset_id, frame_no, avg(luma) / 255 AS m FROM px GROUP BY ALL) GROUP BY asset_id),
+es AS (SELECT asset_id, greatest(0e0, 1 - 10 * stddev_pop(edges)) AS edge_score FROM k_d GROUP BY asset_id),
 hc AS (SELECT asset_id, greatest(0e0, 1 - 20 * avg(c)) AS clipping_score FROM (SELECT asset_id, frame_no, sum(CAST(b >= 250 AS INT) + CAST(g >= 250 AS INT) + CAST(r >= 250 AS INT)) / 192e0 AS c
-  FROM cp WHERE frame_no < 30 GROUP BY ALL) GROUP BY asset_id),
+  FROM cp GROUP BY ALL) GROUP BY asset_id),
 sc AS (SELECT * FROM st JOIN es USING (asset_id) JOIN hc USING (asset_id))"""
 
 

@@ -253,45 +253,12 @@ def volume_consistency(samples: DataFrame) -> DataFrame:
 # Lag products -------------------------------------------------------------------------------------
 
 
-SHORT_RANGE = 64
-
-
 def lag_sums(pairs: DataFrame, keys: list[str], a: str, b: str, max_lag: int, min_lag: int = 0, size: int = CHUNK) -> DataFrame:
     """Sums of products of a[n] and b[n + lag] for every lag, as one row per key and lag.
 
-    A key is cut into chunks that also see the neighbours they need. Up to ``SHORT_RANGE`` lags, the
-    neighbours are window leads; beyond, each chunk is one numpy task. Either way only a few sums per
-    chunk are shuffled.
+    A key is cut into chunks that also see the neighbours they need; a chunk is one numpy task, and only a few sums
+    per chunk are shuffled.
     """
-    if max_lag - min_lag < SHORT_RANGE:
-        return _lag_sums_window(pairs, keys, a, b, max_lag, min_lag, size)
-    return _lag_sums_chunks(pairs, keys, a, b, max_lag, min_lag, size)
-
-
-def _lag_sums_window(pairs: DataFrame, keys: list[str], a: str, b: str, max_lag: int, min_lag: int, size: int) -> DataFrame:
-    df = pairs.select(*keys, "n", F.col(a).alias("a"), F.col(b).alias("b"))
-
-    def make(w):
-        return {
-            "__near": F.array(
-                *[
-                    F.struct(F.lit(k).alias("lag"), F.lead("n", k).over(w).alias("n"), F.lead("b", k).over(w).alias("b"))
-                    for k in range(min_lag, max_lag + 1)
-                ]
-            )
-        }
-
-    near = sliding(df, keys, "n", make, before=max(0, -min_lag), after=max(0, max_lag), size=size)
-    cells = near.select(*keys, "n", "a", F.explode("__near").alias("o"))
-    hit = cells.where(F.col("o.n") == F.col("n") + F.col("o.lag")).select(*keys, "o.lag", "a", "o.b")
-    u, v = F.col("a"), F.col("b")
-    return hit.groupBy(*keys, "lag").agg(
-        F.count(F.lit(1)).alias("m"), F.sum(u).alias("sa"), F.sum(v).alias("sb"),
-        F.sum(u * u).alias("saa"), F.sum(v * v).alias("sbb"), F.sum(u * v).alias("sab"),
-    )
-
-
-def _lag_sums_chunks(pairs: DataFrame, keys: list[str], a: str, b: str, max_lag: int, min_lag: int, size: int) -> DataFrame:
     reach = max(abs(min_lag), abs(max_lag))
     first = F.greatest(F.lit(0), F.floor((F.col("n") - reach) / size)).cast("bigint")
     last = F.floor((F.col("n") + reach) / size).cast("bigint")

@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 from footlamp.functions import kernels as K
 from footlamp.operators.frames import KEY, sample_stride, with_previous
-from footlamp.plans.joins import broadcast_checked, join_per_key
+from footlamp.plans.joins import join_per_key
 from footlamp.plans.ordered import sliding
+from footlamp.plans.storage import cut_lineage
 
 # Share of the earlier frame by strength.
 SMOOTH_ALPHA = {"high": 0.1, "medium": 0.3, "low": 0.5}
@@ -38,16 +39,20 @@ def pack(pixels: DataFrame, keys: list[str], value: str) -> DataFrame:
 # Background and motion ----------------------------------------------------------------------------
 
 
-def background_model(frames: DataFrame, n: int = 50, total: DataFrame | None = None) -> DataFrame:
-    """Median of at most ``n`` softly blurred frames per pixel, truncated; one packed row per asset."""
+def background_model(frames: DataFrame, n: int | None = None, total: DataFrame | None = None) -> DataFrame:
+    """Median of all softly blurred frames per pixel, or of ``n`` samples, truncated; one packed row per asset.
+
+    A pixel has at most 256 values, so its median comes from counts that are summed per task first.
+    """
     soft = K.gaussian_kernel(3, 0.5)
 
     def blur(img):
         return np.floor(K.weighted_sum(img, soft) + 0.5).astype(np.int64)
 
-    s = apply_kernel(sample_stride(frames, n, total), blur, "array<int>")
+    s = apply_kernel(frames if n is None else sample_stride(frames, n, total), blur, "array<int>")
     px = s.select("asset_id", "w", "h", F.posexplode("luma").alias("p", "v"))
-    med = px.groupBy("asset_id", "w", "h", "p").agg(F.floor(F.percentile("v", F.lit(0.5))).cast("int").alias("background"))
+    counts = px.groupBy("asset_id", "w", "h", "p", "v").agg(F.count(F.lit(1)).alias("n"))
+    med = counts.groupBy("asset_id", "w", "h", "p").agg(F.floor(F.percentile("v", F.lit(0.5), F.col("n"))).cast("int").alias("background"))
     return pack(med, ["asset_id", "w", "h"], "background")
 
 
@@ -86,18 +91,18 @@ def temporal_fir(frames: DataFrame) -> DataFrame:
     return apply_kernel(df, K.three_tap, "array<int>", "luma", "prev", "next").drop("prev", "next")
 
 
-def temporal_in_place(frames: DataFrame, chunk: int = 256, warm: int = 48, block: int = 65536) -> DataFrame:
+def temporal_in_place(frames: DataFrame, chunk: int = 1024, warm: int = 6, block: int = 4096) -> DataFrame:
     """The three-tap mean where each step sees the already smoothed frame before it.
 
-    The recursion runs along time, so time is cut into chunks and each chunk starts ``warm`` frames early
-    from the lowest and from the highest possible value. A step never swaps two values' order, so once
-    both runs agree they equal the run from the first frame; a chunk where they do not agree fails.
-    Frames are cut into blocks of pixels, so a task holds ``chunk + warm`` block rows at a time.
+    The recursion runs along time, so time is cut into chunks. A chunk starts ``warm`` frames early, once from the
+    lowest and once from the highest possible value. A step keeps the order of two values and takes a 0.15 part of
+    their difference, so after four steps the two runs differ by one at most, and the true run is one of them. Which
+    one, pixel by pixel, is settled by a chain over the chunks' end values, a row per chunk. Frames are cut into
+    blocks of pixels, so a task holds ``chunk + warm`` block rows at a time.
     """
     last = frames.groupBy("asset_id").agg(F.max("frame_no").alias("last"))
     n_blocks = F.ceil(F.size("luma") / block).cast("int")
-    small = broadcast_checked(last)
-    df = frames.join(small, "asset_id") if small is not None else join_per_key(frames, last, ["asset_id"], "frame_no")
+    df = join_per_key(frames, last, ["asset_id"], "frame_no")
     df = df.withColumn("block", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
     df = df.withColumn("luma", F.slice("luma", F.col("block") * block + 1, F.lit(block)))
     lo = F.greatest(F.lit(0), F.floor((F.col("frame_no") - 1) / chunk))
@@ -108,12 +113,10 @@ def temporal_in_place(frames: DataFrame, chunk: int = 256, warm: int = 48, block
         pdf = pdf.sort_values("frame_no")
         x = np.stack(pdf["luma"].to_numpy()).astype(np.float64)
         no, end, c = pdf["frame_no"].to_numpy(), int(pdf["last"].iloc[0]), int(pdf["chunk"].iloc[0])
-        if no[0] == 0:
-            low = high = x[0]
-        else:
-            low, high = np.zeros_like(x[0]), np.full_like(x[0], 255.0)
-        keep = []
+        low, high = np.zeros_like(x[0]), np.full_like(x[0], 255.0)
+        rows, lows, highs, starts = [], [], [], []
         for i in range(len(no)):
+            before = low
             if no[i] == 0 or no[i] == end:
                 low = high = x[i]
             elif i + 1 < len(no):
@@ -122,16 +125,34 @@ def temporal_in_place(frames: DataFrame, chunk: int = 256, warm: int = 48, block
             else:
                 break
             if no[i] // chunk == c:
-                if not np.array_equal(low, high):
-                    raise ValueError("warm-up too short for an exact start")
-                keep.append((i, np.asarray(low, dtype=np.int64)))
-        rows = [i for i, _ in keep]
-        out = pdf.iloc[rows][["asset_id", "frame_no", "w", "h", "block"]].copy()
-        out["luma"] = pd.Series([v for _, v in keep], index=out.index, dtype=object)
+                starts.append(None if rows or no[i] == 0 else before.astype(np.int64))
+                rows.append(i)
+                lows.append(np.asarray(low, dtype=np.int64))
+                highs.append(np.asarray(high, dtype=np.int64))
+        out = pdf.iloc[rows][["asset_id", "frame_no", "w", "h", "block", "chunk"]].copy()
+        for name, values in (("low", lows), ("high", highs), ("start", starts)):
+            out[name] = pd.Series(values, index=out.index, dtype=object)
         return out
 
-    schema = "asset_id INT, frame_no BIGINT, w INT, h INT, block INT, luma ARRAY<INT>"
-    parts = df.groupBy("asset_id", "chunk", "block").applyInPandas(run, schema)
+    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("chunk")
+        state, picks = None, []
+        for start, low, high in zip(pdf["start"], pdf["low"], pdf["high"]):
+            pick = np.zeros(len(low), dtype=bool) if state is None or start is None else state != np.asarray(start)
+            state = np.where(pick, high, low)
+            picks.append(pick)
+        out = pdf[["asset_id", "block", "chunk"]].copy()
+        out["pick"] = pd.Series(picks, index=out.index, dtype=object)
+        return out
+
+    schema = "asset_id INT, frame_no BIGINT, w INT, h INT, block INT, chunk BIGINT, low ARRAY<INT>, high ARRAY<INT>, start ARRAY<INT>"
+    both = cut_lineage(df.groupBy("asset_id", "chunk", "block").applyInPandas(run, schema))
+    ends = both.groupBy("asset_id", "block", "chunk").agg(
+        *[F.max_by(c, "frame_no").alias(c) for c in ("low", "high")], F.min_by("start", "frame_no").alias("start")
+    )
+    picks = ends.groupBy("asset_id", "block").applyInPandas(chain, "asset_id INT, block INT, chunk BIGINT, pick ARRAY<BOOLEAN>")
+    value = F.transform("low", lambda v, i: F.when(F.get("pick", i), F.get("high", i)).otherwise(v))
+    parts = both.join(picks, ["asset_id", "block", "chunk"]).select(*KEY, "w", "h", "block", value.alias("luma"))
     whole = F.array_sort(F.collect_list(F.struct("block", "luma")))
     return parts.groupBy(*KEY, "w", "h").agg(F.flatten(F.transform(whole, lambda s: s["luma"])).alias("luma"))
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from footlamp.functions import kernels as K
 from footlamp.functions.pixels import at, explode_pixels, laplacian, sobel_magnitude
 from footlamp.functions.scalars import clamp
-from footlamp.plans.joins import broadcast_checked, join_per_key
+from footlamp.plans.joins import join_per_key
 from footlamp.plans.ordered import sliding
 
 KEY = ["asset_id", "frame_no"]
@@ -27,21 +27,21 @@ edge_share = K.frame_udf(K.edge_share, "double")
 
 
 def _with_total(frames: DataFrame, total: DataFrame | None) -> DataFrame:
-    """Add ``total``, the frame count of the asset, without moving packed frames if avoidable.
+    """Add ``total``, the frame count of the asset.
 
-    ``total`` is (asset_id, total) when the asset table already knows it.
+    ``total`` is (asset_id, total) when the asset table already knows it. The join is one lazy plan at any size: Spark
+    sends the summary out where it is small and else splits an asset over many tasks.
     """
     if total is None:
         total = frames.groupBy("asset_id").agg((F.max("frame_no") + 1).alias("total"))
-    small = broadcast_checked(total)
-    if small is not None:
-        return frames.join(small, "asset_id")
     return join_per_key(frames, total, ["asset_id"], "frame_no")
 
 
-def sample_frames(frames: DataFrame, n: int, total: DataFrame | None = None) -> DataFrame:
-    """All frames when there are at most ``n``, else every ``total // n``-th; adds ``sample_no``."""
+def sample_frames(frames: DataFrame, n: int | None, total: DataFrame | None = None) -> DataFrame:
+    """All frames when there are at most ``n`` or ``n`` is None, else every ``total // n``-th; adds ``sample_no``."""
     df = _with_total(frames, total)
+    if n is None:
+        return df.withColumn("sample_no", F.col("frame_no"))
     step = F.greatest(F.lit(1), F.floor(F.col("total") / n)).cast("bigint")
     idx = F.floor(F.col("frame_no") / step).cast("bigint")
     keep = (F.col("frame_no") % step == 0) & ((F.col("total") <= n) | (idx < n))
@@ -56,10 +56,11 @@ def sample_linspace(frames: DataFrame, n: int = 10, total: DataFrame | None = No
     return df.where(F.array_contains(grid, F.col("frame_no")))
 
 
-def sample_every(frames: DataFrame, step: int, limit: int) -> DataFrame:
-    """Every ``step``-th frame, at most ``limit``; needs no totals."""
+def sample_every(frames: DataFrame, step: int, limit: int | None = None) -> DataFrame:
+    """Every ``step``-th frame, the first ``limit`` of them if given; needs no totals."""
     idx = F.floor(F.col("frame_no") / step).cast("bigint")
-    return frames.where((F.col("frame_no") % step == 0) & (idx < limit)).withColumn("sample_no", idx)
+    keep = F.col("frame_no") % step == 0
+    return frames.where(keep if limit is None else keep & (idx < limit)).withColumn("sample_no", idx)
 
 
 def sample_stride(frames: DataFrame, n: int = 50, total: DataFrame | None = None) -> DataFrame:
@@ -144,8 +145,8 @@ def noise_score(frames: DataFrame) -> DataFrame:
     return per.groupBy("asset_id").agg(F.avg("n").alias("noise_score"))
 
 
-def structure_features(frames: DataFrame, n: int = 20, fps: float = 25.0, total: DataFrame | None = None) -> DataFrame:
-    """The feature record of an asset: every measure in one pass over its sampled frames."""
+def structure_features(frames: DataFrame, n: int | None = None, fps: float = 25.0, total: DataFrame | None = None) -> DataFrame:
+    """The feature record of an asset: every measure in one pass over all its frames, or over ``n`` samples."""
     sampled = with_previous(sample_frames(frames, n, total), "sample_no")
     sampled = sampled.withColumn("edges", edge_share("luma", "w", "h"))
     per = frame_measures(sampled)
@@ -202,32 +203,38 @@ def plan_enhancement(features: DataFrame) -> DataFrame:
     )
 
 
-def blockiness(frames: DataFrame, block: int = 8, limit: int = 100, wrap: bool = False) -> DataFrame:
-    """Step across the right and bottom border of the first ``limit`` inner blocks, per block.
+def blockiness(frames: DataFrame, block: int = 8, limit: int | None = None) -> DataFrame:
+    """Step across the right and bottom border of the inner blocks, per block, as ``blockiness``.
 
-    ``wrap`` keeps the 8-bit wrap-around of unsigned subtraction.
+    ``blockiness_wrapped`` keeps the 8-bit wrap-around of unsigned subtraction. ``limit`` keeps the first blocks only.
     """
     px = explode_pixels(frames.select(*KEY, "w", "h", "luma"))
     cols = F.ceil((F.col("w") - block) / block)
     rows = F.ceil((F.col("h") - block) / block)
     by, bx = F.floor(F.col("y") / block), F.floor(F.col("x") / block)
-    used = (bx < cols) & (by < rows) & (by * cols + bx < limit)
+    used = (bx < cols) & (by < rows)
+    if limit is not None:
+        used = used & (by * cols + bx < limit)
     last_x, last_y = F.col("x") % block == block - 1, F.col("y") % block == block - 1
 
-    def step(dy: int, dx: int) -> Column:
-        d = F.col("v") - at(dy, dx)
-        return F.pmod(d, F.lit(256)) if wrap else F.abs(d)
+    right, down = F.col("v") - at(0, 1), F.col("v") - at(1, 0)
 
-    total = F.when(used & last_x, step(0, 1)).otherwise(0) + F.when(used & last_y, step(1, 0)).otherwise(0)
-    n = F.least(F.lit(limit), F.greatest(cols * rows, F.lit(0)))
-    px = px.select(*KEY, total.alias("t"), n.alias("n"))
-    per = px.groupBy(*KEY).agg(F.sum("t").alias("__t"), F.max("n").alias("__n"))
-    score = F.col("__t") / block / 255.0 / F.greatest(F.col("__n"), F.lit(1))
-    return per.select(*KEY, score.alias("blockiness"))
+    def total(of) -> Column:
+        return F.when(used & last_x, of(right)).otherwise(0) + F.when(used & last_y, of(down)).otherwise(0)
 
+    n = F.greatest(cols * rows, F.lit(0))
+    n = n if limit is None else F.least(F.lit(limit), n)
+    px = px.select(*KEY, total(F.abs).alias("t"), total(lambda d: F.pmod(d, F.lit(256))).alias("wrapped"), n.alias("n"))
+    per = px.groupBy(*KEY).agg(F.sum("t").alias("t"), F.sum("wrapped").alias("wrapped"), F.max("n").alias("n"))
 
-def quality_levels(frames: DataFrame, step: int, block: int = 8, limit: int = 15) -> DataFrame:
-    """Average noise, sharpness, brightness, contrast and blockiness of sparse samples, with labels."""
+    def score(of: str) -> Column:
+        return F.col(of) / block / 255.0 / F.greatest(F.col("n"), F.lit(1))
+
+    return per.select(*KEY, score("t").alias("blockiness"), score("wrapped").alias("blockiness_wrapped"))
+
+
+def quality_levels(frames: DataFrame, step: int = 1, block: int = 8, limit: int | None = None) -> DataFrame:
+    """Average noise, sharpness, brightness, contrast and blockiness of all frames, or of every ``step``-th, with labels."""
     s = sample_every(frames, step, limit)
     per = frame_measures(s.drop("sample_no")).join(blockiness(s, block), KEY)
     avg = per.groupBy("asset_id").agg(
@@ -394,20 +401,24 @@ def _stability(per: DataFrame, value: str, factor: float) -> DataFrame:
     )
 
 
-def brightness_stability(frames: DataFrame, n: int = 100) -> DataFrame:
-    head = frames.where(F.col("frame_no") < n)
+def _head(frames: DataFrame, n: int | None) -> DataFrame:
+    return frames if n is None else frames.where(F.col("frame_no") < n)
+
+
+def brightness_stability(frames: DataFrame, n: int | None = None) -> DataFrame:
+    head = _head(frames, n)
     per = explode_pixels(head.select(*KEY, "w", "h", "luma")).groupBy(*KEY).agg((F.avg("v") / 255.0).alias("m"))
     return _stability(per, "m", 5.0)
 
 
-def edge_stability(frames: DataFrame, n: int = 50) -> DataFrame:
-    head = frames.where(F.col("frame_no") < n)
+def edge_stability(frames: DataFrame, n: int | None = None) -> DataFrame:
+    head = _head(frames, n)
     return _stability(head.select("asset_id", edge_share("luma", "w", "h").alias("e")), "e", 10.0)
 
 
-def highlight_clipping(frames: DataFrame, n: int = 30) -> DataFrame:
+def highlight_clipping(frames: DataFrame, n: int | None = None) -> DataFrame:
     """Needs packed ``b``, ``g``, ``r``; every channel value counts."""
-    px = frames.where(F.col("frame_no") < n).select(*KEY, "g", "r", F.posexplode("b").alias("p", "b"))
+    px = _head(frames, n).select(*KEY, "g", "r", F.posexplode("b").alias("p", "b"))
     clipped = sum(((c >= 250).cast("int") for c in (F.col("b"), F.get("g", F.col("p")), F.get("r", F.col("p")))), F.lit(0))
     per = px.groupBy(*KEY).agg((F.sum(clipped) / (F.count(F.lit(1)) * 3)).alias("c"))
     return per.groupBy("asset_id").agg(F.greatest(F.lit(0.0), 1.0 - F.avg("c") * 20).alias("score"))

@@ -261,8 +261,8 @@ def dialogue_range(spectra: DataFrame, step: float, lo: float = 300, hi: float =
     )
 
 
-def noise_profile(blocks: DataFrame, step: float, rate: int) -> DataFrame:
-    """Mean spectrum of the quietest fifth of the samples (two seconds of them at most by definition).
+def noise_profile(blocks: DataFrame, step: float, rate: int, seconds: float | None = None) -> DataFrame:
+    """Mean spectrum of the quietest fifth of the samples, or of the first ``seconds`` of those.
 
     Assets whose samples are all equally loud use the blocks with the lowest tenth of energy instead.
     """
@@ -271,7 +271,8 @@ def noise_profile(blocks: DataFrame, step: float, rate: int) -> DataFrame:
     px = px.select("asset_id", (F.col("__o") + F.col("i")).alias("n"), "amp", F.abs("amp").alias("mag"))
     p = exact_percentiles(px, ["asset_id"], "mag", {"p20": 0.20})
     quiet = join_per_key(px, p, ["asset_id"], "n").where(F.col("mag") < F.col("p20")).select("asset_id", "n", "amp")
-    seq = number_rows(quiet, ["asset_id"], ["n"], F.floor(F.col("n") / 65536).cast("bigint"), "m").where(F.col("m") < 2 * rate)
+    seq = number_rows(quiet, ["asset_id"], ["n"], F.floor(F.col("n") / 65536).cast("bigint"), "m")
+    seq = seq if seconds is None else seq.where(F.col("m") < seconds * rate)
     length = int(round(rate / step))
     framed = frame_samples(seq.select("asset_id", F.col("m").alias("n"), "amp"), ["asset_id"], length, length)
     main = mean_spectrum(stft(framed), step)

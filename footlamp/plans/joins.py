@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPREAD = 32
-MAX_BROADCAST_ROWS = 1_000_000
 
 
 def join_per_key(rows: DataFrame, summary: DataFrame, keys: list[str], by: str, how: str = "inner", spread: int = SPREAD) -> DataFrame:
@@ -19,13 +18,3 @@ def join_per_key(rows: DataFrame, summary: DataFrame, keys: list[str], by: str,
     left = rows.withColumn("__salt", F.pmod(F.xxhash64(F.col(by)), F.lit(spread)).cast("int"))
     right = summary.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
     return left.join(right, [*keys, "__salt"], how).drop("__salt")
-
-
-def broadcast_checked(summary: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame | None:
-    """A broadcast of ``summary`` when it has at most ``max_rows`` rows, else None.
-
-    The check counts at most ``max_rows + 1`` narrow rows. It is worth a job only where the other side
-    carries packed frames, which a shuffle join would move in full.
-    """
-    few = summary.limit(max_rows + 1).count() <= max_rows
-    return F.broadcast(summary) if few else None

@@ -17,7 +17,7 @@ def parse_logs(lines: DataFrame, text: str = "value") -> DataFrame:
     everything = F.from_json(text, "MAP<STRING, STRING>")
     custom = F.transform_keys(
         F.map_filter(everything, lambda k, _: k.startswith(PREFIX)),
-        lambda k, _: F.substring(k, len(PREFIX) + 1, 1000000),
+        lambda k, _: F.right(k, F.length(k) - len(PREFIX)),
     )
     rest = [c for c in lines.columns if c != text]
     return lines.select(*rest, record.alias("r"), custom.alias("custom")).select(*rest, "r.*", "custom")

@@ -72,15 +72,16 @@ def test_envelope_chunks_equal_one_run(spark):
     assert len(got) == 3000 and np.allclose(got, want, atol=1e-11)
 
 
-def test_lag_sums_paths_agree(spark):
+def test_lag_sums(spark):
     rng = np.random.default_rng(9)
     pdf = pd.DataFrame({"asset_id": 1, "n": np.arange(500), "l": rng.normal(size=500)})
     pdf["r"] = np.roll(pdf["l"], 7)
     df = spark.createDataFrame(pdf)
-    args = (["asset_id"], "l", "r", 10, -10, 64)
-    a = A._lag_sums_window(df, *args).toPandas().sort_values("lag", ignore_index=True)
-    b = A._lag_sums_chunks(df, *args).toPandas().sort_values("lag", ignore_index=True)
-    assert (a["m"] == b["m"]).all() and np.allclose(a["sab"], b["sab"]) and np.allclose(a["saa"], b["saa"])
+    got = A.lag_sums(df, ["asset_id"], "l", "r", 100, -100, 64).toPandas().set_index("lag")
+    left, right = pdf["l"].to_numpy(), pdf["r"].to_numpy()
+    for lag in (-100, -65, -1, 0, 3, 64, 100):
+        u, v = (left[: 500 - lag], right[lag:]) if lag >= 0 else (left[-lag:], right[:lag])
+        assert got.loc[lag, "m"] == len(u) and np.allclose(got.loc[lag, "sab"], (u * v).sum()) and np.allclose(got.loc[lag, "saa"], (u * u).sum())
     assert A.sync_offset(df, 10, 1000).first()["lag"] == 7
     assert A.sync_offset(df, 100, 1000).first()["lag"] == 7
 
