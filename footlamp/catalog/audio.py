@@ -317,6 +317,17 @@ def aud42(t):
     return rounded(df, "snr_delta_db", "range_delta_db", "rms_delta_db")
 
 
+@query(
+    "aud41_dynamics_effect",
+    f"""WITH {SAMPLE_CTE}, {PROC}, {stats_sql('smp', 'sa')}, {stats_sql('prc', 'sb')}, d AS (SELECT a.asset_id, a.ch, a.crest_db - b.crest_db AS c, 20 * log10(b.rms / (a.rms + 1e-10)) AS r
+      FROM sa a JOIN sb b ON a.asset_id = b.asset_id AND a.ch = b.ch)
+    SELECT {K}, {S6('c')} AS range_reduction_db, {S6('r')} AS loudness_gain_db, CASE WHEN c > 2 THEN 'marked' WHEN c > 1 THEN 'moderate' ELSE 'kept' END AS label FROM d""",
+)
+def aud41_effect(t):
+    df = A.dynamics_effect(A.signal_stats(audio_samples(t)), A.signal_stats(processed(t)))
+    return rounded(df, "range_reduction_db", "loudness_gain_db")
+
+
 @query(
     "aud43_volume_consistency",
     f"""WITH {SAMPLE_CTE}, {LV}, r AS (SELECT {K}, 20 * log10(peak / rms) AS r FROM lv)

@@ -317,8 +317,8 @@ CAST(l_quantity AS BIGINT) AS frames, l_extendedprice / 1000 AS seconds FROM lin
 
 @query(
     "agg6_stage_throughput",
-    f"""WITH r AS ({STAGE_RUN}) SELECT batch, stage, CAST(sum(frames) AS BIGINT) AS frames, {S6('sum(seconds)')} AS seconds,
-    CAST(grouping(batch, stage) AS BIGINT) AS level, {S6('CASE WHEN sum(seconds) > 0 THEN sum(frames) / sum(seconds) ELSE 0 END')} AS fps FROM r GROUP BY ROLLUP (batch, stage)""",
+    f"""WITH r AS ({STAGE_RUN}) SELECT batch, stage, CAST(sum(frames) AS BIGINT) AS frames, {S6('CAST(sum(CAST(seconds AS DECIMAL(18,6))) AS DOUBLE)')} AS seconds,
+    CAST(grouping(batch, stage) AS BIGINT) AS level, {S6('CASE WHEN CAST(sum(CAST(seconds AS DECIMAL(18,6))) AS DOUBLE) > 0 THEN sum(frames) / CAST(sum(CAST(seconds AS DECIMAL(18,6))) AS DOUBLE) ELSE 0 END')} AS fps FROM r GROUP BY ROLLUP (batch, stage)""",
 )
 def agg6(t):
     runs = t.lineitem.selectExpr(*[c.strip() for c in (

@@ -129,12 +129,29 @@ def win8(t):
 
 @query(
     "agg9_perf_report",
-    f"""WITH {METRIC} SELECT host, count(*) AS n_samples, {S6('avg(cpu_pct)')} AS avg_cpu, {S6('max(cpu_pct)')} AS peak_cpu, {S6('avg(mem_pct)')} AS avg_mem,
-      max(mem_pct)::DOUBLE AS peak_mem, {S6('count(*) / sum(duration_s)')} AS fps, {S6('(count(*) / sum(duration_s) / 2.4e0 - 1) * 100')} AS improvement_pct FROM metric GROUP BY ROLLUP (host)""",
+    f"""WITH {METRIC}, {LOAD} SELECT host, count(*) AS n_samples, {S6('avg(cpu_pct)')} AS avg_cpu, {S6('max(cpu_pct)')} AS peak_cpu, {S6('avg(mem_pct)')} AS avg_mem,
+      max(mem_pct)::DOUBLE AS peak_mem, {S6('avg(gpu)')} AS avg_gpu, {S6('max(gpu)')} AS peak_gpu, {S6('count(*) / sum(duration_s)')} AS fps,
+      {S6('(count(*) / sum(duration_s) / 2.4e0 - 1) * 100')} AS improvement_pct FROM gpu_pct GROUP BY ROLLUP (host)""",
 )
 def agg9(t):
-    df = T.perf_report(rows(t, "metric"))
-    return df.select("host", "n_samples", "peak_mem", *[r6(F.col(c)).alias(c) for c in ("avg_cpu", "peak_cpu", "avg_mem", "fps", "improvement_pct")])
+    df = T.perf_report(rows(t, "metric").selectExpr("*", "CASE WHEN host % 2 = 0 THEN value / 4 END AS gpu_pct"))
+    cols = ("avg_cpu", "peak_cpu", "avg_mem", "avg_gpu", "peak_gpu", "fps", "improvement_pct")
+    return df.select("host", "n_samples", "peak_mem", *[r6(F.col(c)).alias(c) for c in cols])
+
+
+@query(
+    "win4_bottleneck_recent",
+    f"""WITH {METRIC}, w AS (SELECT event_id, host, row_number() OVER o AS rn, avg(cpu_pct) OVER l AS c, avg(mem_pct) OVER l AS m, avg(value * 0.5e0) OVER l AS rd, avg(value * 1.5e0) OVER l AS wr
+      FROM metric WINDOW o AS (PARTITION BY host ORDER BY ts, event_id), l AS (PARTITION BY host ORDER BY ts, event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW))
+    SELECT event_id, host, CASE WHEN rn >= 10 THEN 'analysed' ELSE 'insufficient_data' END AS status, CASE WHEN rn >= 10 THEN array_to_string(list_filter([
+      CASE WHEN c > 90 THEN 'cpu_high' WHEN c < 30 THEN 'cpu_low' END, CASE WHEN m > 85 THEN 'memory_high' END, CASE WHEN rd > 100 OR wr > 100 THEN 'disk_io_high' END],
+      lambda c: c IS NOT NULL), ',') END AS bottlenecks,
+      {S6('CASE WHEN rn >= 10 THEN c END')} AS avg_cpu, {S6('CASE WHEN rn >= 10 THEN wr END')} AS avg_write FROM w""",
+)
+def win4_recent(t):
+    m = rows(t, "metric").selectExpr("*", "value * 0.5e0 AS read_mb_s", "value * 1.5e0 AS write_mb_s")
+    df = T.bottleneck_recent(m)
+    return df.select("event_id", "host", "status", "bottlenecks", r6(F.col("avg_cpu_pct")).alias("avg_cpu"), r6(F.col("avg_write_mb_s")).alias("avg_write"))
 
 
 @query(

@@ -141,10 +141,10 @@ PLAY = """play AS (SELECT *, (CASE WHEN contains(lower(container), 'mp4') THEN 2
     "val8_playback_score",
     f"""WITH {cte('output_asset')}, {PLAY} SELECT asset_id, score, {GRADE.format('score')} AS level, score_v2,
       array_to_string(list_sort(list_distinct(list_concat(
-        CASE codec WHEN 'h264' THEN ['vlc','wmp','quicktime','chrome','firefox'] WHEN 'hevc' THEN ['vlc','modern_browser','hardware']
-        ELSE ['chrome','firefox','vlc'] END,
-        [CASE WHEN contains(container, 'mp4') THEN 'mp4_player' WHEN contains(container, 'mkv') THEN 'mkv_player'
-         ELSE 'avi_player' END]))), ',') AS players FROM play""",
+        CASE codec WHEN 'h264' THEN ['VLC','Windows Media Player','QuickTime','Chrome','Firefox'] WHEN 'hevc' THEN ['VLC','Modern browsers','Hardware players']
+        ELSE ['Chrome','Firefox','VLC'] END,
+        [CASE WHEN contains(container, 'mp4') THEN 'Universal MP4 support' WHEN contains(container, 'mkv') THEN 'MKV players'
+         ELSE 'Legacy AVI support' END]))), ',') AS players FROM play""",
 )
 def val8(t):
     return V.playback_score(rows(t, "output_asset")).select("asset_id", "score", "level", "score_v2", "players")

@@ -33,13 +33,6 @@ def at(dy: int, dx: int, array: str = "luma") -> Column:
     return F.get(F.col(array), (y * F.col("w") + x).cast("int"))
 
 
-def inside(dy: int, dx: int, array: str = "luma") -> Column:
-    """Neighbour of the current pixel row, null outside the frame."""
-    y, x = F.col("y") + dy, F.col("x") + dx
-    ok = (y >= 0) & (y < F.col("h")) & (x >= 0) & (x < F.col("w"))
-    return F.when(ok, F.get(F.col(array), (y * F.col("w") + x).cast("int")))
-
-
 def laplacian(array: str = "luma") -> Column:
     return at(-1, 0, array) + at(1, 0, array) + at(0, -1, array) + at(0, 1, array) - 4 * at(0, 0, array)
 

@@ -582,6 +582,14 @@ def choose_dynamics(stats: DataFrame) -> DataFrame:
     )
 
 
+def dynamics_effect(before: DataFrame, after: DataFrame) -> DataFrame:
+    """How far the crest factor fell and the loudness rose, with a label: marked above 2 dB, moderate above 1, else kept."""
+    j = before.select(*KEY, "crest_db", "rms").join(after.select(*KEY, F.col("crest_db").alias("__c"), F.col("rms").alias("__r")), KEY)
+    less = F.col("crest_db") - F.col("__c")
+    label = F.when(less > 2, F.lit("marked")).when(less > 1, F.lit("moderate")).otherwise(F.lit("kept"))
+    return j.select(*KEY, less.alias("range_reduction_db"), db(F.col("__r") / (F.col("rms") + EPS)).alias("loudness_gain_db"), label.alias("label"))
+
+
 def compare_audio(before: DataFrame, after: DataFrame) -> DataFrame:
     """Deltas of two :func:`signal_stats` tables with status words and an overall grade.
 

@@ -175,9 +175,10 @@ def eta_speed(segments: DataFrame) -> DataFrame:
 
 
 def stage_throughput(runs: DataFrame) -> DataFrame:
-    """Frames per second per (batch, stage), per batch and overall."""
+    """Frames per second per (batch, stage), per batch and overall. Seconds add up in microseconds, in any order alike."""
+    exact = F.sum(F.col("seconds").cast("decimal(18,6)")).cast("double")
     total = runs.rollup("batch", "stage").agg(
-        F.sum("frames").cast("bigint").alias("frames"), F.sum("seconds").alias("seconds"), F.grouping_id().alias("level")
+        F.sum("frames").cast("bigint").alias("frames"), exact.alias("seconds"), F.grouping_id().alias("level")
     )
     return total.withColumn("fps", F.when(F.col("seconds") > 0, F.col("frames") / F.col("seconds")).otherwise(0.0))
 

@@ -23,6 +23,10 @@ LIMITS = {"cpu": (90.0, 20.0), "memory": (85.0, 30.0), "gpu": (95.0, 15.0)}
 DISK_LIMIT = 100.0
 
 
+# Limits of the form over ten samples; a None has no lower limit.
+RECENT_LIMITS = {"cpu": (90.0, 30.0), "memory": (85.0, None), "disk_io": (100.0, None)}
+
+
 def bottleneck_codes(cpu: Column, mem: Column, gpu: Column, disk: Column) -> Column:
     """Codes of the resources outside their band; the arguments are means over the last samples."""
     out = []
@@ -33,7 +37,32 @@ def bottleneck_codes(cpu: Column, mem: Column, gpu: Column, disk: Column) -> Col
     return codes(*out)
 
 
-def bottleneck_last_n(metrics: DataFrame, n: int = 5, cpu_low: float | None = None) -> DataFrame:
+def bottleneck_recent(metrics: DataFrame, n: int = 10) -> DataFrame:
+    """The form over ten samples: its own limits, and reads and writes judged apart."""
+    means = {"cpu": ["cpu_pct"], "memory": ["mem_pct"], "disk_io": ["read_mb_s", "write_mb_s"]}
+
+    def make(w):
+        last = w.rowsBetween(-(n - 1), 0)
+        return {f"m_{c}": F.avg(c).over(last) for cols in means.values() for c in cols}
+
+    df = sliding(sequence_hosts(metrics), ["host"], "seq", make, before=n - 1)
+    found = []
+    for name, cols in means.items():
+        high, low = RECENT_LIMITS[name]
+        value = F.greatest(*[F.col(f"m_{c}") for c in cols]) if len(cols) > 1 else F.col(f"m_{cols[0]}")
+        code = F.when(value > high, F.lit(f"{name}_high"))
+        found.append(code if low is None else code.when(value < low, F.lit(f"{name}_low")))
+    enough = F.col("seq") >= n - 1
+    return df.select(
+        "event_id",
+        "host",
+        F.when(enough, F.lit("analysed")).otherwise(F.lit("insufficient_data")).alias("status"),
+        F.when(enough, codes(*found)).alias("bottlenecks"),
+        *[F.when(enough, F.col(f"m_{c}")).alias(f"avg_{c}") for cols in means.values() for c in cols],
+    )
+
+
+def bottleneck_last_n(metrics: DataFrame, n: int = 5) -> DataFrame:
     """Bottlenecks over the last ``n`` samples of each host; fewer samples give no verdict."""
 
     def make(w):
@@ -124,13 +153,15 @@ def recent_activity(logs: DataFrame) -> DataFrame:
 
 
 def perf_report(metrics: DataFrame, baseline_fps: float = 2.4) -> DataFrame:
-    """Mean and peak load and frame rate against a baseline, per host and overall."""
+    """Mean and peak load and frame rate against a baseline, per host and overall; GPU load may be null."""
     per = metrics.rollup("host").agg(
         F.count(F.lit(1)).alias("n_samples"),
         F.avg("cpu_pct").alias("avg_cpu"),
         F.max("cpu_pct").alias("peak_cpu"),
         F.avg("mem_pct").alias("avg_mem"),
         F.max("mem_pct").cast("double").alias("peak_mem"),
+        F.avg("gpu_pct").alias("avg_gpu"),
+        F.max("gpu_pct").alias("peak_gpu"),
         ratio(F.count(F.lit(1)), F.sum("duration_s")).alias("fps"),
     )
     return per.withColumn("improvement_pct", (F.col("fps") / baseline_fps - 1) * 100)

@@ -36,31 +36,34 @@ def validate_assets(files: DataFrame) -> DataFrame:
 
 
 def expected_frames(frames: DataFrame, job: str, idx: str, step: int = 65536) -> DataFrame:
-    """Rows 1..max(idx) of every job; long jobs are generated in blocks, never as one array."""
+    """Rows 1..max(idx) of every job; blocks of a long job are dealt to many tasks before they are generated."""
     top = frames.groupBy(job).agg(F.max(idx).cast("bigint").alias("__top"))
     blocks = top.withColumn("__b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("__top") - 1) / step))))
+    blocks = blocks.repartition(job, "__b")
     lo = F.col("__b") * step + 1
     hi = F.least(F.col("__top"), (F.col("__b") + 1) * step)
     return blocks.select(job, F.explode(F.sequence(lo, hi)).alias(idx))
 
 
-def missing_frames(frames: DataFrame, job: str, idx: str) -> DataFrame:
-    """Numbers absent from 1..max, one row each."""
-    present = frames.select(job, F.col(idx).cast("bigint").alias(idx))
-    return expected_frames(frames, job, idx).join(present, [job, idx], "left_anti")
-
-
 def frame_gaps(frames: DataFrame, job: str, idx: str, tolerance: float = 0.10) -> DataFrame:
-    """Contiguity report per job: strict check and the variant that tolerates a share of gaps."""
+    """Contiguity report per job: strict check and the variant that tolerates a share of gaps.
+
+    Missing numbers are counted, not generated, so a wrong index costs nothing: distinct numbers are taken from the
+    largest, and the first gap follows the lowest number (or 0) that has no successor.
+    """
     found = frames.groupBy(job).agg(
         F.count(F.lit(1)).alias("n_found"), F.max(idx).cast("bigint").alias("n_expected")
     )
-    lost = missing_frames(frames, job, idx).groupBy(job).agg(
-        F.count(F.lit(1)).alias("n_missing"), F.min(idx).alias("first_missing")
-    )
+    present = frames.select(job, F.col(idx).cast("bigint").alias(idx)).where(F.col(idx) >= 1).distinct()
+    after = present.unionByName(found.select(job, F.lit(0).cast("bigint").alias(idx)))
+    gaps = after.withColumn(idx, F.col(idx) + 1).join(present, [job, idx], "left_anti")
+    first = gaps.groupBy(job).agg(F.min(idx).alias("__first"))
+    known = present.groupBy(job).agg(F.count(F.lit(1)).alias("__known"))
+    missing = F.greatest(F.col("n_expected"), F.lit(0)) - F.coalesce("__known", F.lit(0))
     return (
-        found.join(lost, job, "left")
-        .withColumn("n_missing", F.coalesce("n_missing", F.lit(0)))
+        found.join(known, job, "left")
+        .join(first, job, "left")
+        .select(job, "n_found", "n_expected", missing.alias("n_missing"), F.when(missing > 0, F.col("__first")).alias("first_missing"))
         .withColumn("contiguous", F.col("n_missing") == 0)
         .withColumn("tolerated", F.col("n_missing") <= F.col("n_expected") * tolerance)
     )
@@ -177,12 +180,13 @@ def integration_score(output: DataFrame) -> DataFrame:
     return output.withColumn("score", score).withColumn("grade", banded(F.col("score"), GRADES, "poor"))
 
 
-# Players that can open each codec and container family.
+# Players that can open each codec, and support by container.
 PLAYERS = {
-    "h264": ["vlc", "wmp", "quicktime", "chrome", "firefox"],
-    "hevc": ["vlc", "modern_browser", "hardware"],
-    "vp9": ["chrome", "firefox", "vlc"],
+    "h264": ["VLC", "Windows Media Player", "QuickTime", "Chrome", "Firefox"],
+    "hevc": ["VLC", "Modern browsers", "Hardware players"],
+    "vp9": ["Chrome", "Firefox", "VLC"],
 }
+CONTAINER_SUPPORT = {"mp4": "Universal MP4 support", "mkv": "MKV players", "avi": "Legacy AVI support"}
 CODEC_POINTS = {"h264": 30, "hevc": 25, "vp9": 20}
 CONTAINER_POINTS = {"mp4": 25, "mkv": 20, "avi": 15}
 
@@ -209,7 +213,7 @@ def playback_score(output: DataFrame) -> DataFrame:
     players = F.lit(None).cast("array<string>")
     for name, names in PLAYERS.items():
         players = F.when(family == name, F.array(*[F.lit(n) for n in names])).otherwise(players)
-    support = F.when(box.isNotNull(), F.array(F.concat(box, F.lit("_player"))))
+    support = F.when(box.isNotNull(), F.array(lookup(box, CONTAINER_SUPPORT, "")))
     empty = F.array().cast("array<string>")
     return (
         output.withColumn("score", score)

@@ -31,7 +31,13 @@ def monitoring_documents(
     )
 
 
-def write_segments(segments: DataFrame, path: str) -> None:
-    """Even segments go to store A, odd ones to store B; readers prune on both folders."""
+def write_segments(segments: DataFrame, path: str, files: int = 64) -> None:
+    """Even segments go to store A, odd ones to store B, in at most ``files`` files each; readers prune on the store.
+
+    Rows are dealt by store and a hash of the row's segment and job and sorted by segment, so a store is
+    written by many tasks, a task writes one file, and a segment is found by the files' statistics.
+    """
     store = F.when(F.col("segment_idx") % 2 == 0, F.lit("A")).otherwise(F.lit("B"))
-    segments.withColumn("store", store).write.mode("overwrite").partitionBy("store", "segment_idx").parquet(path)
+    salt = F.pmod(F.xxhash64("job_id", "segment_idx"), F.lit(files))
+    dealt = segments.withColumn("store", store).withColumn("__salt", salt).repartition(2 * files, "store", "__salt")
+    dealt.drop("__salt").sortWithinPartitions("store", "segment_idx").write.mode("overwrite").partitionBy("store").parquet(path)

@@ -33,10 +33,11 @@ def test_eta_is_zero_without_progress(spark):
     assert got == {1: 0.0, 2: 0.0, 3: 5.0}
 
 
-def test_missing_frames_in_blocks(spark):
-    df = spark.createDataFrame([(1, i) for i in range(1, 41) if i not in (7, 20, 21)], "job INT, idx INT")
-    assert sorted(r["idx"] for r in V.missing_frames(df, "job", "idx").collect()) == [7, 20, 21]
-    assert V.expected_frames(df, "job", "idx", step=6).count() == 40
+def test_gaps_without_generated_rows(spark):
+    rows = [(1, i) for i in (1, 2, 4, 4, 7)] + [(2, 1), (2, 2)] + [(3, 2), (3, 10**12)]
+    got = {r["job"]: r for r in V.frame_gaps(spark.createDataFrame(rows, "job int, idx bigint"), "job", "idx").collect()}
+    assert [(got[j]["n_missing"], got[j]["first_missing"], got[j]["contiguous"]) for j in (1, 2)] == [(3, 3, False), (0, None, True)]
+    assert got[1]["n_found"] == 5 and got[3]["n_missing"] == 10**12 - 2 and got[3]["first_missing"] == 1
 
 
 def test_wide_and_tall_tiles(spark):
