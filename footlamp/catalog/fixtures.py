@@ -242,11 +242,6 @@ spec AS (SELECT asset_id, hop, bin, bin * 125e0 AS freq, sum(amp * c) AS re, sum
 )
 
 
-def hour_of(ts: str = "ts") -> Column:
-    """Chunk id of event-time ordered rows: whole hours."""
-    return F.date_trunc("hour", F.col(ts))
-
-
 def audio_samples(t: Tables) -> DataFrame:
     """audio_sample(asset_id, ch, n, amp) at SAMPLE_RATE."""
     src = t.events.select(
@@ -256,7 +251,7 @@ def audio_samples(t: Tables) -> DataFrame:
         "event_id",
         F.expr("greatest(-1e0, least(1e0, (value - 100) / 330))").alias("amp"),
     )
-    numbered = number_rows(src, ["asset_id", "ch"], ["ts", "event_id"], hour_of(), "n")
+    numbered = number_rows(src, ["asset_id", "ch"], ["ts", "event_id"], None, "n")
     return numbered.select("asset_id", "ch", "n", "amp")
 
 

@@ -8,7 +8,7 @@ from footlamp.catalog.fixtures import SEGMENT_CTE, cte, rows, segments
 from footlamp.catalog.registry import query
 from footlamp.catalog.registry import r6 as S6
 from footlamp.catalog.validation import EXT
-from footlamp.functions.scalars import hour_no, r6
+from footlamp.functions.scalars import r6
 from footlamp.operators import files as FI
 from footlamp.operators import jobs as J
 from footlamp.plans.storage import scratch_dir
@@ -155,7 +155,7 @@ def snk1(t):
     FROM n GROUP BY host, n // 25""",
 )
 def snk2(t):
-    return S.monitoring_documents(rows(t, "metric"), "host", ["ts", "event_id"], hour_no(), ["event_id", "failed", "mem_pct"], page=25)
+    return S.monitoring_documents(rows(t, "metric"), "host", ["ts", "event_id"], ["event_id", "failed", "mem_pct"], page=25)
 
 
 @query(

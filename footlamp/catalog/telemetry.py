@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from footlamp.catalog.fixtures import cte, rows
 from footlamp.catalog.registry import query
 from footlamp.catalog.registry import r6 as S6
-from footlamp.functions.scalars import hour_no, r6
+from footlamp.functions.scalars import r6
 from footlamp.operators import errors as E
 from footlamp.operators import telemetry as T
 
@@ -185,7 +185,7 @@ def checkpoint_events(t):
     FROM e ASOF LEFT JOIN c ON e.input = c.input AND e.ts >= c.ts""",
 )
 def jon6(t):
-    return E.restore_point(checkpoint_events(t), hour_no())
+    return E.restore_point(checkpoint_events(t))
 
 
 @query(

@@ -76,8 +76,3 @@ def epoch_us(ts: str = "ts") -> Column:
 def instant(ts: str = "ts") -> Column:
     """Zone-less timestamp read as UTC: an event time that does not move with the session zone."""
     return F.timestamp_micros(epoch_us(ts))
-
-
-def hour_no(ts: str = "ts") -> Column:
-    """Whole hours since 1970: a chunk id that grows with event time."""
-    return F.floor(epoch_us(ts) / F.lit(3600 * 1000000)).cast("bigint")

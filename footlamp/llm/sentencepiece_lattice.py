@@ -8,7 +8,8 @@
    spans exactly two segments. Both give the ids that the sentencepiece library gives.
 4. Blocks of documents meet the ids of their words and are put together.
 
-Words of more than ``LONG`` characters without a space, whose lattices have no bound, are encoded by the library itself.
+Words of more than ``LONG`` characters without a space, whose lattices have no bound, are encoded by the library itself
+when their block is put together.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +32,10 @@ SPACE_PIECE = "▁"
 #: Characters of a lattice at most; its boundaries are the bits of one integer.
 LONG = 48
 #: Characters of text in a block of documents.
-BLOCK_CHARS = 16_000_000
+BLOCK_CHARS = 48_000_000
+#: Characters of text for each partition of words. A word's edges are gathered by hash, without a sort, so partitions are kept small.
+WORD_CHARS = 8_000_000
+HASHED_GROUPS = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
 #: The piece table is broadcast, so it is held to this size.
 MAX_PIECES = 1_000_000
 #: Fixed values of the format: kinds of pieces, kinds of models, and how far below the worst piece an unknown character scores.
@@ -98,30 +103,61 @@ def load_model(path: str) -> PieceModel:
 
 
 def piece_table(spark: SparkSession, model: PieceModel) -> DataFrame:
+    """``piece, id, score, place``; ``place`` orders the pieces by score, equal scores alike."""
     names, ids, scores = zip(*model.pieces)
-    return spark.createDataFrame(pa.table({"piece": pa.array(names), "id": pa.array(ids, pa.int32()), "score": pa.array(scores, pa.float64())}))
+    place = np.unique(-np.array(scores), return_inverse=True)[1]
+    return spark.createDataFrame(
+        pa.table({"piece": pa.array(names), "id": pa.array(ids, pa.int32()), "score": pa.array(scores, pa.float64()), "place": pa.array(place, pa.int64())})
+    )
+
+
+#: Bits of an edge of a BPE lattice: place of the piece, start, size, and the id plus one (0: no piece).
+START_BITS, SIZE_BITS, ID_BITS = 6, 6, 21
+NO_PLACE = MAX_PIECES
+
+
+def packed(place: Column, start: Column, size: Column, id_: Column) -> Column:
+    """An edge as one integer: its order is best first, then leftmost."""
+    e = F.shiftleft(place.cast("bigint"), START_BITS).bitwiseOR(start.cast("bigint"))
+    e = F.shiftleft(e, SIZE_BITS).bitwiseOR(size.cast("bigint"))
+    return F.shiftleft(e, ID_BITS).bitwiseOR(F.coalesce(id_ + 1, F.lit(0)).cast("bigint"))
+
+
+def start_of(e: Column) -> Column:
+    return F.shiftright(e, ID_BITS + SIZE_BITS).bitwiseAND(F.lit((1 << START_BITS) - 1)).cast("int")
+
+
+def stop_of(e: Column) -> Column:
+    return start_of(e) + F.shiftright(e, ID_BITS).bitwiseAND(F.lit((1 << SIZE_BITS) - 1)).cast("int")
+
+
+def id_of(e: Column) -> Column:
+    return F.nullif(e.bitwiseAND(F.lit((1 << ID_BITS) - 1)).cast("int"), F.lit(0)) - 1
 
 
 def edges(words: DataFrame, model: PieceModel) -> DataFrame:
-    """``word, edges``: for each word its lattice as structs ``cost, start, stop, id``, cheapest first, then leftmost.
+    """The words' rows with ``edges``: best first, then leftmost. A character that is no piece has an edge with a null id.
 
-    A character that is no piece has an edge with a null id.
+    The edges of a BPE lattice are packed integers, those of a unigram lattice structs ``cost, start, stop, id``. Words are
+    distinct and already partitioned by word, so grouping their edges again needs no shuffle.
     """
     n = F.length("word")
     starts = F.sequence(F.lit(0), n - 1)
     spans = F.flatten(
         F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(model.longest), n - i)), lambda l: F.struct(i.alias("start"), l.alias("size"))))
     )
-    parts = words.select("word", F.explode(spans).alias("s")).select(
-        "word", F.col("s.start").alias("start"), F.col("s.size").alias("size"), F.expr("substring(word, s.start + 1, s.size)").alias("piece")
+    rest = [c for c in words.columns if c != "word"]
+    parts = words.select("*", F.explode(spans).alias("s")).select(
+        "word", *rest, F.col("s.start").alias("start"), F.col("s.size").alias("size"), F.expr("substring(word, s.start + 1, s.size)").alias("piece")
     )
     known = F.broadcast(piece_table(words.sparkSession, model))  # at most MAX_PIECES short rows, checked when the model was read
     hits = parts.join(known, "piece", "left").where("id IS NOT NULL OR size = 1")
-    worst = min(s for _, _, s in model.pieces) - UNKNOWN_PENALTY
-    edge = F.struct(
-        (-F.coalesce("score", F.lit(worst))).alias("cost"), "start", (F.col("start") + F.col("size")).cast("int").alias("stop"), "id"
-    )
-    return hits.groupBy("word").agg(F.array_sort(F.collect_list(edge)).alias("edges"))
+    if model.kind == BPE:
+        edge = packed(F.coalesce("place", F.lit(NO_PLACE)), F.col("start"), F.col("size"), F.col("id"))
+    else:
+        worst = min(s for _, _, s in model.pieces) - UNKNOWN_PENALTY
+        edge = F.struct((-F.coalesce("score", F.lit(worst))).alias("cost"), "start", (F.col("start") + F.col("size")).cast("int").alias("stop"), "id")
+    return hits.groupBy("word").agg(F.array_sort(F.collect_list(edge)).alias("edges"), *[F.first(c).alias(c) for c in rest])
 
 
 def bit(i: Column) -> Column:
@@ -129,26 +165,33 @@ def bit(i: Column) -> Column:
 
 
 def merged(lattice: Column, n: Column) -> Column:
-    """Path of a BPE lattice as edges. State: the segment boundaries, one bit each."""
+    """Path of a BPE lattice as structs. State: the segment boundaries, one bit each, and whether an edge was found last time."""
     spans = F.transform(
-        F.filter(lattice, lambda e: e["stop"] > e["start"] + 1),
-        lambda e: F.struct(bit(e["start"]).bitwiseOR(bit(e["stop"])).alias("ends"), (bit(e["stop"]) - bit(e["start"] + 1)).alias("inner")),
+        F.filter(lattice, lambda e: stop_of(e) > start_of(e) + 1),
+        lambda e: F.struct(bit(start_of(e)).bitwiseOR(bit(stop_of(e))).alias("ends"), (bit(stop_of(e)) - bit(start_of(e) + 1)).alias("inner")),
     )
 
     def fold(s: Column) -> Column:
-        def step(bounds: Column, _: Column) -> Column:
+        def step(state: Column, _: Column) -> Column:
+            bounds = state["bounds"]
             free = F.filter(s, lambda e: (bounds.bitwiseAND(e["ends"]) == e["ends"]) & (F.bit_count(bounds.bitwiseAND(e["inner"])) == 1))
-            return once(free, lambda f: F.when(F.size(f) == 0, bounds).otherwise(bounds.bitwiseAND(F.bitwise_not(F.element_at(f, F.least(F.size(f), F.lit(1)))["inner"]))))
+            inner = F.get(free, F.lit(0))["inner"]
+            merge = once(
+                inner,
+                lambda i: F.struct(F.when(i.isNull(), bounds).otherwise(bounds.bitwiseAND(F.bitwise_not(i))).alias("bounds"), i.isNotNull().alias("more")),
+            )
+            return F.when(state["more"], merge).otherwise(state)
 
-        return F.when(F.size(s) == 0, bit(n + 1) - 1).otherwise(F.aggregate(F.sequence(F.lit(1), n), bit(n + 1) - 1, step))
+        start = F.struct((bit(n + 1) - 1).alias("bounds"), (F.size(s) > 0).alias("more"))
+        return F.aggregate(F.sequence(F.lit(1), n), start, step, lambda state: state["bounds"])
 
     def path(bounds: Column) -> Column:
         on = F.filter(
             lattice,
-            lambda e: (bounds.bitwiseAND(bit(e["start"]).bitwiseOR(bit(e["stop"]))) == bit(e["start"]).bitwiseOR(bit(e["stop"])))
-            & (F.bit_count(bounds.bitwiseAND(bit(e["stop"]) - bit(e["start"] + 1))) == 0),
+            lambda e: (bounds.bitwiseAND(bit(start_of(e)).bitwiseOR(bit(stop_of(e)))) == bit(start_of(e)).bitwiseOR(bit(stop_of(e))))
+            & (F.bit_count(bounds.bitwiseAND(bit(stop_of(e)) - bit(start_of(e) + 1))) == 0),
         )
-        return F.array_sort(F.transform(on, lambda e: F.struct(e["start"].alias("start"), e["stop"].alias("stop"), e["id"].alias("id"))))
+        return F.array_sort(F.transform(on, lambda e: F.struct(start_of(e).alias("start"), stop_of(e).alias("stop"), id_of(e).alias("id"))))
 
     return once(once(spans, fold), path)
 
@@ -187,8 +230,8 @@ def fallback_ids(char: Column, model: PieceModel) -> Column:
 
 
 def encode_words(words: DataFrame, model: PieceModel) -> DataFrame:
-    """``word, ids`` of distinct words (column ``word``, normalised, not empty)."""
-    short = edges(words.where(F.length("word") <= LONG).select("word"), model)
+    """The rows with ``ids``. ``word`` is normalised, distinct, and has 1 to ``LONG`` characters."""
+    rest = [c for c in words.columns if c != "word"]
     fold = merged if model.kind == BPE else best_sum
     path = fold(F.col("edges"), F.length("word"))
     ids = F.flatten(
@@ -197,21 +240,7 @@ def encode_words(words: DataFrame, model: PieceModel) -> DataFrame:
             lambda e: F.when(e["id"].isNotNull(), F.array(e["id"])).otherwise(fallback_ids(F.col("word").substr(e["start"] + 1, F.lit(1)), model)),
         )
     )
-    folded = short.select("word", ids.cast("array<int>").alias("ids"))
-    file = model.file
-
-    def by_library(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import sentencepiece
-
-        lib = None
-        for batch in batches:
-            if batch.num_rows and lib is None:
-                lib = library(sentencepiece, file)
-            texts = batch.column(0).to_pylist()
-            found = [lib.encode(t) for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], ["word", "ids"])
-
-    return folded.unionByName(words.where(F.length("word") > LONG).select("word").mapInArrow(by_library, "word string, ids array<int>"))
+    return edges(words, model).select("word", *rest, ids.cast("array<int>").alias("ids"))
 
 
 def library(module, file: bytes):
@@ -244,14 +273,11 @@ def _unpack(blob: bytes) -> pa.Table:
     return pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(blob)).read_all()
 
 
-def blocks_of(docs: DataFrame, key: str, text: str, block_chars: int) -> DataFrame:
-    """``block, docs``: documents dealt into blocks by a hash, packed and shuffled once."""
-    total = docs.agg(F.sum(F.length(text))).first()[0] or 0
-    n = max(1, -(-total // block_chars))
+def blocks_of(docs: DataFrame, key: str, text: str, n: int) -> DataFrame:
+    """``block, docs``: documents dealt into ``n`` blocks by a hash, packed and shuffled once."""
     rows = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
     dealt = rows.select(F.pmod(F.xxhash64("doc_id", text_key(F.col("text"))), F.lit(n)).alias("block"), "doc_id", "text")
-    spark = docs.sparkSession
-    return dealt.mapInArrow(_pack, "block bigint, docs binary").repartition(max(n, int(spark.conf.get("spark.sql.shuffle.partitions"))), "block")
+    return dealt.mapInArrow(_pack, "block bigint, docs binary").repartition(max(n, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "block")
 
 
 def encode(docs: DataFrame, model: PieceModel, key: str = "doc_id", text: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -261,7 +287,9 @@ def encode(docs: DataFrame, model: PieceModel, key: str = "doc_id", text: str =
     not). A null text has null ids, no tokens and a null ``round_trip``; an empty text has no ids. Repeated rows get equal
     results; null ids stay null. Texts are whole, however long, but a document is encoded in one task.
     """
-    blocks = blocks_of(docs, key, text, block_chars)
+    total = docs.agg(F.sum(F.length(text))).first()[0] or 0
+    blocks = blocks_of(docs, key, text, max(1, -(-total // block_chars)))
+    word_parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // WORD_CHARS))
     splitter = re.compile(model.pattern)
     normalise, surfaces, dummy = model.normalise, model.surfaces, model.dummy_prefix
 
@@ -274,13 +302,18 @@ def encode(docs: DataFrame, model: PieceModel, key: str = "doc_id", text: str =
                     if t.is_valid:
                         own.update(splitter.findall(normalise(t.as_py())))
         for block, own in seen.items():
-            words = list(own)
+            words = [w for w in own if len(w) <= LONG]
             for i in range(0, len(words), 50_000):
                 part = words[i : i + 50_000]
                 yield pa.RecordBatch.from_arrays([pa.array([block] * len(part), pa.int64()), pa.array(part, pa.string())], ["block", "word"])
 
+    file = model.file
+
     def put_together(left: pa.Table, right: pa.Table) -> pa.Table:
+        import sentencepiece
+
         ids = dict(zip(right.column("word").to_pylist(), right.column("ids").to_pylist()))
+        lib = None
         out: list[pa.Table] = []
         for blob in left.column("docs"):
             docs_ = _unpack(blob.as_py())
@@ -292,22 +325,32 @@ def encode(docs: DataFrame, model: PieceModel, key: str = "doc_id", text: str =
                     trip.append(None)
                     continue
                 value = t.as_py()
-                own = [i for w in splitter.findall(normalise(value)) for i in ids[w]]
+                words = splitter.findall(normalise(value))
+                for w in words:
+                    if len(w) > LONG and w not in ids:
+                        lib = lib or library(sentencepiece, file)
+                        ids[w] = lib.encode(w)
+                own = list(chain.from_iterable(map(ids.__getitem__, words)))
                 found.append(np.array(own, dtype=np.int32))
                 n.append(len(own))
                 trip.append(decode_ids(own, surfaces, dummy) == value)
             out.append(
                 pa.table({"doc_id": docs_.column("doc_id"), "ids": pa.array(found, pa.list_(pa.int32())), "n_tokens": pa.array(n, pa.int64()), "round_trip": pa.array(trip, pa.bool_())})
             )
-        return pa.concat_tables(out) if out else pa.table({"doc_id": pa.array([], pa.int64()), "ids": pa.array([], pa.list_(pa.int32())), "n_tokens": pa.array([], pa.int64()), "round_trip": pa.array([], pa.bool_())})
+        return pa.concat_tables(out) if out else ENCODED.empty_table()
 
-    where = blocks.mapInArrow(words_of, "block bigint, word string").groupBy("word").agg(F.collect_list("block").alias("blocks"))
-    coded = encode_words(where.select("word"), model)
-    meant = where.join(coded, "word").select(F.explode("blocks").alias("block"), "word", "ids")
+    spark = docs.sparkSession
+    spark.conf.set(HASHED_GROUPS, str(max(WORD_CHARS, int(spark.conf.get(HASHED_GROUPS)))))
+    pairs = blocks.mapInArrow(words_of, "block bigint, word string").repartition(word_parts, "word")
+    where = pairs.groupBy("word").agg(F.collect_list("block").alias("blocks"))
+    meant = encode_words(where, model).select(F.explode("blocks").alias("block"), "word", "ids")
     both = blocks.groupBy("block").cogroup(meant.groupBy("block"))
     return both.applyInArrow(put_together, "doc_id bigint, ids array<int>, n_tokens bigint, round_trip boolean")
 
 
+ENCODED = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("n_tokens", pa.int64()), ("round_trip", pa.bool_())])
+
+
 def decode_ids(ids: list[int], surfaces: tuple[bytes | None, ...], dummy_prefix: bool) -> str:
     """The text of ids: surfaces and fallback bytes in order, without the space in front; wrong bytes become U+FFFD."""
     text = b"".join([surfaces[i] or b"" for i in ids])

@@ -134,13 +134,13 @@ def resolve_errors(planned: DataFrame, outcomes: DataFrame) -> DataFrame:
     return first.withColumn("resolution", F.when(F.col("resolved"), F.col("resolution")))
 
 
-def restore_point(events: DataFrame, chunk: Column) -> DataFrame:
+def restore_point(events: DataFrame) -> DataFrame:
     """For every error of an input: the newest checkpoint at or before it, if that one is intact.
 
     ``events`` holds both kinds: (input, ts, event_id, kind 'checkpoint' | 'error', intact).
     """
     ckpt = F.when(F.col("kind") == "checkpoint", F.struct("event_id", "intact"))
-    df = asof_last(events, ["input"], ["ts", "event_id"], chunk, ckpt, "__ckpt")
+    df = asof_last(events, ["input"], ["ts", "event_id"], None, ckpt, "__ckpt")
     c = F.col("__ckpt")
     return df.where(F.col("kind") == "error").select(
         "event_id",

@@ -122,7 +122,7 @@ def progress(events: DataFrame) -> DataFrame:
 
 def stage_status(events: DataFrame) -> DataFrame:
     """Status per (job, stage): a later start of another stage completes a running one."""
-    numbered = number_rows(events, ["job_id"], ["ts"], _block("ts"), "__seq")
+    numbered = number_rows(events, ["job_id"], ["ts"], None, "__seq")
     seen = sliding(
         numbered, ["job_id"], "__seq", lambda w: {"__next": F.lead("stage").over(w)}, before=0, after=1
     )

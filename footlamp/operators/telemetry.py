@@ -8,14 +8,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from footlamp.functions.scalars import codes, epoch_us, hour_no, ratio
+from footlamp.functions.scalars import codes, epoch_us, ratio
 from footlamp.plans.ordered import number_rows, running_sums, sliding
 
 ORDER = ["ts", "event_id"]
 
 
 def sequence_hosts(metrics: DataFrame) -> DataFrame:
-    return number_rows(metrics, ["host"], ORDER, hour_no(), "seq")
+    return number_rows(metrics, ["host"], ORDER, None, "seq")
 
 
 # Bottleneck limits in percent and MB/s.
@@ -187,7 +187,7 @@ def checkpoint_integrity(checkpoints: DataFrame) -> DataFrame:
 def newest_first(checkpoints: DataFrame) -> DataFrame:
     """Rank 0 is the newest checkpoint of its input."""
     return number_rows(
-        checkpoints, ["host"], [F.desc("ts"), F.desc("event_id")], -hour_no(), "rank"
+        checkpoints, ["host"], [F.desc("ts"), F.desc("event_id")], None, "rank"
     )
 
 
@@ -206,7 +206,7 @@ def session_pairs(events: DataFrame, opens: Column, closes: Column) -> DataFrame
     A running count of openings numbers the sessions, so pairing is one aggregation and keeps sides
     without a partner.
     """
-    numbered = running_sums(events, ["host"], ORDER, hour_no(), {"session_no": opens.cast("bigint")})
+    numbered = running_sums(events, ["host"], ORDER, None, {"session_no": opens.cast("bigint")})
     us = epoch_us()
     per = numbered.where(opens | closes).groupBy("host", "session_no").agg(
         F.min(F.when(opens, us)).alias("__o"),

@@ -12,19 +12,39 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from footlamp.plans.storage import cut_lineage
+
 CHUNK = 65536
 
 
+def in_ranges(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
+    """Add ``__chunk``: rows in ranges of (keys, order), a range per shuffle partition.
+
+    Ranges are of about equal row counts whatever values the order has, so a key with many rows spans many of them. The
+    rows are stored once, since ranges drawn again could differ.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut_lineage(df.repartitionByRange(n, *keys, *order).withColumn("__chunk", F.spark_partition_id()))
+
+
+def with_chunk(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], chunk: Column | None) -> DataFrame:
+    return in_ranges(df, keys, order) if chunk is None else df.withColumn("__chunk", chunk)
+
+
 def running_sums(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str | Column],
-    chunk: Column,
+    chunk: Column | None,
     sums: dict[str, Column],
 ) -> DataFrame:
-    """Add inclusive running sums along ``order``; ``chunk`` must be monotone in ``order``."""
+    """Add inclusive running sums along ``order``.
+
+    ``chunk`` must be monotone in ``order`` and bounded in rows, as a dense number divided is; with None the rows are
+    cut into ranges of equal size.
+    """
     keys = list(keys)
-    tagged = df.withColumn("__chunk", chunk)
+    tagged = with_chunk(df, keys, order, chunk)
     for name, value in sums.items():
         tagged = tagged.withColumn(f"__in_{name}", value)
     per_chunk = tagged.groupBy(*keys, "__chunk").agg(
@@ -54,7 +74,7 @@ def number_rows(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str | Column],
-    chunk: Column,
+    chunk: Column | None,
     name: str,
 ) -> DataFrame:
     """Add the dense 0-based position of each row in its key."""
@@ -90,13 +110,13 @@ def asof_last(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str | Column],
-    chunk: Column,
+    chunk: Column | None,
     value: Column,
     name: str,
 ) -> DataFrame:
     """Add the newest non-null ``value`` at or before each row of its key."""
     keys = list(keys)
-    tagged = df.withColumn("__chunk", chunk).withColumn("__value", value)
+    tagged = with_chunk(df, keys, order, chunk).withColumn("__value", value)
     inside = Window.partitionBy(*keys, "__chunk").orderBy(*order)
     rank = F.struct(*[F.col(c) if isinstance(c, str) else c for c in order])
     per_chunk = tagged.groupBy(*keys, "__chunk").agg(

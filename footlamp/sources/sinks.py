@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from footlamp.plans.ordered import number_rows
@@ -15,13 +15,13 @@ def write_report(report: DataFrame, path: str, run_date: str, fmt: str = "parque
 
 
 def monitoring_documents(
-    attempts: DataFrame, session: str, order: list[str], chunk: Column, fields: list[str], page: int = 1000
+    attempts: DataFrame, session: str, order: list[str], fields: list[str], page: int = 1000
 ) -> DataFrame:
     """One JSON document per session and page of attempts.
 
     A session may hold any number of attempts, so it is written as numbered pages instead of one value.
     """
-    numbered = number_rows(attempts, [session], order, chunk, "__n")
+    numbered = number_rows(attempts, [session], order, None, "__n")
     paged = numbered.withColumn("part", F.floor(F.col("__n") / page).cast("bigint"))
     docs = paged.groupBy(session, "part").agg(
         F.array_sort(F.collect_list(F.struct("__n", F.struct(*fields).alias("a")))).alias("__items")

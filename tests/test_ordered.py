@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from footlamp.plans.joins import join_per_key
-from footlamp.plans.ordered import asof_last, exact_percentiles, number_rows, running_sums, sliding
+from footlamp.plans.ordered import asof_last, exact_percentiles, in_ranges, number_rows, running_sums, sliding
 
 
 @pytest.fixture(scope="module")
@@ -26,6 +26,23 @@ def fetch(df):
     return df.toPandas().sort_values(["k", "t"], ignore_index=True)
 
 
+def test_ranges_split_a_hot_key(spark):
+    """One key has nearly all rows, all in one hour at microsecond steps: its rows lie in many ranges."""
+    n = 4000
+    pdf = pd.DataFrame({"k": np.where(np.arange(n) % 50 == 0, 1, 0), "t": np.random.default_rng(1).permutation(n), "v": np.arange(n) % 7})
+    df = spark.createDataFrame(pdf)
+    ranges = in_ranges(df, ["k"], ["t"]).where("k = 0").groupBy("__chunk").count().toPandas()["count"]
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert len(ranges) >= parts - 1 and ranges.max() < 2 * n / parts
+    pdf = pdf.sort_values(["k", "t"], ignore_index=True)
+    got = fetch(running_sums(number_rows(df, ["k"], ["t"], None, "n"), ["k"], ["t"], None, {"s": F.col("v")}))
+    assert (got["n"] == pdf.groupby("k").cumcount()).all() and (got["s"] == pdf.groupby("k")["v"].cumsum()).all()
+    newest = fetch(number_rows(df, ["k"], [F.desc("t")], None, "n"))
+    assert (newest["n"] == pdf.groupby("k").cumcount(ascending=False)).all()
+    last = fetch(asof_last(df, ["k"], ["t"], None, F.when(F.col("v") == 0, F.col("t")), "last"))
+    assert (last["last"].fillna(-1) == pdf["t"].where(pdf["v"] == 0).groupby(pdf["k"]).ffill().fillna(-1)).all()
+
+
 def test_number_rows(data):
     df, pdf = data
     got = fetch(number_rows(df, ["k"], ["t"], chunk(), "n"))
