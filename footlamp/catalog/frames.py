@@ -387,6 +387,31 @@ def frm20(t):
     return rounded(O.improvement(pairs(t)), "detail", "clarity", "overall")
 
 
+@query(
+    "frm21_quality_advice",
+    f"""WITH RECURSIVE {FR}, {ENH}, ee AS (SELECT asset_id, frame_no, E AS L, lag(E) OVER (PARTITION BY asset_id ORDER BY frame_no) AS P FROM en), {px('en')}, {px('ee', 'pe')}, {canny('fr', 'k')}, {canny('ee', 'j')},
+    q AS (SELECT asset_id, frame_no, avg((luma - E[i + 1]) * (luma - E[i + 1])) AS mse, stddev_pop(luma) AS s0, stddev_pop(E[i + 1]) AS s1 FROM px GROUP BY asset_id, frame_no),
+    p AS (SELECT asset_id, avg(CASE WHEN mse > 0 THEN 10 * log10(65025 / mse) END) AS psnr FROM q GROUP BY asset_id),
+    w AS (SELECT p.asset_id, p.frame_no, o.wy, o.wx, p.luma::DOUBLE AS a, p.E[p.i + 1]::DOUBLE AS b FROM px p
+      JOIN (SELECT a.k AS wy, b.k AS wx FROM (SELECT unnest(range(2)) AS k) a, (SELECT unnest(range(2)) AS k) b) o ON p.y BETWEEN o.wy AND o.wy + 6 AND p.x BETWEEN o.wx AND o.wx + 6),
+    s AS (SELECT asset_id, frame_no, wy, wx, avg(a) AS ma, avg(b) AS mb, var_samp(a) AS va, var_samp(b) AS vb, covar_samp(a, b) AS c FROM w GROUP BY ALL),
+    f AS (SELECT asset_id, avg(s) AS ssim FROM (SELECT asset_id, frame_no, avg((2 * ma * mb + 6.5025e0) * (2 * c + 58.5225e0) / ((ma * ma + mb * mb + 6.5025e0) * (va + vb + 58.5225e0))) AS s
+      FROM s GROUP BY asset_id, frame_no) GROUP BY asset_id),
+    d AS (SELECT q.asset_id, (avg(CASE WHEN k_d.edges > 0 THEN (j_d.edges - k_d.edges) / k_d.edges ELSE 0 END) + avg(CASE WHEN s0 > 0 THEN (s1 - s0) / s0 ELSE 0 END) + 1) / 3 AS overall
+      FROM q JOIN k_d USING (asset_id, frame_no) JOIN j_d USING (asset_id, frame_no) GROUP BY q.asset_id),
+    c AS (SELECT asset_id, coalesce(stddev_pop(d) > avg(d) * 0.5e0, false) AS flickering FROM (SELECT asset_id, frame_no, avg(abs(luma - P[i + 1])) AS d FROM pe GROUP BY asset_id, frame_no) GROUP BY asset_id)
+    SELECT asset_id, array_to_string(list_filter([CASE WHEN psnr < 25 THEN 'psnr_low' WHEN psnr > 35 THEN 'psnr_excellent' END, CASE WHEN ssim < 0.8e0 THEN 'ssim_low' WHEN ssim > 0.9e0 THEN 'ssim_excellent' END,
+      CASE WHEN asset_id * 1.5e0 < 2 THEN 'size_reasonable' WHEN asset_id * 1.5e0 > 10 THEN 'compress' END, CASE WHEN overall > 0.1e0 THEN 'improved' ELSE 'improvement_limited' END,
+      CASE WHEN flickering THEN 'flickering' END], lambda c: c IS NOT NULL), ',') AS advice
+    FROM p JOIN f USING (asset_id) JOIN d USING (asset_id) JOIN c USING (asset_id)""",
+)
+def frm21_advice(t):
+    p = pairs(t)
+    flicker = O.flicker(enhanced(frames(t))).select("asset_id", "flickering")
+    measures = O.psnr(p).join(O.ssim(p), "asset_id").join(O.improvement(p), "asset_id").join(flicker, "asset_id")
+    return O.quality_advice(measures.withColumn("size_ratio", F.col("asset_id") * 1.5))
+
+
 STABLE = f"""{FR}, {px('fr')}, {COLOUR}, {canny('fr', 'k')},
 st AS (SELECT asset_id, greatest(0e0, 1 - 5 * stddev_pop(m)) AS brightness_score FROM (SELECT asset_id, frame_no, avg(luma) / 255 AS m FROM px GROUP BY ALL) GROUP BY asset_id),
 es AS (SELECT asset_id, greatest(0e0, 1 - 10 * stddev_pop(edges)) AS edge_score FROM k_d GROUP BY asset_id),

@@ -272,20 +272,22 @@ def aud27(t):
 GAIN = " * ".join(f"(CASE WHEN freq BETWEEN {lo} AND {hi} THEN pow(10e0, {g!r}::DOUBLE / 20) ELSE 1 END)" for lo, hi, g in S.speech_table("large"))
 
 
+FORMANT_GAIN = " * ".join(f"(CASE WHEN freq BETWEEN {lo} AND {hi} THEN pow(10e0, {g!r}::DOUBLE / 20) ELSE 1 END)" for lo, hi, g in S.formant_table("small"))
+
+
 @query(
     "aud28_spectral_gain",
     f"""WITH {SPECTRUM_CTE} SELECT asset_id, hop, CAST(bin AS INT) AS bin, {S6(f'mag * {GAIN}')} AS speech, {S6('mag * CASE WHEN freq < 300 THEN exp(-(300 - freq) / 90) WHEN freq > 3400 THEN exp(-(freq - 3400) / 1020) ELSE 1 END')} AS masked,
-    {S6('mag * CASE WHEN freq BETWEEN 80 AND 400 THEN 1.2e0 ELSE 1 END')} AS harmonic FROM spec""",
+    {S6('mag * CASE WHEN freq BETWEEN 80 AND 400 THEN 1.2e0 ELSE 1 END')} AS harmonic, {S6(f'mag * {FORMANT_GAIN}')} AS formants FROM spec""",
 )
 def aud28(t):
-    s = spectra(t)
     lo, hi, k = S.HARMONIC_BAND
-    harmonic_db = 20 * math.log10(k)
-    speech = exploded(S.spectral_gain(s, STEP, S.speech_table("large")), "mag").withColumnRenamed("mag", "speech")
-    masked = exploded(S.dialogue_mask(s, STEP), "mag").withColumnRenamed("mag", "masked")
-    harmonic = exploded(S.spectral_gain(s, STEP, [(lo, hi, harmonic_db)]), "mag").withColumnRenamed("mag", "harmonic")
-    key = ["asset_id", "hop", "bin"]
-    return rounded(speech.join(masked, key).join(harmonic, key), "speech", "masked", "harmonic")
+    s = S.spectral_gain(spectra(t), STEP, S.speech_table("large"), "speech")
+    s = S.dialogue_mask(s, STEP, to="masked")
+    s = S.spectral_gain(s, STEP, [(lo, hi, 20 * math.log10(k))], "harmonic")
+    s = S.spectral_gain(s, STEP, S.formant_table("small"), "formants")
+    cols = ["speech", "masked", "harmonic", "formants"]
+    return rounded(exploded(s, *cols), *cols)
 
 
 @query(

@@ -507,3 +507,26 @@ def master_metrics(scores: DataFrame) -> DataFrame:
     ).withColumn(
         "stability", (F.col("brightness_score") + F.col("edge_score") + F.col("clipping_score")) / 3
     )
+
+
+# Limits of the quality advice.
+PSNR_BAND = (25.0, 35.0)
+SSIM_BAND = (0.8, 0.9)
+SIZE_BAND = (2.0, 10.0)
+LEAST_IMPROVEMENT = 0.1
+
+
+def quality_advice(measures: DataFrame) -> DataFrame:
+    """Advice codes from ``psnr_mean``, ``ssim_mean``, ``size_ratio``, ``overall`` and ``flickering``; a null measure gives none."""
+
+    def band(value: str, limits: tuple[float, float], below: str, above: str) -> Column:
+        return F.when(F.col(value) < limits[0], F.lit(below)).when(F.col(value) > limits[1], F.lit(above))
+
+    found = [
+        band("psnr_mean", PSNR_BAND, "psnr_low", "psnr_excellent"),
+        band("ssim_mean", SSIM_BAND, "ssim_low", "ssim_excellent"),
+        band("size_ratio", SIZE_BAND, "size_reasonable", "compress"),
+        F.when(F.col("overall") > LEAST_IMPROVEMENT, F.lit("improved")).when(F.col("overall").isNotNull(), F.lit("improvement_limited")),
+        F.when(F.col("flickering"), F.lit("flickering")),
+    ]
+    return measures.select("asset_id", F.array_join(F.array_compact(F.array(*found)), ",").alias("advice"))

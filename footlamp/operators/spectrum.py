@@ -29,15 +29,22 @@ SEVEN_BANDS = {
     "sub_bass": (20, 60), "bass": (60, 250), "low_mid": (250, 500), "mid": (500, 2000),
     "high_mid": (2000, 4000), "presence": (4000, 6000), "brilliance": (6000, 20000),
 }
+# Speech bands in Hz with their gain in dB.
 SPEECH_BANDS = [("fundamental", 80, 250, 1.0), ("vowel_clarity", 250, 800, 2.0), ("consonant_clarity", 800, 2500, 3.0),
                 ("presence", 2500, 4000, 2.5), ("brilliance", 4000, 8000, 1.5)]
+# Factor of each speech band's gain by venue.
 VENUE_FACTORS = {
     "small": {"fundamental": 0.8, "vowel_clarity": 0.9, "consonant_clarity": 1.0, "presence": 1.1, "brilliance": 1.2},
     "medium": {"fundamental": 1.0, "vowel_clarity": 1.0, "consonant_clarity": 1.0, "presence": 1.0, "brilliance": 1.0},
     "large": {"fundamental": 1.2, "vowel_clarity": 1.1, "consonant_clarity": 1.0, "presence": 0.9, "brilliance": 0.8},
 }
+# Harmonic band in Hz and its factor.
 HARMONIC_BAND = (80, 400, 1.2)
+# Sharpening strength by venue.
 SHARPEN = {"small": 0.1, "medium": 0.2, "large": 0.3}
+# Formant ranges in Hz, and the boost of each in dB by venue.
+FORMANTS = [(300, 800), (800, 2500), (2500, 3500)]
+FORMANT_BOOSTS = {"small": [1.0, 1.5, 1.0], "medium": [1.5, 2.0, 1.5], "large": [2.0, 2.5, 2.0]}
 
 DOUBLES = T.ArrayType(T.DoubleType())
 SPECTRUM = T.StructType([T.StructField("mag", DOUBLES), T.StructField("phase", DOUBLES)])
@@ -409,7 +416,7 @@ def spectral_gate(spectra: DataFrame, noise_floor_db: float = -60.0, strength: f
     return join_per_key(spectra, limits, ["asset_id"], "hop").withColumn("mag", F.zip_with("mag", "__t", gate)).drop("__t")
 
 
-def spectral_gain(spectra: DataFrame, step: float, table: list[tuple[float, float, float]]) -> DataFrame:
+def spectral_gain(spectra: DataFrame, step: float, table: list[tuple[float, float, float]], to: str = "mag") -> DataFrame:
     """Multiply bins by (low Hz, high Hz, dB) rows, closed at both ends: shared edges multiply twice."""
 
     def apply(m: Column, i: Column) -> Column:
@@ -419,7 +426,12 @@ def spectral_gain(spectra: DataFrame, step: float, table: list[tuple[float, floa
             out = out * F.when((f >= lo) & (f <= hi), F.lit(10 ** (gain / 20))).otherwise(1.0)
         return out
 
-    return spectra.withColumn("mag", F.transform("mag", apply))
+    return spectra.withColumn(to, F.transform("mag", apply))
+
+
+def formant_table(venue: str = "medium") -> list[tuple[float, float, float]]:
+    boosts = FORMANT_BOOSTS.get(venue, FORMANT_BOOSTS["medium"])
+    return [(lo, hi, gain) for (lo, hi), gain in zip(FORMANTS, boosts)]
 
 
 def speech_table(venue: str = "medium") -> list[tuple[float, float, float]]:
@@ -427,14 +439,14 @@ def speech_table(venue: str = "medium") -> list[tuple[float, float, float]]:
     return [(lo, hi, gain * factors[name]) for name, lo, hi, gain in SPEECH_BANDS]
 
 
-def dialogue_mask(spectra: DataFrame, step: float, lo: float = 300.0, hi: float = 3400.0) -> DataFrame:
+def dialogue_mask(spectra: DataFrame, step: float, lo: float = 300.0, hi: float = 3400.0, to: str = "mag") -> DataFrame:
     """Soft roll-off on both sides of the dialogue range."""
 
     def apply(m: Column, i: Column) -> Column:
         f = _freq(i, step)
         return m * F.when(f < lo, F.exp(-(lo - f) / (lo * 0.3))).when(f > hi, F.exp(-(f - hi) / (hi * 0.3))).otherwise(1.0)
 
-    return spectra.withColumn("mag", F.transform("mag", apply))
+    return spectra.withColumn(to, F.transform("mag", apply))
 
 
 def smoothing_matrix(n: int, sigma: float) -> np.ndarray:
