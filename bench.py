@@ -1,7 +1,7 @@
 """Time the headline queries and print one JSON line.
 
 BENCH_SF_DIR picks the tables, BENCH_CPUS the local cores. Every query is run to completion into a sink
-that discards rows, once, after a short warm-up of the session.
+that discards rows, once, after a warm-up that runs the first of them.
 """
 
 from __future__ import annotations
@@ -35,6 +35,7 @@ def main() -> None:
     spark = get_session("bench", os.environ.get("BENCH_CPUS", "8"))
     spark.sparkContext.setLogLevel("ERROR")
     spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("event_type").count().write.format("noop").mode("overwrite").save()
+    REGISTRY[HEADLINE[0]].run(spark, sf_dir).write.format("noop").mode("overwrite").save()
     seconds = {}
     for name in HEADLINE:
         start = time.perf_counter()

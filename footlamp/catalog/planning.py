@@ -186,11 +186,11 @@ def pln9(t):
     v(venue, dist, rt, noise, boost, cut, vt) AS (VALUES ('small', 8e0, 1.2e0, 0.3e0, 6e0, 0.7e0, 0.8e0), ('medium', 15e0, 1.8e0, 0.4e0, 4e0, 0.5e0, 1e0),
       ('large', 25e0, 2.5e0, 0.5e0, 2e0, 0.3e0, 1.2e0)),
     q(quality, tile, bat, den, mem, tf) AS (VALUES ('fast', 512, 4, 0.5e0, 0.6e0, 1e0), ('balanced', 768, 2, 0.7e0, 0.7e0, 2e0), ('high', 1024, 1, 0.9e0, 0.8e0, 4e0))
-    SELECT u.venue, u.quality, n_assets, tile AS tile_size, bat AS batch, den AS denoise, mem AS memory_usage, boost AS dialogue_boost, cut AS noise_reduction,
+    SELECT v.venue, q.quality, coalesce(n_assets, 0) AS n_assets, tile AS tile_size, bat AS batch, den AS denoise, mem AS memory_usage, boost AS dialogue_boost, cut AS noise_reduction,
       {S6('least(0.9e0, rt / 3)')} AS reverb_reduction, {S6('least(0.8e0, 0.3e0 + dist / 50)')} AS spatial, {S6('0.2e0 + noise * 0.3e0')} AS compression,
       CAST((tile * tile * 12 * bat) // 1048576 AS BIGINT) AS estimated_mb, CAST(trunc(((tile * tile * 12 * bat) // 1048576) / mem) AS BIGINT) AS system_mb,
-      {S6('tf * vt')} AS time_factor, (u.venue, u.quality) IN (('small','fast'),('small','balanced'),('medium','balanced'),('medium','high'),('large','balanced'),('large','high')) AS recommended
-    FROM u JOIN v ON u.venue = v.venue JOIN q ON u.quality = q.quality""",
+      {S6('tf * vt')} AS time_factor, (v.venue, q.quality) IN (('small','fast'),('small','balanced'),('medium','balanced'),('medium','high'),('large','balanced'),('large','high')) AS recommended
+    FROM v CROSS JOIN q LEFT JOIN u ON u.venue = v.venue AND u.quality = q.quality""",
 )
 def pln10(t):
     df = P.preset_matrix(rows(t, "media_asset"))

@@ -309,9 +309,11 @@ def preset_fields(df: DataFrame) -> DataFrame:
 
 
 def preset_matrix(assets: DataFrame) -> DataFrame:
-    """Every venue and quality pair seen in ``assets`` with its preset and number of assets."""
+    """Every venue and quality pair with its preset and number of assets, 0 for pairs that no asset has."""
     used = assets.groupBy("venue", "quality").agg(F.count(F.lit(1)).alias("n_assets"))
-    return preset_fields(used)
+    pairs = ", ".join(f"('{v}', '{q}')" for v in VENUE_TIME for q in TIME_FACTOR)
+    every = assets.sparkSession.sql(f"SELECT * FROM VALUES {pairs} AS t(venue, quality)")
+    return preset_fields(every.join(used, ["venue", "quality"], "left").withColumn("n_assets", F.coalesce("n_assets", F.lit(0).cast("bigint"))))
 
 
 def adjust_for_venue(plan: DataFrame) -> DataFrame:
