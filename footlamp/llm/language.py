@@ -40,14 +40,20 @@ for _c in range(26):
 
 
 def ngrams(text: bytes) -> Iterator[np.ndarray]:
-    """4-byte n-grams of the letters of a UTF-8 text, other characters being one space; slices overlap by three."""
+    """4-byte n-grams of the letters of a UTF-8 text, every run of other characters being one space.
+
+    A long text is taken in slices; the last three bytes of one are carried into the next, so none is lost or doubled.
+    """
+    carry = np.zeros(0, dtype=np.uint8)
     for at in range(0, max(1, len(text)), SLICE):
-        part = text[max(0, at - 3) : at + SLICE]
-        raw = np.frombuffer(b" " + part + b" " if at + SLICE >= len(text) else b" " * (at == 0) + part, dtype=np.uint8)
-        b = _FOLD[raw]
+        part = text[at : at + SLICE]
+        raw = b" " * (at == 0) + part + b" " * (at + SLICE >= len(text))
+        b = np.concatenate([carry, _FOLD[np.frombuffer(raw, dtype=np.uint8)]])
         keep = np.ones(len(b), dtype=bool)
         keep[1:] = (b[1:] != 32) | (b[:-1] != 32)
-        b = b[keep].astype(np.uint32)
+        b = b[keep]
+        carry = b[-3:]
+        b = b.astype(np.uint32)
         if len(b) > 3:
             yield b[:-3] | b[1:-2] << np.uint32(8) | b[2:-1] << np.uint32(16) | b[3:] << np.uint32(24)
 

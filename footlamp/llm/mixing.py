@@ -162,7 +162,11 @@ def permuted(k: Column, blocks: Column, source_no: Column) -> tuple[Column, Colu
 
 
 def plan_mix(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, block: int = BLOCK, seed: int = 0) -> Mix:
-    """Mix documents given as ``doc_id, source, key, size`` (see the module text for the steps)."""
+    """Mix documents given as ``doc_id, source, key, size`` (see the module text for the steps).
+
+    A null source is a source of its own, the last. Documents of size 0 (null, empty and blank texts) stay with nothing
+    taken. Repeated rows have places of their own. Without a word, or without rows, all targets are 0.
+    """
     spark = sized.sparkSession
     sources = cut_lineage(source_targets(sized, weights, cap, block))
     placed = cut_lineage(place(sized, sources))
@@ -183,7 +187,7 @@ def sized_documents(docs: DataFrame) -> DataFrame:
 
 
 def taken_words(mix: Mix) -> DataFrame:
-    """``doc_id, size, source_size, target, taken`` of every document, 0 taken where no block of it is used."""
+    """``doc_id, size, source_size, target, taken`` of every row, 0 taken where no block of it is used; null ids stay."""
     used = mix.pieces.join(mix.slots.select("source_no", "block_no"), ["source_no", "block_no"])
     used = used.groupBy("source_no", "start").agg(F.sum("words").alias("taken"))
     used = used.select("source_no", "start", "taken", F.lit(True).alias("full"))
