@@ -17,7 +17,6 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +31,7 @@ SPACE_PIECE = "▁"
 #: Characters of a lattice at most; its boundaries are the bits of one integer.
 LONG = 48
 #: Characters of text in a block of documents.
-BLOCK_CHARS = 48_000_000
+BLOCK_CHARS = 32_000_000
 #: Characters of text for each partition of words. A word's edges are gathered by hash, without a sort, so partitions are kept small.
 WORD_CHARS = 8_000_000
 HASHED_GROUPS = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
@@ -312,8 +311,22 @@ def encode(docs: DataFrame, model: PieceModel, key: str = "doc_id", text: str =
     def put_together(left: pa.Table, right: pa.Table) -> pa.Table:
         import sentencepiece
 
-        ids = dict(zip(right.column("word").to_pylist(), right.column("ids").to_pylist()))
+        number = {w: i for i, w in enumerate(right.column("word").to_pylist())}
+        flat, edge = np.zeros(0, dtype=np.int32), np.zeros(1, dtype=np.int64)
+        if right.num_rows:
+            coded = right.column("ids").combine_chunks()
+            flat, edge = coded.flatten().to_numpy(zero_copy_only=False), coded.offsets.to_numpy().astype(np.int64)
+            edge = edge - edge[0]
         lib = None
+        long_words: dict[str, np.ndarray] = {}
+
+        def ids_of(words: list[str]) -> np.ndarray:
+            """Ids of known words, gathered in one step."""
+            at = np.fromiter(map(number.__getitem__, words), dtype=np.int64, count=len(words))
+            starts, sizes = edge[at], edge[at + 1] - edge[at]
+            ends = np.cumsum(sizes)
+            return flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)]
+
         out: list[pa.Table] = []
         for blob in left.column("docs"):
             docs_ = _unpack(blob.as_py())
@@ -326,14 +339,19 @@ def encode(docs: DataFrame, model: PieceModel, key: str = "doc_id", text: str =
                     continue
                 value = t.as_py()
                 words = splitter.findall(normalise(value))
-                for w in words:
-                    if len(w) > LONG and w not in ids:
-                        lib = lib or library(sentencepiece, file)
-                        ids[w] = lib.encode(w)
-                own = list(chain.from_iterable(map(ids.__getitem__, words)))
-                found.append(np.array(own, dtype=np.int32))
+                parts, begin = [], 0
+                for i, w in enumerate(words):
+                    if len(w) > LONG:
+                        if w not in long_words:
+                            lib = lib or library(sentencepiece, file)
+                            long_words[w] = np.array(lib.encode(w), dtype=np.int32)
+                        parts += [ids_of(words[begin:i]), long_words[w]]
+                        begin = i + 1
+                parts.append(ids_of(words[begin:]))
+                own = np.concatenate(parts) if len(parts) > 1 else parts[0]
+                found.append(own)
                 n.append(len(own))
-                trip.append(decode_ids(own, surfaces, dummy) == value)
+                trip.append(decode_ids(own.tolist(), surfaces, dummy) == value)
             out.append(
                 pa.table({"doc_id": docs_.column("doc_id"), "ids": pa.array(found, pa.list_(pa.int32())), "n_tokens": pa.array(n, pa.int64()), "round_trip": pa.array(trip, pa.bool_())})
             )

@@ -35,6 +35,8 @@ def test_encoding_is_the_library_s(spark, model):
     marked = sentencepiece_lattice.encode(texts(spark, ["a▁b"]), model).collect()[0]
     assert marked.ids == library.encode("a▁b") and not marked.round_trip
     assert sentencepiece_lattice.encode(texts(spark).limit(0), model).count() == 0
+    bare = sentencepiece_lattice.encode(texts(spark, ["", None, "z" * 60]), model).collect()
+    assert sorted((r.doc_id, r.n_tokens) for r in bare) == [(0, 0), (1, 0), (2, len(library.encode("z" * 60)))]
 
 
 def test_decoding(spark, model):
