@@ -68,7 +68,10 @@ def str3(t):
     return rounded(df.withColumn("start_us", F.unix_micros("start")).drop("start"), "cpu_avg", "mem_avg")
 
 
-@query("str4_stream_bottlenecks", REGISTRY["win4_bottleneck_last_n"].sql)
+@query(
+    "str4_stream_bottlenecks",
+    f"""WITH q AS ({REGISTRY["win4_bottleneck_last_n"].sql}), {SEEN} SELECT q.* FROM q JOIN events e ON e.event_id = q.event_id, wm WHERE e.ts <= w""",
+)
 def str4(t):
     m = metric_stream(t).selectExpr("*", "CASE WHEN host % 2 = 0 THEN value / 4 END AS gpu_pct", "value * 1.5e0 AS disk_mb_s")
     m = m.select("host", "ts", "event_id", "cpu_pct", F.col("mem_pct").cast("double").alias("mem_pct"), "gpu_pct", "disk_mb_s")
@@ -109,25 +112,25 @@ def str6(t):
 
 @query(
     "str7_stream_session_pairs",
-    f"""WITH {METRIC} SELECT o.host, o.event_id AS open_id, c.event_id AS close_id, {S6('(epoch_us(c.ts) - epoch_us(o.ts)) / 1e6')} AS duration_s
-    FROM metric o JOIN metric c ON o.host = c.host AND o.kind = 'signup' AND c.kind = 'purchase' AND c.ts >= o.ts AND c.ts <= o.ts + INTERVAL 1 DAY""",
+    f"""WITH {METRIC}, k AS (SELECT * FROM metric WHERE kind IN ('signup', 'purchase')), wm AS (SELECT max(ts) - INTERVAL 10 MINUTES AS w FROM k),
+    s AS (SELECT *, sum(CASE WHEN kind = 'signup' THEN 1 ELSE 0 END) OVER (PARTITION BY host ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS n FROM k, wm WHERE ts <= w),
+    c AS (SELECT host, n, event_id AS close_id, ts FROM s WHERE kind = 'purchase' QUALIFY row_number() OVER (PARTITION BY host, n ORDER BY ts, event_id) = 1)
+    SELECT o.host, o.event_id AS open_id, close_id, {S6('(epoch_us(c.ts) - epoch_us(o.ts)) / 1e6')} AS duration_s FROM s o JOIN c ON c.host = o.host AND c.n = o.n WHERE o.kind = 'signup'""",
 )
 def str7(t):
-    m = metric_stream(t).select("host", "ts", "event_id", "kind")
-    df = L.drain(L.stream_session_pairs(m.where("kind = 'signup'"), m.where("kind = 'purchase'")), "pairs")
-    span = (F.unix_micros("close_ts") - F.unix_micros("open_ts")) / 1e6
-    return df.select("host", "open_id", "close_id", r6(span).alias("duration_s"))
+    df = L.drain(L.stream_session_pairs(metric_stream(t)), "pairs")
+    return df.select("host", "open_id", "close_id", r6((F.col("close_us") - F.col("open_us")) / 1e6).alias("duration_s"))
 
 
 @query(
     "str8_stream_checkpoint_cadence",
-    f"""WITH RECURSIVE {METRIC}, s AS MATERIALIZED (SELECT host, event_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY host ORDER BY ts, event_id) AS rn FROM metric),
+    f"""WITH RECURSIVE {METRIC}, {SEEN}, s AS MATERIALIZED (SELECT host, event_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY host ORDER BY ts, event_id) AS rn FROM metric, wm WHERE ts <= w),
     r AS (SELECT host, event_id, us, rn, us AS last, true AS hit FROM s WHERE rn = 1
       UNION ALL SELECT s.host, s.event_id, s.us, s.rn, CASE WHEN s.us - r.last >= 129600000000 THEN s.us ELSE r.last END, s.us - r.last >= 129600000000 FROM r JOIN s ON s.host = r.host AND s.rn = r.rn + 1)
     SELECT host, event_id, us FROM r WHERE hit""",
 )
 def str8(t):
-    m = metric_stream(t).select("host", "event_id", "us")
+    m = metric_stream(t).select("host", "ts", "event_id", "us")
     return L.drain(L.stream_checkpoint_cadence(m, 36 * 3600.0), "cadence")
 
 

@@ -7,7 +7,8 @@ a busy host costs state time, not memory.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -130,16 +131,6 @@ def stream_recovery_sessions(attempts: DataFrame, gap: str = "5 minutes") -> Dat
     )
 
 
-def stream_session_pairs(opens: DataFrame, closes: DataFrame, bound: str = "1 day") -> DataFrame:
-    """Join openings with closings of the same host at most ``bound`` later; both sides expire."""
-    o = opens.select(F.col("host"), F.col("ts").alias("open_ts"), F.col("event_id").alias("open_id")).withWatermark("open_ts", WATERMARK)
-    c = closes.select(F.col("host").alias("c_host"), F.col("ts").alias("close_ts"), F.col("event_id").alias("close_id")).withWatermark(
-        "close_ts", WATERMARK
-    )
-    on = F.expr(f"host = c_host AND close_ts >= open_ts AND close_ts <= open_ts + INTERVAL {bound}")
-    return o.join(c, on).drop("c_host")
-
-
 # Stateful functions -------------------------------------------------------------------------------
 
 
@@ -147,13 +138,59 @@ def _sorted(chunks: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
     return pd.concat(list(chunks), ignore_index=True).sort_values(by, ignore_index=True)
 
 
+Step = Callable[[tuple, object, pd.DataFrame], tuple[object, pd.DataFrame]]
+
+
+def in_event_order(events: DataFrame, key: str, step: Step, schema: str, time: str = "us") -> DataFrame:
+    """Apply ``step(key, own state, rows) -> (own state, output)`` to each key's rows in event order.
+
+    Rows are held in the state until the watermark has passed them, so files may arrive in any order within it and
+    a trigger's borders do not matter. What is held is bounded by the watermark's delay; rows later than that are dropped. ``events``
+    has ``ts``, microseconds as ``time``, and ``event_id``.
+    """
+
+    def run(key_: tuple, chunks: Iterator[pd.DataFrame], state: GroupState):
+        own, held = pickle.loads(state.get[0]) if state.exists else (None, None)
+        parts = ([] if held is None else [held]) + ([] if state.hasTimedOut else list(chunks))
+        rows = pd.concat(parts, ignore_index=True).sort_values([time, "event_id"], ignore_index=True)
+        mark = state.getCurrentWatermarkMs()
+        ready = rows[time] <= mark * 1000
+        if ready.any():
+            own, out = step(key_, own, rows[ready].reset_index(drop=True))
+            yield out
+        rest = rows[~ready]
+        state.update((pickle.dumps((own, rest)),))
+        if len(rest):
+            state.setTimeoutTimestamp(max(int(rest[time].min()) // 1000 - 1, mark + 1))  # a timer fires once the watermark is past it
+
+    marked = events.withWatermark("ts", WATERMARK)
+    return marked.groupBy(key).applyInPandasWithState(run, schema, "held BINARY", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def stream_session_pairs(events: DataFrame, opens: str = "signup", closes: str = "purchase") -> DataFrame:
+    """Join an opening with the first closing before the next opening of the same host: at most one row an opening."""
+    columns = ["host", "open_id", "close_id", "open_us", "close_us"]
+
+    def step(key, own, rows):
+        pairs = []
+        for us, event_id, kind in zip(rows["us"], rows["event_id"], rows["kind"]):
+            if kind == opens:
+                own = (int(us), int(event_id))
+            elif kind == closes and own is not None:
+                pairs.append((key[0], own[1], int(event_id), own[0], int(us)))
+                own = None
+        return own, pd.DataFrame(pairs, columns=columns)
+
+    wanted = events.where(F.col("kind").isin(opens, closes)).select("host", "ts", "us", "event_id", "kind")
+    return in_event_order(wanted, "host", step, "host BIGINT, open_id BIGINT, close_id BIGINT, open_us BIGINT, close_us BIGINT")
+
+
 def stream_bottlenecks(metrics: DataFrame, n: int = 5) -> DataFrame:
-    """Bottlenecks over the last ``n`` arrivals of each host; the state is the last ``n - 1`` samples."""
+    """Bottlenecks over the last ``n`` samples of each host in event order; the state is the last ``n - 1`` of them."""
     cols = ["cpu_pct", "mem_pct", "gpu_pct", "disk_mb_s"]
 
-    def step(key, chunks, state: GroupState):
-        rows = _sorted(chunks, ["ts", "event_id"])
-        seen, old = (0, []) if not state.exists else (state.get[0], list(state.get[1]))
+    def step(key, own, rows):
+        seen, old = (0, []) if own is None else own
         old = np.array(old, dtype=float).reshape(-1, len(cols))
         new = rows[cols].to_numpy(dtype=float)
         both = np.vstack([old, new])
@@ -171,13 +208,11 @@ def stream_bottlenecks(metrics: DataFrame, n: int = 5) -> DataFrame:
         out.insert(0, "event_id", rows["event_id"].to_numpy())
         out.insert(0, "host", key[0])
         kept = both[-(n - 1) :]
-        state.update((seen + len(rows), kept.ravel().tolist()))
-        yield out.astype(object).where(out.notna(), None)
+        return (seen + len(rows), kept.ravel().tolist()), out.astype(object).where(out.notna(), None)
 
     schema = "host BIGINT, event_id BIGINT, seq BIGINT, m_cpu_pct DOUBLE, m_mem_pct DOUBLE, m_gpu_pct DOUBLE, m_disk_mb_s DOUBLE"
-    df = metrics.groupBy("host").applyInPandasWithState(
-        step, schema, "seen BIGINT, tail ARRAY<DOUBLE>", "append", GroupStateTimeout.NoTimeout
-    )
+    timed = metrics.withColumn("us", F.unix_micros("ts"))
+    df = in_event_order(timed, "host", step, schema)
     enough = F.col("seq") >= n - 1
 
     def known(c: str) -> Column:
@@ -197,7 +232,8 @@ def stream_ema(frames: DataFrame, alpha: float = 0.1, block: int = 4096) -> Data
     """out_t = (1 - alpha) * frame_t + alpha * out_(t-1), on the stabilised frame.
 
     Pixels do not see each other, so a frame is cut into blocks and a long recording is spread over
-    (asset, block) states.
+    (asset, block) states. Frames have no event time: the source must give an asset's frames in order of ``frame_key``
+    from trigger to trigger; within a trigger they are sorted.
     """
     n_blocks = F.ceil(F.size("luma") / block).cast("int")
     parts = frames.select("asset_id", "frame_key", "luma", F.explode(F.sequence(F.lit(0), n_blocks - 1)).alias("block"))
@@ -223,20 +259,15 @@ def stream_checkpoint_cadence(events: DataFrame, every_s: float = 300.0) -> Data
     """Emit a restore point for the first event and then whenever ``every_s`` have passed since the last."""
     every = int(every_s * 1e6)
 
-    def step(key, chunks, state: GroupState):
-        rows = _sorted(chunks, ["us", "event_id"])
-        last = state.get[0] if state.exists else None
+    def step(key, last, rows):
         picked = []
         for us, event_id in zip(rows["us"], rows["event_id"]):
             if last is None or us - last >= every:
                 last = int(us)
                 picked.append((key[0], int(event_id), last))
-        state.update((last,))
-        yield pd.DataFrame(picked, columns=["host", "event_id", "us"])
+        return last, pd.DataFrame(picked, columns=["host", "event_id", "us"])
 
-    return events.groupBy("host").applyInPandasWithState(
-        step, "host BIGINT, event_id BIGINT, us BIGINT", "last BIGINT", "append", GroupStateTimeout.NoTimeout
-    )
+    return in_event_order(events, "host", step, "host BIGINT, event_id BIGINT, us BIGINT")
 
 
 def stream_stalled_jobs(events: DataFrame, minutes: float, expected: int) -> DataFrame:
