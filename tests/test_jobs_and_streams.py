@@ -153,7 +153,7 @@ def test_bottlenecks_over_batches(spark, telemetry, tmp_path):
 
 def test_pairs_take_the_first_close(spark, tmp_path):
     kinds = ["signup", "purchase", "purchase", "signup", "signup", "purchase", "view", "purchase"]
-    rows = [(1, i, i * 60_000_000, k) for i, k in enumerate(kinds)] + [(1, 99, 10**10, "signup")]
+    rows = [(1, i, (i + 1) * 60_000_000, k) for i, k in enumerate(kinds)] + [(1, 99, 10**10, "signup")]
     df = spark.createDataFrame(rows, "host BIGINT, event_id BIGINT, us BIGINT, kind STRING").withColumn("ts", F.timestamp_micros("us"))
     write_batches(spark, tmp_path, df, ["event_id IN (0, 2, 5)", "event_id IN (1, 3, 4, 6, 7)", "event_id = 99"])
     stream = L.read_stream(spark, str(tmp_path), "*.parquet", df.schema, max_files=1)
@@ -188,7 +188,7 @@ def test_ema_over_batches(spark, tmp_path):
 
 
 def test_cadence_over_batches(spark, tmp_path):
-    df = spark.createDataFrame([(1, i, i * 100_000_000) for i in range(26)], "host BIGINT, event_id BIGINT, us BIGINT")
+    df = spark.createDataFrame([(1, i, (i + 1) * 100_000_000) for i in range(26)], "host BIGINT, event_id BIGINT, us BIGINT")
     df = df.withColumn("ts", F.timestamp_micros("us"))
     write_batches(spark, tmp_path, df, ["event_id < 4 OR event_id = 6", "event_id IN (4, 5) OR event_id > 6"])
     stream = L.read_stream(spark, str(tmp_path), "*.parquet", df.schema, max_files=1)
