@@ -141,14 +141,10 @@ def edges(words: DataFrame, model: PieceModel) -> DataFrame:
     distinct and already partitioned by word, so grouping their edges again needs no shuffle.
     """
     n = F.length("word")
-    starts = F.sequence(F.lit(0), n - 1)
-    spans = F.flatten(
-        F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(model.longest), n - i)), lambda l: F.struct(i.alias("start"), l.alias("size"))))
-    )
     rest = [c for c in words.columns if c != "word"]
-    parts = words.select("*", F.explode(spans).alias("s")).select(
-        "word", *rest, F.col("s.start").alias("start"), F.col("s.size").alias("size"), F.expr("substring(word, s.start + 1, s.size)").alias("piece")
-    )
+    starts = words.select("word", *rest, F.explode(F.sequence(F.lit(0), n - 1)).alias("start"))
+    spans = starts.select("*", F.explode(F.sequence(F.lit(1), F.least(F.lit(model.longest), n - F.col("start")))).alias("size"))
+    parts = spans.withColumn("piece", F.expr("substring(word, start + 1, size)"))
     known = F.broadcast(piece_table(words.sparkSession, model))  # at most MAX_PIECES short rows, checked when the model was read
     hits = parts.join(known, "piece", "left").where("id IS NOT NULL OR size = 1")
     if model.kind == BPE:
