@@ -179,16 +179,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     return rows.join(names, "fp").select("doc_id", "key", "fp", "component_id")
 
 
-def deduplicate(docs: DataFrame) -> DataFrame:
-    """One row of each component: the one of the smallest id, then the smallest text hash; other columns stay.
-
-    ``docs`` has the columns of ``documents``. A component of null ids only keeps one of its rows too.
-    """
-    found = near_duplicates(docs)
+def keep_first(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The row of ``docs`` of the smallest id, then the smallest text hash, of each group ``g`` of ``found`` (``doc_id, key, g``)."""
     place = F.struct(F.col("doc_id").isNull(), "doc_id", "key")
-    # a component of null ids has no name, so it goes by its root, which is the fingerprint's own here
-    group = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("fp"), F.col("fp").cast("string")))
-    best = found.groupBy(group.alias("g")).agg(F.min(place).alias("best")).select("best.doc_id", "best.key")
+    best = found.groupBy("g").agg(F.min(place).alias("best")).select("best.doc_id", "best.key")
     best = best.select(F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("no_id"), "key").distinct()
     ids = {"id": F.coalesce(F.col("doc_id"), F.lit(0)), "no_id": F.col("doc_id").isNull(), "key": text_key(F.col("text"))}
     names = docs.columns
@@ -197,6 +191,16 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     return kept.select("row.*")
 
 
+def deduplicate(docs: DataFrame) -> DataFrame:
+    """One row of each component: the one of the smallest id, then the smallest text hash; other columns stay.
+
+    ``docs`` has the columns of ``documents``. A component of null ids only keeps one of its rows too.
+    """
+    # a component of null ids has no name, so it goes by its root, which is the fingerprint's own here
+    group = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("fp"), F.col("fp").cast("string")))
+    return keep_first(docs, near_duplicates(docs).withColumn("g", group))
+
+
 @query("op4_simhash")
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's fingerprint and component."""
