@@ -24,14 +24,15 @@ DEGREE = 24
 ORDERS = 6
 GROUP = 128
 SIGN_BITS = 24
-#: Rounds of NN-descent at most, and new and old members that a node brings together in one.
-ROUNDS = 4
+#: Rounds of NN-descent that are far more than any graph takes; reaching them is an error. New and old members that a node brings
+#: together in one round.
+ROUNDS = 60
 SAMPLE = 16
 #: A round that improves less than this share of all links is the last.
 LEAST_CHANGE = 0.01
-#: Nodes a search keeps and goes on from; steps at most.
+#: Nodes a search keeps and goes on from; steps that are far more than any search takes, reaching them is an error.
 BEAM = 96
-STEPS = 8
+STEPS = 200
 ENTRIES = 16
 NEAREST = 10
 
@@ -71,7 +72,7 @@ LINK = "node bigint, nbr bigint, d double"
 
 def nearest_only(links: DataFrame, degree: int = DEGREE) -> DataFrame:
     """The ``degree`` nearest distinct neighbours of each node; Spark limits each task's part of a node first."""
-    each = links.groupBy("node", "nbr").agg(F.min("d").alias("d"), F.min("fresh").alias("fresh"))
+    each = links.groupBy("node", "nbr").agg(F.min("d").alias("d"), F.min("fresh").alias("fresh"), F.max("improved").alias("improved"))
     place = F.row_number().over(Window.partitionBy("node").orderBy("d", "nbr"))
     return each.withColumn("place", place).where(F.col("place") <= degree).drop("place")
 
@@ -125,14 +126,14 @@ def first_links(nodes: DataFrame, dim: int, orders: int = ORDERS, group: int = G
     links = out[0]
     for more in out[1:]:
         links = links.unionByName(more)
-    return cut_lineage(nearest_only(links.withColumn("fresh", F.lit(True)), degree))
+    return cut_lineage(nearest_only(links.withColumn("fresh", F.lit(True)).withColumn("improved", F.lit(True)), degree))
 
 
 def descend(graph: DataFrame, nodes: DataFrame, round_no: int, degree: int = DEGREE, sample: int = SAMPLE) -> DataFrame:
     """One round: join neighbours of the same node, forward and backward, and measure pairs with a new member.
 
     A node brings together at most ``sample`` new and ``sample`` old members, chosen anew in each round, as NN-descent does; so
-    a node that is near to very many others is no hot group.
+    a node that is near to very many others is no hot group. A link is old once its node has drawn it; until then it stays new.
     """
     both = graph.select(F.col("node").alias("center"), F.col("nbr").alias("member"), "fresh").unionByName(
         graph.select(F.col("nbr").alias("center"), F.col("node").alias("member"), "fresh")
@@ -140,6 +141,7 @@ def descend(graph: DataFrame, nodes: DataFrame, round_no: int, degree: int = DEG
     members = both.groupBy("center", "member").agg(F.max("fresh").alias("fresh"))
     place = F.row_number().over(Window.partitionBy("center", "fresh").orderBy(F.xxhash64("center", "member", F.lit(round_no))))
     members = members.withColumn("place", place).where(F.col("place") <= sample).drop("place")
+    members = cut_lineage(members)
     worst = graph.groupBy("node").agg(F.max("d").alias("worst"), F.count(F.lit(1)).alias("n"))
     worst = worst.select("node", F.when(F.col("n") >= degree, F.col("worst")).otherwise(float("inf")).alias("worst"))
     known = nodes.join(worst, "node", "left").select(F.col("node").alias("member"), F.coalesce("worst", F.lit(float("inf"))).alias("worst"), "vec")
@@ -177,7 +179,11 @@ def descend(graph: DataFrame, nodes: DataFrame, round_no: int, degree: int = DEG
         yield _links(np.concatenate(a), np.concatenate(b), np.concatenate(d))
 
     found = local.mapInArrow(pairs, LINK).withColumn("fresh", F.lit(True))
-    return cut_lineage(nearest_only(graph.withColumn("fresh", F.lit(False)).unionByName(found), degree))
+    met = members.where("fresh").select(F.col("center").alias("node"), F.col("member").alias("nbr"), F.lit(True).alias("met"))
+    aged = graph.join(met, ["node", "nbr"], "left").select("node", "nbr", "d", (F.col("fresh") & F.col("met").isNull()).alias("fresh"))
+    known_links = graph.select("node", "nbr")
+    new = found.join(known_links, ["node", "nbr"], "left_anti").withColumn("improved", F.lit(True))
+    return cut_lineage(nearest_only(aged.withColumn("improved", F.lit(False)).unionByName(new), degree))
 
 
 def build_graph(nodes: DataFrame, degree: int = DEGREE, rounds: int = ROUNDS) -> DataFrame:
@@ -188,10 +194,12 @@ def build_graph(nodes: DataFrame, degree: int = DEGREE, rounds: int = ROUNDS) ->
     graph = first_links(nodes, first[0][0], degree=degree)
     for r in range(rounds):
         graph = descend(graph, nodes, r, degree)
-        change = graph.agg(F.avg(F.col("fresh").cast("double"))).first()[0] or 0.0
+        change = graph.agg(F.avg(F.col("improved").cast("double"))).first()[0] or 0.0
         if change < LEAST_CHANGE:
             break
-    return graph.drop("fresh")
+    else:
+        raise RuntimeError(f"NN-descent did not settle in {rounds} rounds")
+    return graph.select("node", "nbr", "d")
 
 
 def exact(a: Column, b: Column) -> Column:
@@ -223,6 +231,8 @@ def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, entries: Data
         state = cut_lineage(both.withColumn("place", F.row_number().over(best)).where(F.col("place") <= beam).drop("place"))
         if not state.where("NOT done").limit(1).count():
             break
+    else:
+        raise RuntimeError(f"the search did not settle in {steps} steps")
     return state.select("query", "node", "d")
 
 

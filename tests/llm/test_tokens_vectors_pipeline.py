@@ -154,3 +154,15 @@ def test_pipeline_stages(spark):
     assert docs.count() == inputs[4].count() and docs.where("NOT round_trip").count() == 0
     got, want = corpus_pipeline.run(spark, SF), docs
     assert sorted((r.doc_id, r.n_tokens) for r in got.collect()) == sorted((r.doc_id, r.n_tokens) for r in want.collect())
+
+
+def test_neighbours_undrawn_links_stay_fresh(spark):
+    """A round ages only links whose node drew them; a star's centre draws ``SAMPLE`` of its many members."""
+    rng = np.random.default_rng(2)
+    n = 60
+    nodes = spark.createDataFrame([(i, rng.standard_normal(4).tolist()) for i in range(n)], "node bigint, vec array<double>")
+    star = spark.createDataFrame([(0, i, 0.0, True, True) for i in range(1, n)], "node bigint, nbr bigint, d double, fresh boolean, improved boolean")
+    after = neighbours.descend(star, nodes, 0, degree=n).where("node = 0").collect()
+    assert len(after) == n - 1 and sum(not r.fresh for r in after) == neighbours.SAMPLE
+    with pytest.raises(RuntimeError):
+        neighbours.build_graph(nodes, degree=4, rounds=0)
