@@ -9,17 +9,21 @@ from __future__ import annotations
 
 import pickle
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from footlamp.operators.telemetry import bottleneck_codes
 from footlamp.plans.storage import scratch_dir
 
 WATERMARK = "10 minutes"
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 # Running a stream ---------------------------------------------------------------------------------
@@ -33,18 +37,30 @@ def read_stream(spark: SparkSession, folder: str, pattern: str, schema, max_file
     return reader.parquet(folder)
 
 
+@contextmanager
+def rocksdb_state(spark: SparkSession) -> Iterator[None]:
+    """Streams started inside keep their state in RocksDB; the session's own setting comes back afterwards."""
+    before = spark.conf.get(STATE_STORE, None)
+    spark.conf.set(STATE_STORE, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.unset(STATE_STORE) if before is None else spark.conf.set(STATE_STORE, before)
+
+
 def drain(stream: DataFrame, name: str) -> DataFrame:
     """Run an append-mode stream over all available input and return the sink table."""
     spark = stream.sparkSession
     path = scratch_dir(spark, name)
-    query = (
-        stream.writeStream.outputMode("append")
-        .format("parquet")
-        .option("checkpointLocation", scratch_dir(spark, f"{name}-state"))
-        .trigger(availableNow=True)
-        .start(path)
-    )
-    query.awaitTermination()
+    with rocksdb_state(spark):
+        query = (
+            stream.writeStream.outputMode("append")
+            .format("parquet")
+            .option("checkpointLocation", scratch_dir(spark, f"{name}-state"))
+            .trigger(availableNow=True)
+            .start(path)
+        )
+        query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(path)
 
 
@@ -141,30 +157,63 @@ def _sorted(chunks: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
 Step = Callable[[tuple, object, pd.DataFrame], tuple[object, pd.DataFrame]]
 
 
-def in_event_order(events: DataFrame, key: str, step: Step, schema: str, time: str = "us") -> DataFrame:
+def in_event_order(events: DataFrame, key: str, step: Step, schema: str, time: str = "us", bucket_s: float = 60.0) -> DataFrame:
     """Apply ``step(key, own state, rows) -> (own state, output)`` to each key's rows in event order.
 
-    Rows are held in the state until the watermark has passed them, so files may arrive in any order within it and
-    a trigger's borders do not matter. What is held is bounded by the watermark's delay; rows later than that are dropped. ``events``
-    has ``ts``, microseconds as ``time``, and ``event_id``.
+    Rows wait in the state until the watermark has passed them, so files may arrive in any order within its delay and a
+    trigger's borders do not matter; later rows are dropped. The state is a map from ``bucket_s`` seconds of event time to rows,
+    and a timer for each bucket releases it, so a call holds one arriving batch or one bucket and never a host's history.
+    What is left when a stream ends, the rows of the last ten minutes, stays in the state for the next run. ``events`` has
+    ``ts``, microseconds as ``time``, and ``event_id``. Needs the RocksDB state store (``drain`` sets it).
     """
-
-    def run(key_: tuple, chunks: Iterator[pd.DataFrame], state: GroupState):
-        own, held = pickle.loads(state.get[0]) if state.exists else (None, None)
-        parts = ([] if held is None else [held]) + ([] if state.hasTimedOut else list(chunks))
-        rows = pd.concat(parts, ignore_index=True).sort_values([time, "event_id"], ignore_index=True)
-        mark = state.getCurrentWatermarkMs()
-        ready = rows[time] <= mark * 1000
-        if ready.any():
-            own, out = step(key_, own, rows[ready].reset_index(drop=True))
-            yield out
-        rest = rows[~ready]
-        state.update((pickle.dumps((own, rest)),))
-        if len(rest):
-            state.setTimeoutTimestamp(max(int(rest[time].min()) // 1000 - 1, mark + 1))  # a timer fires once the watermark is past it
+    width = int(bucket_s * 1e6)
+
+    class InOrder(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle = handle
+            self.own = handle.getValueState("own", "value BINARY")
+            self.parts = handle.getValueState("parts", "n BIGINT")
+            self.held = handle.getMapState("held", "bucket BIGINT, part BIGINT", "rows BINARY")
+
+        def hold(self, rows: pd.DataFrame, mark: int) -> None:
+            n = self.parts.get()[0] if self.parts.exists() else 0
+            for bucket, some in rows.groupby(rows[time] // width):
+                self.held.updateValue((int(bucket), n), (pickle.dumps(some),))
+                self.handle.registerTimer(max(int(some[time].min()) // 1000 - 1, mark + 1))  # fires once the watermark is past it
+                n += 1
+            self.parts.update((n,))
+
+        def handleInputRows(self, key, rows, timerValues):
+            mark = max(timerValues.getCurrentWatermarkInMs(), 0)
+            for some in rows:
+                self.hold(some, mark)
+            return iter(())
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            mark = timerValues.getCurrentWatermarkInMs()
+            due: dict[int, list[tuple]] = {}
+            for k in self.held.keys():
+                if k[0] * width <= mark * 1000:
+                    due.setdefault(k[0], []).append(tuple(k))
+            for bucket in sorted(due):
+                rows = pd.concat([pickle.loads(self.held.getValue(k)[0]) for k in due[bucket]], ignore_index=True)
+                for k in due[bucket]:
+                    self.held.removeKey(k)
+                ready = rows[time] <= mark * 1000
+                if ready.any():
+                    own = pickle.loads(self.own.get()[0]) if self.own.exists() else None
+                    passed = rows[ready].sort_values([time, "event_id"], ignore_index=True)
+                    own, out = step(tuple(key), own, passed)
+                    self.own.update((pickle.dumps(own),))
+                    yield out
+                if not ready.all():
+                    self.hold(rows[~ready], mark)
+
+        def close(self) -> None:
+            pass
 
     marked = events.withWatermark("ts", WATERMARK)
-    return marked.groupBy(key).applyInPandasWithState(run, schema, "held BINARY", "append", GroupStateTimeout.EventTimeTimeout)
+    return marked.groupBy(key).transformWithStateInPandas(InOrder(), schema, "Append", "EventTime")
 
 
 def stream_session_pairs(events: DataFrame, opens: str = "signup", closes: str = "purchase") -> DataFrame:

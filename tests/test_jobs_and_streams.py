@@ -1,5 +1,7 @@
 """Sources, sinks, job edge cases, and streams over several micro-batches."""
 
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +11,7 @@ from footlamp.operators import jobs as J
 from footlamp.operators import planning as P
 from footlamp.operators import telemetry as T
 from footlamp.operators import validation as V
+from footlamp.plans import storage
 from footlamp.sources import logs, media, sinks
 from footlamp.streaming import live as L
 
@@ -116,6 +119,24 @@ def test_failed_frames_come_back_null(spark):
     assert got == {0: ([2.0, 4.0], None), 1: (None, "KeyError")}
 
 
+def test_result_only_leaves_the_result(spark):
+    """Tables on the way are deleted, also after an error; the result and tables made elsewhere stay."""
+    made, before = [], storage.cut_lineage(spark.range(3))
+
+    def build():
+        made.append(storage.cut_lineage(before.where("id > 0")))
+        made.append(storage.result_only(spark, lambda: storage.cut_lineage(made[0]).where("id > 1")))
+        return made[-1]
+
+    found = storage.result_only(spark, build)
+    assert [r.id for r in found.collect()] == [2] and before.count() == 3
+    for gone in made:
+        assert not os.path.exists(gone.inputFiles()[0].removeprefix("file:").removeprefix("//"))
+    with pytest.raises(ZeroDivisionError):
+        storage.result_only(spark, lambda: 1 / 0)
+    assert storage._MADE.get() is None
+
+
 # Streams ------------------------------------------------------------------------------------------
 
 
@@ -151,6 +172,23 @@ def test_bottlenecks_over_batches(spark, telemetry, tmp_path):
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
 
 
+def test_a_busy_host_over_batches(spark, tmp_path):
+    """A host with most of the rows, dealt over files without order: held rows span triggers and leave bucket by bucket."""
+    df = spark.range(1, 3001).selectExpr(
+        "id AS event_id", "IF(id % 5 = 0, id % 3 + 1, 0) AS host", "timestamp_micros(id * 1500000) AS ts", "CAST(id * 37 % 101 AS DOUBLE) AS cpu_pct",
+        "CAST(id * 17 % 97 AS DOUBLE) AS mem_pct", "CAST(NULL AS DOUBLE) AS gpu_pct", "CAST(id % 150 AS DOUBLE) AS disk_mb_s",
+    )
+    near = "(event_id + pmod(xxhash64(event_id), 300))"
+    write_batches(spark, tmp_path, df, [f"{near} <= 1000", f"{near} BETWEEN 1001 AND 1600", f"{near} BETWEEN 1601 AND 2400", f"{near} > 2400"])
+    stream = L.read_stream(spark, str(tmp_path), "*.parquet", df.schema, max_files=1)
+    got = L.drain(L.stream_bottlenecks(stream), "busy").select("event_id", "host", "status", "bottlenecks")
+    want = T.bottleneck_last_n(df.withColumn("ts", F.col("ts").cast("timestamp_ntz"))).select("event_id", "host", "status", "bottlenecks")
+    want = want.where("event_id <= 2600")  # the last event less ten minutes
+    assert got.count() == 2600
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert spark.conf.get(L.STATE_STORE, "") != L.ROCKSDB
+
+
 def test_pairs_take_the_first_close(spark, tmp_path):
     kinds = ["signup", "purchase", "purchase", "signup", "signup", "purchase", "view", "purchase"]
     rows = [(1, i, (i + 1) * 60_000_000, k) for i, k in enumerate(kinds)] + [(1, 99, 10**10, "signup")]
