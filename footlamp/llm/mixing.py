@@ -195,12 +195,21 @@ def taken_words(mix: Mix) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"))
 
 
+def real_keys(rows: DataFrame) -> DataFrame:
+    """Add ``no_id, id, no_source, name``: the id and the source as columns without nulls, for joins on them."""
+    return rows.select(
+        "*", F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id"),
+        F.col("source").isNull().alias("no_source"), F.coalesce("source", F.lit("")).alias("name"),
+    )
+
+
 def mix_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, block: int = BLOCK, seed: int = 0) -> DataFrame:
     """The mix as documents: ``doc_id, text, lang, source, n_chars``, a row for each document and pass.
 
     A pass that takes a whole document keeps its text; one that takes some of its blocks keeps their words,
     joined by single spaces. Documents of no taken word have no row; so do null, empty and blank texts. Rows
-    equal in id, source and text share one text and keep their own blocks. No documents give no rows.
+    equal in id, source and text share one text and the smallest language and keep their own blocks. No documents
+    give no rows. Whole texts are shuffled once: repeated rows go by the columns that the blocks are then joined on.
     """
     docs = docs.select("doc_id", "text", "lang", "source", "n_chars")
     mix = plan_mix(sized_documents(docs), weights, cap, block, seed)
@@ -210,11 +219,11 @@ def mix_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int
         F.sum("words").alias("taken"),
     )
     rows = mix.placed.where("size > 0").join(spans, ["source_no", "start"])
-    texts = docs.withColumn("key", text_key(F.col("text")))
-    same = ["doc_id", "source", "key"]
-    both = F.expr(" AND ".join(f"{c} <=> r_{c}" for c in same))
-    met = texts.join(rows.select(*[F.col(c).alias(f"r_{c}") for c in same], "size", "start", "pass_no", "spans", "taken"), both)
-    met = met.dropDuplicates([*same, "start", "pass_no"])
+    same = ["no_id", "id", "no_source", "name", "key"]
+    texts = real_keys(docs.withColumn("key", text_key(F.col("text")))).groupBy(*same)
+    texts = texts.agg(F.first("text").alias("text"), F.min("lang").alias("lang"))
+    met = texts.join(real_keys(rows).select(*same, "size", "pass_no", "spans", "taken"), same)
+    met = met.withColumn("doc_id", F.when(~F.col("no_id"), F.col("id"))).withColumn("source", F.when(~F.col("no_source"), F.col("name")))
     cut = once(
         word_array(F.col("text")),
         lambda w: F.array_join(F.flatten(F.transform("spans", lambda s: F.slice(w, s["skip"] + 1, s["words"]))), " "),
