@@ -46,6 +46,24 @@ def str1(t):
     return J.progress(latest).withColumn("progress", r6(F.col("progress")))
 
 
+@query(
+    "str1_stream_snapshots",
+    f"""WITH {cte("stage_event")}, e AS (SELECT *, status IN ('skipped', 'completed') AS fin, CASE WHEN status IN ('skipped', 'completed') THEN 1e0 ELSE progress END AS p FROM stage_event),
+    s AS (SELECT job_id, stage, max(weight) AS weight, sum(p * (step + 1)) / sum(step + 1) AS p FROM e GROUP BY job_id, stage),
+    j AS (SELECT job_id, count(*) AS n_stages, sum(p * weight) / sum(weight) AS progress FROM s GROUP BY job_id),
+    k AS (SELECT job_id, (max(step) - min(step)) * 60e0 AS el, arg_max(stage, step) AS stage, count(*) FILTER (WHERE fin) AS n_done FROM e GROUP BY job_id)
+    SELECT job_id, k.stage, {S6('s.p')} AS stage_progress, n_stages, {S6('j.progress')} AS progress, el AS elapsed_s,
+      {S6('CASE WHEN j.progress > 0 AND j.progress < 1 THEN el / j.progress - el ELSE 0 END')} AS eta_s, {S6('CASE WHEN el > 0 THEN n_done / el ELSE 0 END')} AS speed
+    FROM j JOIN k USING (job_id) JOIN s USING (job_id) WHERE s.stage = k.stage""",
+)
+def str1_snapshots(t):
+    cols = ROWWISE["stage_event"][1]
+    events = stream(t, "conversations").selectExpr(*[f"{e} AS {c}" for c, e in cols.items()])
+    minute = F.timestamp_micros((F.col("step") + 1).cast("bigint") * 60_000_000)
+    events = events.select("*", F.col("step").alias("substage"), minute.alias("ts"), (F.col("step") + 1.0).alias("substage_weight"))
+    return rounded(L.drain_updates(L.stream_snapshots(events), "snapshots", ["job_id"]), "stage_progress", "progress", "eta_s", "speed")
+
+
 @query(
     "str2_stream_utilisation",
     f"""WITH {METRIC}, {SEEN}, w AS (SELECT *, unnest(range(10)) AS k, date_trunc('minute', ts) AS m FROM metric), s AS (SELECT *, m - k * INTERVAL 1 MINUTE AS st FROM w)

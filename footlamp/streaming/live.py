@@ -75,14 +75,15 @@ def drain_updates(stream: DataFrame, name: str, keys: list[str]) -> DataFrame:
     def save(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-    query = (
-        stream.writeStream.outputMode("update")
-        .option("checkpointLocation", scratch_dir(spark, f"{name}-state"))
-        .foreachBatch(save)
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
+    with rocksdb_state(spark):
+        query = (
+            stream.writeStream.outputMode("update")
+            .option("checkpointLocation", scratch_dir(spark, f"{name}-state"))
+            .foreachBatch(save)
+            .trigger(availableNow=True)
+            .start()
+        )
+        query.awaitTermination()
     rest = [c for c in stream.columns if c not in keys]
     log = spark.read.option("basePath", path).parquet(f"{path}/batch=*")
     newest = log.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("r"))
@@ -319,6 +320,72 @@ def stream_checkpoint_cadence(events: DataFrame, every_s: float = 300.0) -> Data
     return in_event_order(events, "host", step, "host BIGINT, event_id BIGINT, us BIGINT")
 
 
+def stream_snapshots(events: DataFrame, idle: str = "1 hour") -> DataFrame:
+    """Live snapshot of every job that a trigger brings rows of (update mode): progress, elapsed and remaining seconds, speed.
+
+    The state is one entry for each (stage, substage), the newest by ``ts``, whatever number of events a job has. A job whose
+    substages are all completed or skipped leaves the state once the watermark has passed its last event; any other one after
+    ``idle`` of event time without an event. ``progress`` weighs as ``operators.jobs.progress`` does, ``speed`` is finished
+    substages a second. Rows without job, stage, substage or time are left out.
+    """
+    wait = int(pd.Timedelta(idle).total_seconds() * 1000)
+    columns = ["job_id", "stage", "stage_progress", "n_stages", "progress", "elapsed_s", "eta_s", "speed"]
+
+    class Snapshot(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle = handle
+            self.span = handle.getValueState("span", "first BIGINT, last BIGINT")
+            self.parts = handle.getMapState("parts", "stage STRING, substage BIGINT", "us BIGINT, weight DOUBLE, share DOUBLE, part DOUBLE, finished BOOLEAN")
+
+        def handleInputRows(self, key, rows, timerValues):
+            timers, mark = list(self.handle.listTimers()), timerValues.getCurrentWatermarkInMs()
+            for timer in timers:
+                self.handle.deleteTimer(timer)
+            if any(timer <= mark for timer in timers):  # expired before these rows came
+                self.handleExpiredTimer(key, timerValues, None)
+            first, last = self.span.get() if self.span.exists() else (None, None)
+            for some in rows:
+                for stage, sub, us, weight, share, part, finished in some[["stage", "substage", "us", "weight", "share", "part", "finished"]].itertuples(index=False, name=None):
+                    first = us if first is None else min(first, us)
+                    last = us if last is None else max(last, us)
+                    place = (stage, int(sub))
+                    if not self.parts.containsKey(place) or self.parts.getValue(place)[0] <= us:
+                        self.parts.updateValue(place, (int(us), float(weight), float(share), float(part), bool(finished)))
+            self.span.update((int(first), int(last)))
+            known = [(tuple(k), tuple(v)) for k, v in self.parts.iterator()]
+            due = last // 1000 + (0 if all(v[4] for _, v in known) else wait)
+            self.handle.registerTimer(max(due, mark + 1))
+            stages: dict[str, list] = {}
+            for (stage, _), (_, weight, share, part, _) in known:
+                s = stages.setdefault(stage, [0.0, 0.0, 0.0])
+                s[:] = [max(s[0], weight), s[1] + part * share, s[2] + share]
+            done = {stage: a / b if b > 0 else 0.0 for stage, (_, a, b) in stages.items()}
+            total = sum(w for w, _, _ in stages.values())
+            progress = sum(done[stage] * w for stage, (w, _, _) in stages.items()) / total if total > 0 else 0.0
+            now = max((v[0], k) for k, v in known)[1][0]
+            elapsed = (last - first) / 1e6
+            eta = elapsed / progress - elapsed if 0 < progress < 1 else 0.0
+            speed = sum(v[4] for _, v in known) / elapsed if elapsed > 0 else 0.0
+            yield pd.DataFrame([(key[0], now, done[now], len(stages), progress, elapsed, eta, speed)], columns=columns)
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            self.parts.clear()
+            self.span.clear()
+            return iter(())
+
+        def close(self) -> None:
+            pass
+
+    finished = F.coalesce(F.col("status").isin("completed", "skipped"), F.lit(False))
+    part = F.when(finished, F.lit(1.0)).otherwise(F.coalesce(F.col("progress").cast("double"), F.lit(0.0)))
+    rows = events.where("job_id IS NOT NULL AND stage IS NOT NULL AND substage IS NOT NULL AND ts IS NOT NULL").select(
+        F.col("job_id").cast("bigint").alias("job_id"), "stage", F.col("substage").cast("bigint").alias("substage"), "ts", F.unix_micros("ts").alias("us"),
+        F.coalesce(F.col("weight"), F.lit(0.0)).alias("weight"), F.coalesce(F.col("substage_weight"), F.lit(0.0)).alias("share"), part.alias("part"), finished.alias("finished"),
+    )
+    schema = "job_id BIGINT, stage STRING, stage_progress DOUBLE, n_stages BIGINT, progress DOUBLE, elapsed_s DOUBLE, eta_s DOUBLE, speed DOUBLE"
+    return rows.withWatermark("ts", WATERMARK).groupBy("job_id").transformWithStateInPandas(Snapshot(), schema, "Update", "EventTime")
+
+
 def stream_stalled_jobs(events: DataFrame, minutes: float, expected: int) -> DataFrame:
     """Hosts without an event for ``minutes`` of event time, with the minutes left at their own rate."""
     wait = int(minutes * 60 * 1000)

@@ -241,3 +241,22 @@ def test_latest_substage_survives_duplicates(spark, tmp_path):
     stream = L.read_stream(spark, str(tmp_path), "*.parquet", df.schema, max_files=1)
     latest = L.drain_updates(L.stream_latest_substages(stream), "p", ["job_id", "stage", "substage"])
     assert [r["progress"] for r in latest.collect()] == [0.6]
+
+
+def test_snapshots_over_batches(spark, tmp_path):
+    """The newest row of a substage counts; a finished or idle job leaves the state and starts anew, a late row is dropped."""
+    rows = [
+        (0, 1, "a", 0, 1, 1.0, 1.0, "in_progress", 0.2), (0, 2, "a", 0, 1, 1.0, 1.0, "completed", 0.0),
+        (1, 1, "a", 0, 2, 1.0, 1.0, "in_progress", 0.5), (1, 1, "b", 0, 3, 3.0, 1.0, "skipped", 0.0), (1, 9, "z", 0, 500, 1.0, 1.0, "in_progress", 0.1),
+        (2, 1, "a", 0, 501, 1.0, 1.0, "in_progress", 0.4), (2, 2, "b", 0, 502, 1.0, 1.0, "in_progress", None), (2, 9, "a", 0, 3, 1.0, 1.0, "completed", 1.0),
+        (3, 9, "z", 0, 620, 1.0, 1.0, "completed", 0.0),
+    ]
+    schema = "file INT, job_id INT, stage STRING, substage INT, m BIGINT, weight DOUBLE, substage_weight DOUBLE, status STRING, progress DOUBLE"
+    df = spark.createDataFrame(rows, schema).withColumn("ts", F.timestamp_micros(F.col("m") * 60_000_000))
+    write_batches(spark, tmp_path, df, [f"file = {i}" for i in range(4)])
+    stream = L.read_stream(spark, str(tmp_path), "*.parquet", df.schema, max_files=1)
+    got = {r["job_id"]: r for r in L.drain_updates(L.stream_snapshots(stream), "snap", ["job_id"]).collect()}
+    assert (got[1]["n_stages"], got[1]["progress"]) == (1, pytest.approx(0.4))  # idle for over an hour before its last row
+    assert (got[2]["n_stages"], got[2]["stage"], got[2]["progress"]) == (1, "b", 0.0)  # was finished before
+    assert (got[9]["n_stages"], got[9]["progress"], got[9]["elapsed_s"], got[9]["eta_s"]) == (1, 1.0, 7200.0, 0.0)
+    assert got[9]["speed"] == pytest.approx(1 / 7200)
