@@ -187,7 +187,7 @@ def in_event_order(events: DataFrame, key: str, step: Step, schema: str, time: s
         def handleInputRows(self, key, rows, timerValues):
             mark = max(timerValues.getCurrentWatermarkInMs(), 0)
             for some in rows:
-                self.hold(some, mark)
+                self.hold(some[some[time] > mark * 1000] if mark else some, mark)  # Spark lets rows pass that are one trigger late
             return iter(())
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
@@ -345,12 +345,15 @@ def stream_snapshots(events: DataFrame, idle: str = "1 hour") -> DataFrame:
                 self.handleExpiredTimer(key, timerValues, None)
             first, last = self.span.get() if self.span.exists() else (None, None)
             for some in rows:
+                some = some[some["us"] > mark * 1000] if mark > 0 else some  # Spark lets rows pass that are one trigger late
                 for stage, sub, us, weight, share, part, finished in some[["stage", "substage", "us", "weight", "share", "part", "finished"]].itertuples(index=False, name=None):
                     first = us if first is None else min(first, us)
                     last = us if last is None else max(last, us)
                     place = (stage, int(sub))
                     if not self.parts.containsKey(place) or self.parts.getValue(place)[0] <= us:
                         self.parts.updateValue(place, (int(us), float(weight), float(share), float(part), bool(finished)))
+            if first is None:
+                return
             self.span.update((int(first), int(last)))
             known = [(tuple(k), tuple(v)) for k, v in self.parts.iterator()]
             due = last // 1000 + (0 if all(v[4] for _, v in known) else wait)
