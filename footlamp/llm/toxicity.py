@@ -1,9 +1,10 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Terms are words and word beginnings, and their repeated use, whose document frequency differs between the labels in a bounded sample of
-labelled documents; idf is counted over all documents. The sample's vectors make an inverted index whose
-postings are cut into blocks of examples with the largest weight kept for each block. A search visits blocks
-by falling upper bound and stops when none can reach the ``K``-th cosine found: the neighbours are exact.
+Terms are all words of a bounded sample of labelled documents. A term weighs by its use in the text, its idf over all documents, and
+how strongly its presence tells the labels of the sample apart (the root of its likelihood ratio statistic), so that words that
+both labels use alike count for little; none is left out. The index has for each term the blocks of examples that hold it, with the
+largest weight in each. A search visits blocks by falling upper bound and stops when none can reach the ``K``-th cosine
+found: the neighbours are exact. Votes fall with distance.
 """
 
 from __future__ import annotations
@@ -22,177 +23,166 @@ from footlamp.llm.sampling import about
 from footlamp.llm.words import held_out
 from footlamp.plans.storage import cut_lineage
 
-#: Labelled examples of each label in the index (about), and terms of the vocabulary (at most).
-EXAMPLES = 4000
-VOCABULARY = 20_000
-#: A term is kept from this likelihood ratio statistic on, if one label has it this many times as often.
-LEAST_STATISTIC = 20.0
-LEAST_LIFT = 3.0
-BEGINNINGS = (4, 5, 6)
-#: A term that a document has at least so often is another term besides, so that cosines tell use from overuse.
-BANDS = (2, 3, 5)
-K = 20
-#: Weight of the base rate among the votes, as that of one neighbour.
-PRIOR_WEIGHT = 0.5
-BLOCK = 64
+#: Labelled examples of each label in the index (about).
+EXAMPLES = 2000
+K = 10
+#: A neighbour votes by its cosine over the nearest's, to this power.
+VOTE_POWER = 8
+#: Weight of the base rate among the votes, as that of the nearest neighbour.
+PRIOR_WEIGHT = 0.25
+BLOCK = 32
 THRESHOLD = 0.7
-#: Words whose terms a task remembers; the memory is emptied when full.
+#: Tokens whose terms a task remembers; the memory is emptied when full.
 MEMORY = 400_000
 
 
-def terms_of(token: str) -> tuple[str, ...]:
-    """The word between the first and the last letter of a token, and its beginnings."""
+def word_of(token: str) -> str:
+    """A token from its first to its last letter; empty without a letter."""
+    if token.isalpha():
+        return token
     start, end = 0, len(token)
     while start < end and not token[start].isalpha():
         start += 1
     while end > start and not token[end - 1].isalpha():
         end -= 1
-    word = token[start:end].replace("#", "")
-    if not word:
-        return ()
-    return (word, *[word[:n] + "*" for n in BEGINNINGS if len(word) > n])
+    return token[start:end]
 
 
-def tokens(text: str) -> Counter:
-    """Lower-case tokens of a text with their counts."""
-    return Counter(text.lower().split())
-
-
-def with_bands(counts: Counter) -> Iterator[str]:
-    """The terms of a document with the bands that their counts reach."""
-    for term, n in counts.items():
-        yield term
-        for band in BANDS:
-            if n >= band:
-                yield f"{term}#{band}"
+def word_counts(text: str) -> Counter:
+    """Lower-case words of a text with their counts."""
+    found: Counter = Counter()
+    for token, n in Counter(text.lower().split()).items():
+        found[word_of(token)] += n
+    del found[""]
+    return found
 
 
 class TermFinder:
     """Numbers of a text's terms for a fixed vocabulary, with a bounded memory of tokens."""
 
     def __init__(self, vocabulary: dict[str, int]):
-        self.bases: dict[str, list[tuple[int, int]]] = {}
-        for term, number in vocabulary.items():
-            base, _, band = term.rpartition("#") if "#" in term else (term, "", "1")
-            self.bases.setdefault(base, []).append((int(band), number))
-        self.memory: dict[str, tuple[str, ...]] = {}
+        self.vocabulary = vocabulary
+        self.memory: dict[str, int] = {}
 
     def counts(self, text: str) -> Counter:
-        seen: Counter = Counter()
-        memory, bases = self.memory, self.bases
-        for token, n in tokens(text).items():
-            terms = memory.get(token)
-            if terms is None:
+        memory = self.memory
+        found: Counter = Counter()
+        for token, n in Counter(text.lower().split()).items():
+            number = memory.get(token)
+            if number is None:
                 if len(memory) >= MEMORY:
                     memory.clear()
-                terms = memory[token] = tuple(t for t in terms_of(token) if t in bases)
-            for term in terms:
-                seen[term] += n
-        found: Counter = Counter()
-        for term, n in seen.items():
-            for band, number in bases[term]:
-                if n >= band:
-                    found[number] = n if band == 1 else 1
+                number = memory[token] = self.vocabulary.get(word_of(token), -1)
+            if number >= 0:
+                found[number] += n
         return found
 
 
 @dataclass
 class ToxicityModel:
+    """Examples' vectors: ``weight`` and ``term`` by example (``starts``), and by term its blocks and their largest weights."""
+
     vocabulary: dict[str, int]
-    idf: np.ndarray
+    scale: np.ndarray
     ids: np.ndarray
     labels: np.ndarray
     votes: np.ndarray
     base: float
     starts: np.ndarray = field(default_factory=lambda: np.zeros(1, dtype=np.int64))
-    examples: np.ndarray = field(default_factory=lambda: np.zeros(0, dtype=np.int32))
-    weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    largest: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
+    term: np.ndarray = field(default_factory=lambda: np.zeros(0, dtype=np.int32))
+    weight: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    block_starts: np.ndarray = field(default_factory=lambda: np.zeros(1, dtype=np.int64))
+    block: np.ndarray = field(default_factory=lambda: np.zeros(0, dtype=np.int32))
+    largest: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    asked: np.ndarray | None = None
 
     def vector(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
         """Term numbers in order and their weights, of length one."""
-        terms = np.array(sorted(counts), dtype=np.int64)
-        weights = np.array([1.0 + np.log(counts[int(t)]) for t in terms]) * self.idf[terms]
+        terms = np.fromiter(counts, dtype=np.int64, count=len(counts))
+        uses = np.fromiter(counts.values(), dtype=np.float64, count=len(counts))
+        order = np.argsort(terms)
+        terms, uses = terms[order], uses[order]
+        weights = (1.0 + np.log(uses)) * self.scale[terms]
         norm = np.sqrt((weights**2).sum())
         return terms, weights / norm if norm > 0 else weights
 
     def index(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> None:
-        """Build postings by term, each sorted by example, and the largest weight of each term in each block."""
-        n_terms, n_blocks = len(self.idf), -(-len(vectors) // BLOCK)
-        term = np.concatenate([t for t, _ in vectors] or [np.zeros(0, dtype=np.int64)])
-        weight = np.concatenate([w for _, w in vectors] or [np.zeros(0)])
-        example = np.repeat(np.arange(len(vectors), dtype=np.int32), [len(t) for t, _ in vectors])
-        order = np.lexsort((example, term))
-        self.examples, self.weights = example[order], weight[order]
-        self.starts = np.searchsorted(term[order], np.arange(n_terms + 1))
-        self.largest = np.zeros((n_terms, n_blocks))
-        np.maximum.at(self.largest, (term, example // BLOCK), weight)
+        """Set the examples' vectors, in the order of ``ids``, and the largest weight of each term in each block that has it."""
+        sizes = [len(t) for t, _ in vectors]
+        self.starts = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]).astype(np.int64)
+        self.term = np.concatenate([t for t, _ in vectors] or [np.zeros(0)]).astype(np.int32)
+        self.weight = np.concatenate([w for _, w in vectors] or [np.zeros(0)])
+        block = np.repeat(np.arange(len(vectors), dtype=np.int32) // BLOCK, sizes)
+        order = np.lexsort((block, self.term))
+        term, block, weight = self.term[order], block[order], self.weight[order]
+        first = np.nonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (block[1:] != block[:-1])])[: len(term)])[0]
+        self.block, self.block_starts = block[first], np.searchsorted(term[first], np.arange(len(self.scale) + 1))
+        self.largest = np.maximum.reduceat(weight, first) if len(first) else weight
+        self.asked = None
+
+    def bounds(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """An upper bound of the cosines in each block."""
+        low = self.block_starts[terms]
+        sizes = self.block_starts[terms + 1] - low
+        at = np.repeat(low - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        return np.bincount(self.block[at], np.repeat(weights, sizes) * self.largest[at], minlength=-(-len(self.ids) // BLOCK))
+
+    def cosines(self, block: int) -> np.ndarray:
+        """The cosines of a block's examples with the vector that is spread out in ``asked``."""
+        starts = self.starts[block * BLOCK : (block + 1) * BLOCK + 1]
+        held = slice(starts[0], starts[-1])
+        owner = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+        return np.bincount(owner, self.asked[self.term[held]] * self.weight[held], minlength=len(starts) - 1)
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray]:
         """Positions and cosines of the ``k`` nearest examples with a cosine above 0, ties to the smaller id."""
-        bounds = weights @ self.largest[terms]
         found_at, found = np.zeros(0, dtype=np.int64), np.zeros(0)
+        if not len(self.ids):
+            return found_at, found
+        if self.asked is None:
+            self.asked = np.zeros(len(self.scale))
+        self.asked[terms] = weights
+        bounds = self.bounds(terms, weights)
         for block in np.argsort(-bounds, kind="stable"):
-            if bounds[block] <= 0 or len(found) >= k and bounds[block] < found[k - 1] - 1e-12:
+            if bounds[block] <= 0 or len(found) >= k and bounds[block] < found[k - 1] - 1e-11:
                 break
-            scores, low = np.zeros(BLOCK), block * BLOCK
-            for t, w in zip(terms, weights):
-                if self.largest[t, block] > 0:
-                    a, b = self.starts[t], self.starts[t + 1]
-                    a, b = a + np.searchsorted(self.examples[a:b], [low, low + BLOCK])
-                    scores[self.examples[a:b] - low] += w * self.weights[a:b]
-            at = np.nonzero(scores > 0)[0]
-            found_at, found = np.concatenate([found_at, at + low]), np.concatenate([found, scores[at]])
-            order = np.lexsort((self.ids[found_at], -np.round(found, 12)))[:k]
-            found_at, found = found_at[order], found[order]
+            scores = self.cosines(block)
+            least = found[k - 1] - 1e-11 if len(found) >= k else 0.0
+            at = np.nonzero(scores > max(least, 0.0))[0]
+            if len(at):
+                found_at, found = np.concatenate([found_at, at + block * BLOCK]), np.concatenate([found, scores[at]])
+                order = np.lexsort((self.ids[found_at], -np.round(found, 12)))[:k]
+                found_at, found = found_at[order], found[order]
+        self.asked[terms] = 0.0
         return found_at, found
 
     def score(self, counts: Counter) -> tuple[float, list[int], list[float]]:
         """Score, and as evidence the neighbours' ids and cosines."""
-        if not counts:
+        at, cosine = self.nearest(*self.vector(counts)) if counts else ((), ())
+        if not len(at):
             return self.base, [], []
-        at, cosine = self.nearest(*self.vector(counts))
-        vote = cosine * self.votes[at]
-        score = (float((vote * self.labels[at]).sum()) + PRIOR_WEIGHT * self.base) / (float(vote.sum()) + PRIOR_WEIGHT)
+        vote = (cosine / cosine[0]) ** VOTE_POWER * self.votes[at]
+        prior = PRIOR_WEIGHT * self.votes[at[0]]
+        score = (float((vote * self.labels[at]).sum()) + prior * self.base) / (float(vote.sum()) + prior)
         return min(1.0, max(0.0, score)), self.ids[at].tolist(), cosine.tolist()
 
 
-def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sample_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        by = {0: Counter(), 1: Counter()}
-        for label, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            seen: Counter = Counter()
-            for token, n in tokens(text.as_py()).items():
-                for term in terms_of(token):
-                    seen[term] += n
-            by[label].update(with_bands(seen))
-        for label, counts in by.items():
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(counts), pa.string()), pa.array([label] * len(counts), pa.int32()), pa.array(list(counts.values()), pa.int64())],
-                ["term", "label", "n"],
-            )
-
-
-def choose_terms(sample: DataFrame) -> list[str]:
-    """The vocabulary: terms that tell the labels apart in the sample, strongest first, then by name."""
-    totals = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    n1, n0 = totals.get(1, 0), totals.get(0, 0)
-    if not n1 or not n0:
-        return []
-    counts = sample.select("label", "text").mapInArrow(_term_counts, "term string, label int, n bigint")
-    a, b = (F.coalesce(F.sum(F.when(F.col("label") == c, F.col("n"))), F.lit(0)).cast("double") for c in (1, 0))
-    per = counts.groupBy("term").agg(a.alias("a"), b.alias("b"))
-    rate = (F.col("a") + F.col("b")) / F.lit(float(n1 + n0))
+        found = [word_counts(t.as_py()) for t in batch.column(3)]
+        lists = [pa.array([list(f) for f in found], pa.list_(pa.string())), pa.array([list(f.values()) for f in found], pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], *lists], ["id", "label", "share", "terms", "counts"])
+
+
+def strengths(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -> np.ndarray:
+    """The root of the likelihood ratio statistic of each term: in how many examples of each label it is, against equal rates."""
+    rate = (toxic + clean) / max(1, n_toxic + n_clean)
 
     def part(seen, expected):
-        return F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
+        return np.where(seen > 0, seen * np.log(np.maximum(seen, 1.0) / np.maximum(expected, 1e-300)), 0.0)
 
-    g = 2 * sum(part(F.col(c), n * rate) + part(n - F.col(c), n * (1 - rate)) for c, n in (("a", float(n1)), ("b", float(n0))))
-    lift = (F.col("a") + 0.5) / F.lit(n1 + 1.0) / ((F.col("b") + 0.5) / F.lit(n0 + 1.0))
-    strong = per.select("term", g.alias("g"), lift.alias("lift")).where(
-        (F.col("g") >= LEAST_STATISTIC) & ((F.col("lift") >= LEAST_LIFT) | (F.col("lift") <= 1 / LEAST_LIFT))
-    )
-    return [r["term"] for r in strong.orderBy(F.desc(F.round("g", 6)), "term").limit(VOCABULARY).collect()]
+    sides = ((toxic, n_toxic), (clean, n_clean))
+    return np.sqrt(np.maximum(0.0, 2 * sum(part(c, n * rate) + part(n - c, n * (1 - rate)) for c, n in sides)))
 
 
 def document_frequencies(docs: DataFrame, vocabulary: dict[str, int], text: str = "text") -> tuple[int, np.ndarray]:
@@ -230,44 +220,36 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, key: str =
     chosen = cut_lineage(about(asked, "label", F.col("id"), examples, {r["label"]: r["n"] for r in rates}).select("id", "label", "share"))
     texts = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("id"), F.col(text).cast("string").alias("text"))
     sample = cut_lineage(texts.join(chosen, "id").groupBy("id", "label", "share").agg(F.min("text").alias("text")))
-    names = choose_terms(sample)
-    vocabulary = {t: i for i, t in enumerate(names)}
-    total, df = document_frequencies(docs, vocabulary, text) if names else (0, np.zeros(0, dtype=np.int64))
-    idf = np.log((1 + total) / (1 + df)) + 1
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = TermFinder(shared.value)
-        for batch in batches:
-            found = [finder.counts(t.as_py()) for t in batch.column(3)]
-            lists = [pa.array([list(f) for f in found], pa.list_(pa.int64())), pa.array([list(f.values()) for f in found], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *lists], ["id", "label", "share", "terms", "counts"])
-
-    sample = sample.select(F.col("id").cast("bigint").alias("id"), "label", "share", "text")
-    rows = sample.mapInArrow(count, "id bigint, label int, share double, terms array<bigint>, counts array<bigint>").collect()
+    rows = sample.select(F.col("id").cast("bigint").alias("id"), "label", "share", "text")
+    rows = rows.mapInArrow(_sample_terms, "id bigint, label int, share double, terms array<string>, counts array<bigint>").toArrow().to_pylist()
+    rows = sorted((r for r in rows if r["terms"]), key=lambda r: r["id"])
+    n_toxic = sum(r["label"] for r in rows)
+    if not 0 < n_toxic < len(rows):
+        return ToxicityModel({}, np.zeros(0), np.zeros(0, dtype=np.int64), np.zeros(0), np.zeros(0), base)
+    vocabulary = {t: i for i, t in enumerate(sorted({t for r in rows for t in r["terms"]}))}
+    seen = np.zeros((2, len(vocabulary)))
+    for r in rows:
+        r["terms"] = [vocabulary[t] for t in r["terms"]]
+        seen[r["label"], r["terms"]] += 1
+    total, df = document_frequencies(docs, vocabulary, text)
+    scale = (np.log((1 + total) / (1 + df)) + 1) * strengths(seen[1], seen[0], n_toxic, len(rows) - n_toxic)
     # examples with the same strongest term stand together, so that few blocks have a high bound
-    rows.sort(key=lambda r: (min(r["terms"], default=len(names)), r["id"]))
+    rows.sort(key=lambda r: (-scale[r["terms"]].max(), r["terms"][int(scale[r["terms"]].argmax())], r["id"]))
     weight = {r["label"]: 1 / r["share"] for r in rows}
-    least = min(weight.values(), default=1.0)
-    bare = [r for r in rows if not r["terms"]]
-    bare_total = sum(weight[r["label"]] for r in bare)
-    bare_toxic = sum(weight[1] for r in bare if r["label"] == 1)
-    if names and bare:
-        base = (bare_toxic + base) / (bare_total + 1)
-    full = [r for r in rows if r["terms"]]
+    least = min(weight.values())
     model = ToxicityModel(
-        vocabulary, idf, np.array([r["id"] for r in full], dtype=np.int64), np.array([float(r["label"]) for r in full]),
-        np.array([weight[r["label"]] / least for r in full]), base,
+        vocabulary, scale, np.array([r["id"] for r in rows], dtype=np.int64), np.array([float(r["label"]) for r in rows]),
+        np.array([weight[r["label"]] / least for r in rows]), base,
     )
-    model.index([model.vector(Counter(dict(zip(r["terms"], r["counts"])))) for r in full])
+    model.index([model.vector(Counter(dict(zip(r["terms"], r["counts"])))) for r in rows])
     return model
 
 
 def score(docs: DataFrame, model: ToxicityModel, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, held_out, score, predicted, neighbours, cosines`` of every row.
 
-    Texts that are null, empty or without a term of the vocabulary score the rate among such examples. Equal term counts are
-    searched once a batch. The model is of bounded size and is broadcast; texts are not shuffled.
+    Texts that are null, empty or without a word of the examples score the base rate. Equal texts are searched once a batch.
+    The model grows with the sample only and is broadcast; texts are not shuffled.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -275,14 +257,13 @@ def score(docs: DataFrame, model: ToxicityModel, key: str = "doc_id", text: str
         own = shared.value
         finder = TermFinder(own.vocabulary)
         for batch in batches:
-            known: dict[frozenset, tuple] = {}
+            known: dict[str, tuple] = {}
             told = []
             for value in batch.column(2):
-                counts = finder.counts(value.as_py()) if value.is_valid else Counter()
-                same = frozenset(counts.items())
-                if same not in known:
-                    known[same] = own.score(counts)
-                told.append(known[same])
+                value = value.as_py() or ""
+                if value not in known:
+                    known[value] = own.score(finder.counts(value))
+                told.append(known[value])
             scores = [t[0] for t in told]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(scores, pa.float64()), pa.array([int(s >= THRESHOLD) for s in scores], pa.int32()),

@@ -1,5 +1,6 @@
 """Operators on whole documents against brute force."""
 
+import math
 import re
 import zlib
 from collections import Counter
@@ -264,3 +265,83 @@ def test_toxicity_accuracy(spark):
     toxic, clean = [r for r in got if r.toxic], [r for r in got if not r.toxic]
     assert sum(r.predicted for r in toxic) >= 0.6 * len(toxic) and sum(r.predicted for r in clean) <= 0.05 * len(clean)
     assert all(len(r.neighbours) == len(r.cosines) <= toxicity.K for r in got)
+
+
+def plain_toxicity(texts, learnt):
+    """Scores by comparing every text with every example, with vectors as dictionaries."""
+
+    def terms(text):
+        found = Counter()
+        for token in (text or "").lower().split():
+            letters = [i for i, c in enumerate(token) if c.isalpha()]
+            if letters:
+                found[token[letters[0] : letters[-1] + 1]] += 1
+        return found
+
+    learnt = [(i, label, terms(text)) for i, label, text in learnt]
+    n = [sum(label == c for _, label, _ in learnt) for c in (0, 1)]
+    df, held = Counter(), [Counter(), Counter()]
+    for text in texts.values():
+        df.update(set(terms(text)))
+    for _, label, found in learnt:
+        held[label].update(set(found))
+
+    def factor(term):
+        seen = [held[c][term] for c in (0, 1)]
+        rate = sum(seen) / sum(n)
+        g = sum(x * math.log(x / e) for c in (0, 1) for x, e in ((seen[c], n[c] * rate), (n[c] - seen[c], n[c] * (1 - rate))) if x > 0)
+        return (math.log((1 + len(texts)) / (1 + df[term])) + 1) * math.sqrt(max(0.0, 2 * g))
+
+    factors = {t: factor(t) for t in held[0] | held[1]}
+
+    def vector(found):
+        v = {t: (1 + math.log(c)) * factors[t] for t, c in found.items() if t in factors}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {t: x / norm for t, x in v.items()} if norm else {}
+
+    examples = [(i, label, vector(found)) for i, label, found in learnt]
+    base = n[1] / sum(n)
+    out = {}
+    for id_, text in texts.items():
+        v = vector(terms(text))
+        near = sorted((-round(sum(x * e.get(t, 0.0) for t, x in v.items()), 12), i, label) for i, label, e in examples)[: toxicity.K]
+        near = [(-c, label) for c, _, label in near if c < 0]
+        votes = [(c / near[0][0]) ** toxicity.VOTE_POWER for c, _ in near]
+        heads = sum(x * label for x, (_, label) in zip(votes, near))
+        out[id_] = (heads + toxicity.PRIOR_WEIGHT * base) / (sum(votes) + toxicity.PRIOR_WEIGHT) if near else base
+    return out
+
+
+def test_toxicity_query_brute_force(spark, docs):
+    from footlamp.llm import QUERIES
+
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{SF}/labels.parquet").collect() if r.toxic is not None}
+    learnt = [(i, int(labels[i]), texts[i]) for i in sorted(labels) if not held(i) and texts.get(i) is not None]
+    want = plain_toxicity(texts, learnt)
+    got = {r.doc_id: r.score for r in QUERIES["op8_toxicity"](spark, SF).collect()}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-6 for i in want)
+
+
+def rare_word_rows(n, n_toxic):
+    """Clean-looking texts of a common vocabulary; toxic ones also have one of a hundred words that few of them share."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(n):
+        words_ = [f"w{chr(97 + x % 26)}{chr(97 + x // 26 % 26)}{chr(97 + x // 676)}" for x in rng.zipf(1.3, 60) % 3000]
+        if i < n_toxic:
+            words_[int(rng.integers(60))] = f"zq{chr(97 + i % 10)}{chr(97 + i // 10 % 10)}"
+        rows.append((i * 7, " ".join(words_), int(i < n_toxic)))
+    return rows
+
+
+def test_toxicity_words_of_few_examples_and_calibration(spark):
+    rows = spark.createDataFrame(rare_word_rows(4000, 800), "doc_id bigint, text string, toxic int")
+    model = toxicity.fit(rows.drop("toxic"), rows.select("doc_id", "toxic"), examples=5000)
+    got = toxicity.score(rows.drop("toxic"), model).join(rows.select("doc_id", "toxic"), "doc_id").where("held_out").collect()
+    toxic, clean = [r for r in got if r.toxic], [r for r in got if not r.toxic]
+    assert sum(r.predicted for r in toxic) >= 0.9 * len(toxic) and sum(r.predicted for r in clean) <= 0.01 * len(clean)
+    for low, high in ((0.0, 0.3), (0.3, 0.7), (0.7, 1.01)):
+        part = [r for r in got if low <= r.score < high]
+        if len(part) >= 30:
+            assert abs(sum(r.score for r in part) / len(part) - sum(r.toxic for r in part) / len(part)) < 0.15
