@@ -2,9 +2,9 @@
 
 Terms are all words of a bounded sample of labelled documents. A term weighs by its use in the text, its idf over all documents, and
 how strongly its presence tells the labels of the sample apart (the root of its likelihood ratio statistic), so that words that
-both labels use alike count for little; none is left out. The index has for each term the blocks of examples that hold it, with the
-largest weight in each. A search visits blocks by falling upper bound and stops when none can reach the ``K``-th cosine
-found: the neighbours are exact. Votes fall with distance.
+both labels use alike count for little; none is left out. Rare terms have
+postings; common ones have blocks of examples with the largest weight kept for each block. A search sums the postings, which puts
+a floor under the ``K``-th cosine, and reads only blocks whose upper bound reaches it: the neighbours are exact. Votes fall with distance.
 """
 
 from __future__ import annotations
@@ -32,8 +32,10 @@ VOTE_POWER = 8
 PRIOR_WEIGHT = 0.25
 BLOCK = 32
 THRESHOLD = 0.7
-#: Tokens whose terms a task remembers; the memory is emptied when full.
-MEMORY = 400_000
+#: Terms that more than this share of the examples hold are kept in blocks with their largest weights, others as postings.
+COMMON_SHARE = 0.1
+#: Cosines that differ by less may tie.
+SLACK = 1e-11
 
 
 def word_of(token: str) -> str:
@@ -57,30 +59,21 @@ def word_counts(text: str) -> Counter:
     return found
 
 
-class TermFinder:
-    """Numbers of a text's terms for a fixed vocabulary, with a bounded memory of tokens."""
-
-    def __init__(self, vocabulary: dict[str, int]):
-        self.vocabulary = vocabulary
-        self.memory: dict[str, int] = {}
-
-    def counts(self, text: str) -> Counter:
-        memory = self.memory
-        found: Counter = Counter()
-        for token, n in Counter(text.lower().split()).items():
-            number = memory.get(token)
-            if number is None:
-                if len(memory) >= MEMORY:
-                    memory.clear()
-                number = memory[token] = self.vocabulary.get(word_of(token), -1)
-            if number >= 0:
-                found[number] += n
-        return found
+def term_numbers(text: str, vocabulary: dict[str, int]) -> Counter:
+    """Numbers of a text's terms for a fixed vocabulary, with their counts."""
+    found: Counter = Counter()
+    for token, n in Counter(text.lower().split()).items():
+        number = vocabulary.get(token)
+        if number is None and not (token[0].isalpha() and token[-1].isalpha()):
+            number = vocabulary.get(word_of(token))
+        if number is not None:
+            found[number] += n
+    return found
 
 
 @dataclass
 class ToxicityModel:
-    """Examples' vectors: ``weight`` and ``term`` by example (``starts``), and by term its blocks and their largest weights."""
+    """Postings of rare terms (``example`` and ``weight`` by term); blocks of weights and their largest of ``common`` terms."""
 
     vocabulary: dict[str, int]
     scale: np.ndarray
@@ -89,12 +82,11 @@ class ToxicityModel:
     votes: np.ndarray
     base: float
     starts: np.ndarray = field(default_factory=lambda: np.zeros(1, dtype=np.int64))
-    term: np.ndarray = field(default_factory=lambda: np.zeros(0, dtype=np.int32))
+    example: np.ndarray = field(default_factory=lambda: np.zeros(0, dtype=np.int32))
     weight: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    block_starts: np.ndarray = field(default_factory=lambda: np.zeros(1, dtype=np.int64))
-    block: np.ndarray = field(default_factory=lambda: np.zeros(0, dtype=np.int32))
-    largest: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    asked: np.ndarray | None = None
+    common: np.ndarray = field(default_factory=lambda: np.zeros(0, dtype=np.int32))
+    blocks: np.ndarray = field(default_factory=lambda: np.zeros((0, 0, BLOCK)))
+    largest: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
 
     def vector(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
         """Term numbers in order and their weights, of length one."""
@@ -107,54 +99,53 @@ class ToxicityModel:
         return terms, weights / norm if norm > 0 else weights
 
     def index(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> None:
-        """Set the examples' vectors, in the order of ``ids``, and the largest weight of each term in each block that has it."""
-        sizes = [len(t) for t, _ in vectors]
-        self.starts = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]).astype(np.int64)
-        self.term = np.concatenate([t for t, _ in vectors] or [np.zeros(0)]).astype(np.int32)
-        self.weight = np.concatenate([w for _, w in vectors] or [np.zeros(0)])
-        block = np.repeat(np.arange(len(vectors), dtype=np.int32) // BLOCK, sizes)
-        order = np.lexsort((block, self.term))
-        term, block, weight = self.term[order], block[order], self.weight[order]
-        first = np.nonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (block[1:] != block[:-1])])[: len(term)])[0]
-        self.block, self.block_starts = block[first], np.searchsorted(term[first], np.arange(len(self.scale) + 1))
-        self.largest = np.maximum.reduceat(weight, first) if len(first) else weight
-        self.asked = None
-
-    def bounds(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        """An upper bound of the cosines in each block."""
-        low = self.block_starts[terms]
-        sizes = self.block_starts[terms + 1] - low
+        """Set the examples' vectors, in the order of ``ids``: postings of rare terms, blocks of common ones."""
+        n_terms, n_blocks = len(self.scale), -(-len(vectors) // BLOCK)
+        term = np.concatenate([t for t, _ in vectors] or [np.zeros(0, dtype=np.int64)]).astype(np.int64)
+        weight = np.concatenate([w for _, w in vectors] or [np.zeros(0)])
+        example = np.repeat(np.arange(len(vectors), dtype=np.int32), [len(t) for t, _ in vectors])
+        often = np.nonzero(np.bincount(term, minlength=n_terms) > COMMON_SHARE * len(vectors))[0]
+        self.common = np.full(n_terms, -1, dtype=np.int32)
+        self.common[often] = np.arange(len(often))
+        dense = self.common[term] >= 0
+        filled = np.zeros((len(often), n_blocks * BLOCK))
+        filled[self.common[term[dense]], example[dense]] = weight[dense]
+        self.blocks = filled.reshape(len(often), n_blocks, BLOCK)
+        self.largest = self.blocks.max(axis=2, initial=0.0)
+        term, weight, example = term[~dense], weight[~dense], example[~dense]
+        order = np.lexsort((example, term))
+        self.example, self.weight = example[order], weight[order]
+        self.starts = np.searchsorted(term[order], np.arange(n_terms + 1))
+
+    def from_rare(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """What the postings of rare terms add to the cosine of each example, by blocks."""
+        low = self.starts[terms]
+        sizes = self.starts[terms + 1] - low
         at = np.repeat(low - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
-        return np.bincount(self.block[at], np.repeat(weights, sizes) * self.largest[at], minlength=-(-len(self.ids) // BLOCK))
-
-    def cosines(self, block: int) -> np.ndarray:
-        """The cosines of a block's examples with the vector that is spread out in ``asked``."""
-        starts = self.starts[block * BLOCK : (block + 1) * BLOCK + 1]
-        held = slice(starts[0], starts[-1])
-        owner = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
-        return np.bincount(owner, self.asked[self.term[held]] * self.weight[held], minlength=len(starts) - 1)
+        n_blocks = self.largest.shape[1]
+        return np.bincount(self.example[at], np.repeat(weights, sizes) * self.weight[at], minlength=n_blocks * BLOCK).reshape(n_blocks, BLOCK)
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray]:
-        """Positions and cosines of the ``k`` nearest examples with a cosine above 0, ties to the smaller id."""
-        found_at, found = np.zeros(0, dtype=np.int64), np.zeros(0)
+        """Positions and cosines of the ``k`` nearest examples with a cosine above 0, ties to the smaller id.
+
+        The ``k``-th sum over rare terms is a floor of the ``k``-th cosine; blocks whose bound does not reach it are left out.
+        """
         if not len(self.ids):
-            return found_at, found
-        if self.asked is None:
-            self.asked = np.zeros(len(self.scale))
-        self.asked[terms] = weights
-        bounds = self.bounds(terms, weights)
-        for block in np.argsort(-bounds, kind="stable"):
-            if bounds[block] <= 0 or len(found) >= k and bounds[block] < found[k - 1] - 1e-11:
-                break
-            scores = self.cosines(block)
-            least = found[k - 1] - 1e-11 if len(found) >= k else 0.0
-            at = np.nonzero(scores > max(least, 0.0))[0]
-            if len(at):
-                found_at, found = np.concatenate([found_at, at + block * BLOCK]), np.concatenate([found, scores[at]])
-                order = np.lexsort((self.ids[found_at], -np.round(found, 12)))[:k]
-                found_at, found = found_at[order], found[order]
-        self.asked[terms] = 0.0
-        return found_at, found
+            return np.zeros(0, dtype=np.int64), np.zeros(0)
+        sums = self.from_rare(terms, weights)
+        row = self.common[terms]
+        row, weights = row[row >= 0], weights[row >= 0]
+        bounds = sums.max(axis=1) + weights @ self.largest[row]
+        floor = np.partition(sums.ravel(), -k)[-k] if sums.size >= k else 0.0
+        held = np.nonzero((bounds > 0) & (bounds >= floor - SLACK))[0]
+        cosines = sums[held] + np.tensordot(weights, self.blocks[row[:, None], held], 1)
+        at, found = (held[:, None] * BLOCK + np.arange(BLOCK)).ravel(), cosines.ravel()
+        if len(found) > k:
+            floor = max(floor, np.partition(found, -k)[-k])
+        near = np.nonzero((found > 0) & (found >= floor - SLACK))[0]
+        at, found = at[near], found[near]
+        order = np.lexsort((self.ids[at], -np.round(found, 12)))[:k]
+        return at[order], found[order]
 
     def score(self, counts: Counter) -> tuple[float, list[int], list[float]]:
         """Score, and as evidence the neighbours' ids and cosines."""
@@ -190,13 +181,12 @@ def document_frequencies(docs: DataFrame, vocabulary: dict[str, int], text: str
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = TermFinder(shared.value)
         seen = np.zeros(len(shared.value) + 1, dtype=np.int64)
         for batch in batches:
             for value in batch.column(0):
                 seen[-1] += 1
                 if value.is_valid:
-                    seen[list(finder.counts(value.as_py()))] += 1
+                    seen[list(term_numbers(value.as_py(), shared.value))] += 1
         at = np.nonzero(seen)[0]
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], ["term", "n"])
 
@@ -255,14 +245,13 @@ def score(docs: DataFrame, model: ToxicityModel, key: str = "doc_id", text: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        finder = TermFinder(own.vocabulary)
         for batch in batches:
             known: dict[str, tuple] = {}
             told = []
             for value in batch.column(2):
                 value = value.as_py() or ""
                 if value not in known:
-                    known[value] = own.score(finder.counts(value))
+                    known[value] = own.score(term_numbers(value, own.vocabulary))
                 told.append(known[value])
             scores = [t[0] for t in told]
             yield pa.RecordBatch.from_arrays(
