@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from footlamp.catalog.audio import PROC, SAMPLE_CTE
+from footlamp.catalog.audio import PROC, SAMPLE_CTE, STEREO, stats_sql
 from footlamp.catalog.audio import processed as processed_samples
 from footlamp.catalog.fixtures import SPECTRUM_CTE, audio_blocks, audio_samples
 from footlamp.catalog.registry import query
@@ -319,3 +319,66 @@ def aud30_onsets(t):
 def aud30(t):
     df = S.transient_boost(audio_blocks(t), 64, 8000)
     return rounded(df.select("asset_id", "hop", F.posexplode("samples").alias("n", "amp")), "amp")
+
+
+# Frames of 16 samples at every 4th, cut from sample tables --------------------------------------------
+
+FRAME, HOP, FRAME_STEP = 16, 4, 1000.0
+TURN = f"2 * pi() * b.k * s.n / {FRAME}e0"
+FRAME_BASIS = f"""fb AS (SELECT b.k AS bin, s.n AS i, 0.5e0 - 0.5e0 * cos(2 * pi() * s.n / {FRAME}e0) AS w, cos({TURN}) AS c, -sin({TURN}) AS s
+    FROM (SELECT unnest(range({FRAME // 2 + 1})) AS k) b, (SELECT unnest(range({FRAME})) AS n) s)"""
+
+
+def frames_sql(src: str, keys: str) -> str:
+    """Spectra ``{src}_z`` of the complete frames of a sample table."""
+    return f"""{src}_c AS (SELECT {keys}, count(*) AS c FROM {src} GROUP BY {keys}),
+    {src}_f AS (SELECT {keys}, n // {HOP} - k AS hop, n % {HOP} + {HOP} * k AS i, amp FROM {src} JOIN {src}_c USING ({keys}), (SELECT unnest(range({FRAME // HOP})) AS k)
+      WHERE n // {HOP} - k >= 0 AND (n // {HOP} - k) * {HOP} + {FRAME} <= c),
+    {src}_z AS (SELECT {keys}, hop, bin, sum(amp * w * c) AS re, sum(amp * w * s) AS im FROM {src}_f JOIN fb USING (i) GROUP BY {keys}, hop, bin)"""
+
+
+def channel_spectra(samples, keys):
+    return S.stft(S.frame_samples(samples, keys, FRAME, HOP))
+
+
+@query(
+    "aud6_phase_difference",
+    f"""WITH {SAMPLE_CTE}, {FRAME_BASIS}, {frames_sql('smp', 'asset_id, ch')},
+    p AS (SELECT asset_id, ch, hop, bin, CASE WHEN bin IN (0, {FRAME // 2}) THEN CASE WHEN re < 0 THEN pi() ELSE 0e0 END ELSE atan2(im, re) END AS p FROM smp_z)
+    SELECT a.asset_id, {S6('avg(abs(a.p - b.p))')} AS phase_difference FROM p a JOIN p b ON a.asset_id = b.asset_id AND a.hop = b.hop AND a.bin = b.bin AND a.ch = 0 AND b.ch = 1 GROUP BY a.asset_id""",
+)
+def aud6_phase(t):
+    return rounded(S.phase_difference(channel_spectra(audio_samples(t), ["asset_id", "ch"])), "phase_difference")
+
+
+def centroid_sql(src: str) -> str:
+    return f"""{src}_h AS (SELECT asset_id, ch, hop, sum(sqrt(re * re + im * im) * bin * {FRAME_STEP}e0) / nullif(sum(sqrt(re * re + im * im)), 0) AS centroid FROM {src}_z GROUP BY asset_id, ch, hop),
+    {src}_m AS (SELECT asset_id, ch, avg(centroid) AS centroid FROM {src}_h GROUP BY asset_id, ch)"""
+
+
+@query(
+    "aud42_compare_centroid",
+    f"""WITH {SAMPLE_CTE}, {PROC}, {FRAME_BASIS}, {frames_sql('smp', 'asset_id, ch')}, {frames_sql('prc', 'asset_id, ch')}, {centroid_sql('smp')}, {centroid_sql('prc')},
+    {stats_sql('smp', 'sa')}, {stats_sql('prc', 'sb')}, d AS (SELECT a.asset_id, a.ch, b.snr_db - a.snr_db AS s, b.crest_db - a.crest_db AS c, 20 * log10(b.rms / (a.rms + 1e-10)) AS r, y.centroid - x.centroid AS z
+      FROM sa a JOIN sb b ON a.asset_id = b.asset_id AND a.ch = b.ch JOIN smp_m x ON x.asset_id = a.asset_id AND x.ch = a.ch JOIN prc_m y ON y.asset_id = a.asset_id AND y.ch = a.ch)
+    SELECT asset_id, ch, {S6('s')} AS snr_delta_db, {S6('c')} AS range_delta_db, {S6('r')} AS rms_delta_db, CASE WHEN s > 1 THEN 'better' WHEN s > 0 THEN 'slightly_better' ELSE 'same' END AS snr_status,
+      CASE WHEN c > 1 THEN 'better' WHEN c > 0 THEN 'slightly_better' ELSE 'same' END AS range_status,
+      CASE WHEN s > 3 AND c > 2 THEN 'major' WHEN s > 1 OR c > 1 THEN 'medium' WHEN s > 0 OR c > 0 THEN 'minor' ELSE 'none' END AS overall,
+      {S6('z')} AS centroid_delta, CASE WHEN z < -100 THEN 'effective' WHEN z < 0 THEN 'slight' ELSE 'none' END AS noise_status FROM d""",
+)
+def aud42_centroid(t):
+    keys = ["asset_id", "ch"]
+    sides = [A.signal_stats(df).join(S.mean_centroid(channel_spectra(df, keys), keys, FRAME_STEP), keys) for df in (audio_samples(t), processed_samples(t))]
+    return rounded(A.compare_audio(*sides), "snr_delta_db", "range_delta_db", "rms_delta_db", "centroid_delta")
+
+
+@query(
+    "aud31_width_curve",
+    f"""WITH {SAMPLE_CTE}, {STEREO}, {FRAME_BASIS}, side AS (SELECT asset_id, n, (l - r) / 2 AS amp FROM st), {frames_sql('side', 'asset_id')},
+    y AS (SELECT asset_id, hop * {HOP} + i AS n, max(w) AS w, sum(CASE WHEN bin IN (0, {FRAME // 2}) THEN 1 ELSE 2 END * CASE WHEN bin >= 4 THEN 1.15e0 WHEN bin >= 1 THEN 1.3e0 ELSE 1e0 END * (re * c + im * s)) / {FRAME} AS v
+      FROM side_z JOIN fb USING (bin) GROUP BY asset_id, hop, i),
+    o AS (SELECT asset_id, n, coalesce(sum(v * w) / nullif(sum(w * w), 0), 0) AS v FROM y GROUP BY asset_id, n)
+    SELECT st.asset_id, st.n, {S6('(l + r) / 2 + coalesce(o.v, (l - r) / 2)')} AS l, {S6('(l + r) / 2 - coalesce(o.v, (l - r) / 2)')} AS r FROM st LEFT JOIN o ON o.asset_id = st.asset_id AND o.n = st.n""",
+)
+def aud31_curve(t):
+    return rounded(S.width_curve(A.stereo(audio_samples(t)), FRAME_STEP, FRAME, HOP, "large"), "l", "r")

@@ -46,6 +46,10 @@ SHARPEN = {"small": 0.1, "medium": 0.2, "large": 0.3}
 FORMANTS = [(300, 800), (800, 2500), (2500, 3500)]
 FORMANT_BOOSTS = {"small": [1.0, 1.5, 1.0], "medium": [1.5, 2.0, 1.5], "large": [2.0, 2.5, 2.0]}
 
+# Factors of the side signal from 1 kHz and from 4 kHz on, by venue.
+WIDTH_BANDS = (1000, 4000)
+WIDTH_CURVE = {"small": (1.1, 1.05), "medium": (1.2, 1.1), "large": (1.3, 1.15)}
+
 DOUBLES = T.ArrayType(T.DoubleType())
 SPECTRUM = T.StructType([T.StructField("mag", DOUBLES), T.StructField("phase", DOUBLES)])
 
@@ -396,9 +400,37 @@ def phase_difference(spectra: DataFrame) -> DataFrame:
     return cells.groupBy("asset_id").agg(F.avg("d").alias("phase_difference"))
 
 
+def mean_centroid(spectra: DataFrame, keys: list[str], step: float) -> DataFrame:
+    """Spectral centroid in Hz, averaged over the blocks of each key; silent blocks do not count."""
+    total = F.aggregate("mag", F.lit(0.0), lambda a, m: a + m)
+    moment = F.aggregate(F.transform("mag", lambda m, i: m * i * F.lit(step)), F.lit(0.0), lambda a, m: a + m)
+    return spectra.groupBy(*keys).agg(F.avg(F.try_divide(moment, total)).alias("centroid"))
+
+
 # Filters ------------------------------------------------------------------------------------------
 
 
+def width_curve(pairs: DataFrame, step: float, size: int, hop: int, venue: str = "medium") -> DataFrame:
+    """Stereo width by frequency: the side signal's bins are scaled by the venue's curve, with middle and high bands apart.
+
+    Frames are ``size`` samples at every ``hop``. Samples behind the last complete frame keep their side signal. The overall
+    width and the peak limit are ``audio.mid_side_width`` on the result.
+    """
+    middle, high = WIDTH_CURVE.get(venue, WIDTH_CURVE["medium"])
+    side = pairs.select("asset_id", "n", ((F.col("l") - F.col("r")) / 2).alias("amp"))
+    bands = stft(frame_samples(side, ["asset_id"], size, hop))
+    low_hz, high_hz = WIDTH_BANDS
+
+    def scaled(m, i):
+        hz = i * F.lit(step)
+        return m * F.when(hz >= high_hz, F.lit(high)).when(hz >= low_hz, F.lit(middle)).otherwise(F.lit(1.0))
+
+    wide = istft(bands.withColumn("mag", F.transform("mag", scaled)), ["asset_id"], size, hop)
+    both = pairs.join(wide.withColumnRenamed("amp", "__side"), ["asset_id", "n"], "left")
+    mid, width = (F.col("l") + F.col("r")) / 2, F.coalesce("__side", (F.col("l") - F.col("r")) / 2)
+    return both.select("asset_id", "n", (mid + width).alias("l"), (mid - width).alias("r"))
+
+
 def spectral_gate(spectra: DataFrame, noise_floor_db: float = -60.0, strength: float = 0.5, keep_speech: bool = True) -> DataFrame:
     """Attenuate bins below their own 20th percentile over time (never below the noise floor)."""
     cells = spectra.select("asset_id", F.posexplode("mag").alias("bin", "m"))
