@@ -148,3 +148,20 @@ def test_phase_difference(spark):
     shifted = spark.createDataFrame([(1, 0, 0, [1.0, 1.0], [0.5, -0.5]), (1, 1, 0, [1.0, 1.0], [0.0, 0.5])],
                                     "asset_id INT, ch INT, hop BIGINT, mag ARRAY<DOUBLE>, phase ARRAY<DOUBLE>")
     assert S.phase_difference(shifted).first()["phase_difference"] == pytest.approx(0.75)
+
+
+def test_width_curve_scales_bands_of_the_side_signal(spark):
+    for hz, factor in ((500.0, 1.0), (2000.0, 1.2), (5000.0, 1.1)):
+        tone = [math.sin(2 * math.pi * hz * n / 16000) for n in range(164)]
+        pairs = spark.createDataFrame([(1, n, v, -v) for n, v in enumerate(tone)], "asset_id int, n bigint, l double, r double")
+        got = {r.n: (r.l, r.r) for r in S.width_curve(pairs, 16000 / 32, 32, 8, "medium").collect()}
+        assert len(got) == 164 and all(abs(got[n][0] + got[n][1]) < 1e-9 for n in got)
+        ratio = sum(got[n][0] * tone[n] for n in range(40, 120)) / sum(tone[n] ** 2 for n in range(40, 120))
+        assert abs(ratio - factor) < 0.06
+        assert all(abs(got[n][0] - tone[n]) < 1e-9 for n in range(160, 164))
+
+
+def test_mean_centroid_leaves_out_silence(spark):
+    rows = spark.createDataFrame([(1, 0, [0.0, 1.0, 1.0]), (1, 1, [0.0, 0.0, 0.0]), (2, 0, [0.0, 0.0])], "asset_id int, hop int, mag array<double>")
+    got = {r.asset_id: r.centroid for r in S.mean_centroid(rows, ["asset_id"], 100.0).collect()}
+    assert got == {1: 150.0, 2: None}
