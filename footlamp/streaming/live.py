@@ -30,11 +30,12 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 
 def read_stream(spark: SparkSession, folder: str, pattern: str, schema, max_files: int | None = None) -> DataFrame:
-    """File stream over the parquet files of a folder."""
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", pattern)
+    """File stream over what a folder has by the name ``pattern``: parquet files, or tables that are folders of such files."""
+    reader = spark.readStream.schema(schema)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.parquet(folder)
+    # a stream refuses the plain path of one file, and a filter on file names misses tables that are folders; a glob finds both
+    return reader.parquet(f"{folder}/{pattern[:-1]}[{pattern[-1]}]")
 
 
 @contextmanager

@@ -160,6 +160,17 @@ def telemetry(spark):
     )
 
 
+def test_a_stream_reads_tables_that_are_folders(spark, tmp_path):
+    """A table may be one file or a folder of part files; other tables beside it stay out."""
+    spark.range(7).repartition(3).write.parquet(str(tmp_path / "parts.parquet"))
+    spark.range(90, 95).write.parquet(str(tmp_path / "other.parquet"))
+    spark.range(7).coalesce(1).write.parquet(str(tmp_path / "staged"))
+    next((tmp_path / "staged").glob("*.parquet")).rename(tmp_path / "single.parquet")
+    for name in ("parts", "single"):
+        stream = L.read_stream(spark, str(tmp_path), f"{name}.parquet", spark.range(1).schema)
+        assert sorted(r.id for r in L.drain(stream, name).collect()) == list(range(7))
+
+
 def test_bottlenecks_over_batches(spark, telemetry, tmp_path):
     """Files out of order within the watermark give the result of the batch form for all rows that it has passed."""
     telemetry = telemetry.where("event_id > 0")  # time 0 counts as passed before the first batch
