@@ -2,24 +2,32 @@
 
 Event time is the ``ts`` column, with a ten-minute watermark unless stated. A trigger bounds what one key
 brings into a state function at once (``maxFilesPerTrigger`` / ``maxBytesPerTrigger`` on the source), so
-a busy host costs state time, not memory.
+a busy host costs state time, not memory. Operators that need rows in order, or a row in many windows, are ``TableStream``s:
+each trigger is a batch job of Spark over its own rows and those held back, so Spark sorts, spills and shuffles them.
 """
 
 from __future__ import annotations
 
+import math
 import pickle
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from dataclasses import dataclass, replace
+from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import StructType
 
 from footlamp.operators.telemetry import bottleneck_codes
-from footlamp.plans.storage import scratch_dir
+from footlamp.plans.storage import delete, scratch_dir
 
 WATERMARK = "10 minutes"
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
@@ -49,8 +57,62 @@ def rocksdb_state(spark: SparkSession) -> Iterator[None]:
         spark.conf.unset(STATE_STORE) if before is None else spark.conf.set(STATE_STORE, before)
 
 
-def drain(stream: DataFrame, name: str) -> DataFrame:
+def micros(interval: str) -> int:
+    return pd.Timedelta(interval) // pd.Timedelta("1us")
+
+
+@dataclass(frozen=True)
+class TableStream:
+    """A stream whose triggers are batch jobs over tables; ``drain`` runs it.
+
+    ``work(rows, last, since, until)`` gives the output of a trigger, of ``schema``: ``rows`` are those held back and those that
+    came in, ``last`` is the output before, ``since`` and ``until`` are the watermark before and after the trigger, in
+    microseconds as ``time``. Rows for which ``waits(until)`` holds are held back for the next one; they must include the newest, which
+    tells the watermark then. Without a ``delay`` there is no watermark and nothing waits. ``view`` is what ``drain`` returns of all outputs.
+    """
+
+    rows: DataFrame
+    schema: StructType
+    work: Callable[[DataFrame, DataFrame, int, int], DataFrame]
+    waits: Callable[[int], Column]
+    view: Callable[[DataFrame], DataFrame]
+    time: str = "us"
+    delay: str | None = WATERMARK
+
+
+ALWAYS = 2**62
+
+
+def drain_tables(stream: TableStream, name: str) -> DataFrame:
+    """``drain`` for a ``TableStream``: a trigger overwrites its own folders and reads those before, so it may be run again."""
+    spark, columns = stream.rows.sparkSession, stream.rows.schema
+    path, held, log = (scratch_dir(spark, name + part) for part in ("", "-held", "-log"))
+    spark.createDataFrame([], stream.schema).write.parquet(f"{path}/batch=-1")
+    spark.createDataFrame([], columns).write.parquet(f"{held}/batch=-1")
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        read = batch.sparkSession.read
+        rows, since, until = batch, -ALWAYS, ALWAYS
+        if stream.delay is not None:
+            before = read.schema(columns).parquet(f"{held}/batch={batch_id - 1}")
+            old, new = (df.agg(F.max(stream.time)).first()[0] for df in (before, batch))
+            since, until = (max((t - micros(stream.delay) for t in ts if t is not None), default=-ALWAYS) for ts in ([old], [old, new]))
+            rows = before.unionByName(batch)
+        last = read.schema(stream.schema).parquet(f"{path}/batch={batch_id - 1}")
+        stream.work(rows, last, since, until).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        if stream.delay is not None:
+            rows.where(stream.waits(until)).write.mode("overwrite").parquet(f"{held}/batch={batch_id}")
+            delete(batch.sparkSession, f"{held}/batch={batch_id - 2}")
+
+    query = stream.rows.writeStream.option("checkpointLocation", log).foreachBatch(run).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return stream.view(spark.read.schema(stream.schema).parquet(f"{path}/batch=*"))
+
+
+def drain(stream: DataFrame | TableStream, name: str) -> DataFrame:
     """Run an append-mode stream over all available input and return the sink table."""
+    if isinstance(stream, TableStream):
+        return drain_tables(stream, name)
     spark = stream.sparkSession
     path = scratch_dir(spark, name)
     with rocksdb_state(spark):
@@ -152,134 +214,153 @@ def stream_recovery_sessions(attempts: DataFrame, gap: str = "5 minutes") -> Dat
 # Stateful functions -------------------------------------------------------------------------------
 
 
-def _sorted(chunks: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
-    return pd.concat(list(chunks), ignore_index=True).sort_values(by, ignore_index=True)
-
-
-Step = Callable[[tuple, object, pd.DataFrame], tuple[object, pd.DataFrame]]
+Step = Callable[[tuple, object, dict[str, np.ndarray]], tuple[object, dict[str, np.ndarray]]]
+OWN = "__own"
 
 
-def in_event_order(events: DataFrame, key: str, step: Step, schema: str, time: str = "us", bucket_s: float = 60.0) -> DataFrame:
-    """Apply ``step(key, own state, rows) -> (own state, output)`` to each key's rows in event order.
+def fold_runs(step: Step, keys: list[str], out: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function for ``mapInArrow`` over rows sorted by ``keys``: ``step`` over each key's rows, a part of one batch at a time.
 
-    Rows wait in the state until the watermark has passed them, so files may arrive in any order within its delay and a
-    trigger's borders do not matter; later rows are dropped. The state is a map from ``bucket_s`` seconds of event time to rows,
-    and a timer for each bucket releases it, so a call holds one arriving batch or one bucket and never a host's history.
-    What is left when a stream ends, the rows of the last ten minutes, stays in the state for the next run. ``events`` has
-    ``ts``, microseconds as ``time``, and ``event_id``. Needs the RocksDB state store (``drain`` sets it).
+    A row with ``__own`` comes first in its key and brings what ``step`` returned for it before. Each key's last own state comes
+    out as such a row.
     """
-    width = int(bucket_s * 1e6)
 
-    class InOrder(StatefulProcessor):
-        def init(self, handle: StatefulProcessorHandle) -> None:
-            self.handle = handle
-            self.own = handle.getValueState("own", "value BINARY")
-            self.parts = handle.getValueState("parts", "n BIGINT")
-            self.held = handle.getMapState("held", "bucket BIGINT, part BIGINT", "rows BINARY")
-
-        def hold(self, rows: pd.DataFrame, mark: int) -> None:
-            n = self.parts.get()[0] if self.parts.exists() else 0
-            for bucket, some in rows.groupby(rows[time] // width):
-                self.held.updateValue((int(bucket), n), (pickle.dumps(some),))
-                self.handle.registerTimer(max(int(some[time].min()) // 1000 - 1, mark + 1))  # fires once the watermark is past it
-                n += 1
-            self.parts.update((n,))
-
-        def handleInputRows(self, key, rows, timerValues):
-            mark = max(timerValues.getCurrentWatermarkInMs(), 0)
-            for some in rows:
-                self.hold(some[some[time] > mark * 1000] if mark else some, mark)  # Spark lets rows pass that are one trigger late
-            return iter(())
+    def whole(column: pa.Array, owned: int) -> pa.Array:
+        """Whole numbers stay such if only the ``owned`` rows have none; numpy would make them doubles."""
+        return column.fill_null(0) if owned and pa.types.is_integer(column.type) and column.null_count == owned else column
+
+    def built(parts: list[tuple[tuple, dict]], lengths: list[int]) -> pa.RecordBatch:
+        at, n = pa.array(np.repeat(np.arange(len(parts)), lengths)), sum(lengths)
+        columns = []
+        for field in out:
+            if field.name in keys:
+                columns.append(pa.array([k[keys.index(field.name)] for k, _ in parts], field.type).take(at))
+            elif field.name not in parts[0][1]:
+                columns.append(pa.nulls(n, field.type))
+            elif pa.types.is_primitive(field.type):
+                columns.append(pa.array(np.concatenate([p[field.name] for _, p in parts]), field.type, from_pandas=True))
+            else:
+                columns.append(pa.array(list(chain.from_iterable(p[field.name] for _, p in parts)), field.type))
+        return pa.RecordBatch.from_arrays(columns, schema=out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, own = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ends = np.unique(np.concatenate([pc.run_end_encode(batch.column(k)).run_ends.to_numpy() for k in keys])).tolist()
+            owned = batch.num_rows - batch.column(OWN).null_count
+            values = {c: whole(batch.column(c), owned).to_numpy(zero_copy_only=False) for c in batch.schema.names}
+            found, lengths, owns = [], [], []
+            for start, end in zip([0, *ends], ends):
+                here = tuple(batch.column(k)[start].as_py() for k in keys)
+                if here != key:
+                    if key is not None:
+                        owns.append((key, {OWN: [pickle.dumps(own)]}))
+                    key, own = here, None
+                if values[OWN][start] is not None:
+                    own, start = pickle.loads(values[OWN][start]), start + 1
+                if start < end:
+                    own, some = step(key, own, {c: v[start:end] for c, v in values.items()})
+                    n = len(next(iter(some.values())))
+                    if n:
+                        found.append((key, some))
+                        lengths.append(n)
+            if found:
+                yield built(found, lengths)
+            if owns:
+                yield built(owns, [1] * len(owns))
+        if key is not None:
+            yield built([(key, {OWN: [pickle.dumps(own)]})], [1])
+
+    return run
+
+
+def in_event_order(events: DataFrame, keys: list[str], step: Step, schema: str, order: list[str], delay: str | None = WATERMARK) -> TableStream:
+    """Apply ``step(key, own state, columns) -> (own state, columns of the output)`` to each key's rows in ``order``.
+
+    Rows are held back until the watermark has passed them, so files may arrive in any order within its delay and a trigger's
+    borders do not matter; later rows are dropped. Those that it has passed are sorted by Spark within their key and streamed
+    through ``step`` in parts of one Arrow batch, so no task holds a key's rows, however many a trigger brings; a key's rows do pass
+    through one task, since its state goes from each row to the next. What is left when a stream ends, the rows of the last ten
+    minutes, stays held for the next run. The first column of ``order`` is the time in microseconds. Without a ``delay`` rows are
+    in order within a trigger and the source must bring them in order from trigger to trigger.
+    """
+    full = StructType.fromDDL(f"{schema}, {OWN} BINARY")
+    fold, time = fold_runs(step, keys, to_arrow_schema(full)), F.col(order[0])
 
-        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-            mark = timerValues.getCurrentWatermarkInMs()
-            due: dict[int, list[tuple]] = {}
-            for k in self.held.keys():
-                if k[0] * width <= mark * 1000:
-                    due.setdefault(k[0], []).append(tuple(k))
-            for bucket in sorted(due):
-                rows = pd.concat([pickle.loads(self.held.getValue(k)[0]) for k in due[bucket]], ignore_index=True)
-                for k in due[bucket]:
-                    self.held.removeKey(k)
-                ready = rows[time] <= mark * 1000
-                if ready.any():
-                    own = pickle.loads(self.own.get()[0]) if self.own.exists() else None
-                    passed = rows[ready].sort_values([time, "event_id"], ignore_index=True)
-                    own, out = step(tuple(key), own, passed)
-                    self.own.update((pickle.dumps(own),))
-                    yield out
-                if not ready.all():
-                    self.hold(rows[~ready], mark)
+    def work(rows: DataFrame, last: DataFrame, since: int, until: int) -> DataFrame:
+        passed = rows.where((time > since) & (time <= until)).withColumn(OWN, F.lit(None).cast("binary"))
+        own = last.where(F.col(OWN).isNotNull()).select(*keys, OWN)
+        both = passed.unionByName(own, allowMissingColumns=True).repartition(*keys)
+        return both.sortWithinPartitions(*keys, F.col(OWN).isNull(), *order).mapInArrow(fold, full)
 
-        def close(self) -> None:
-            pass
+    def view(written: DataFrame) -> DataFrame:
+        return written.where(F.col(OWN).isNull()).drop(OWN)
 
-    marked = events.withWatermark("ts", WATERMARK)
-    return marked.groupBy(key).transformWithStateInPandas(InOrder(), schema, "Append", "EventTime")
+    return TableStream(events, full, work, lambda until: time > until, view, order[0], delay)
 
 
-def stream_session_pairs(events: DataFrame, opens: str = "signup", closes: str = "purchase") -> DataFrame:
+def stream_session_pairs(events: DataFrame, opens: str = "signup", closes: str = "purchase") -> TableStream:
     """Join an opening with the first closing before the next opening of the same host: at most one row an opening."""
-    columns = ["host", "open_id", "close_id", "open_us", "close_us"]
+    columns = ["open_id", "close_id", "open_us", "close_us"]
 
     def step(key, own, rows):
         pairs = []
-        for us, event_id, kind in zip(rows["us"], rows["event_id"], rows["kind"]):
+        for us, event_id, kind in zip(rows["us"].tolist(), rows["event_id"].tolist(), rows["kind"]):
             if kind == opens:
-                own = (int(us), int(event_id))
-            elif kind == closes and own is not None:
-                pairs.append((key[0], own[1], int(event_id), own[0], int(us)))
+                own = (us, event_id)
+            elif own is not None:
+                pairs.append((own[1], event_id, own[0], us))
                 own = None
-        return own, pd.DataFrame(pairs, columns=columns)
+        return own, dict(zip(columns, np.array(pairs, dtype=np.int64).reshape(-1, len(columns)).T))
 
-    wanted = events.where(F.col("kind").isin(opens, closes)).select("host", "ts", "us", "event_id", "kind")
-    return in_event_order(wanted, "host", step, "host BIGINT, open_id BIGINT, close_id BIGINT, open_us BIGINT, close_us BIGINT")
+    wanted = events.where(F.col("kind").isin(opens, closes)).select("host", "us", "event_id", "kind")
+    ordered = in_event_order(wanted, ["host"], step, "host BIGINT, open_id BIGINT, close_id BIGINT, open_us BIGINT, close_us BIGINT", ["us", "event_id"])
+    return replace(ordered, view=lambda written: ordered.view(written).where("host IS NOT NULL"))
 
 
-def stream_bottlenecks(metrics: DataFrame, n: int = 5) -> DataFrame:
+def stream_bottlenecks(metrics: DataFrame, n: int = 5) -> TableStream:
     """Bottlenecks over the last ``n`` samples of each host in event order; the state is the last ``n - 1`` of them."""
     cols = ["cpu_pct", "mem_pct", "gpu_pct", "disk_mb_s"]
 
     def step(key, own, rows):
-        seen, old = (0, []) if own is None else own
-        old = np.array(old, dtype=float).reshape(-1, len(cols))
-        new = rows[cols].to_numpy(dtype=float)
-        both = np.vstack([old, new])
-        filled, known = np.nan_to_num(both), ~np.isnan(both)
+        seen, old = (0, np.zeros((0, len(cols)))) if own is None else own
+        both = np.vstack([old, np.column_stack([rows[c].astype(float) for c in cols])])
 
         def tail_sum(a: np.ndarray) -> np.ndarray:
-            total = np.vstack([np.zeros(len(cols)), a.astype(float).cumsum(0)])
-            last = np.arange(len(old), len(both)) + 1
-            return total[last] - total[np.maximum(last - n, 0)]
+            padded = np.vstack([np.zeros((n - 1, len(cols))), a])
+            return sum(padded[i : i + len(a)] for i in range(n))[len(old) :]
 
         with np.errstate(invalid="ignore", divide="ignore"):
-            means = tail_sum(filled) / tail_sum(known)
-        out = pd.DataFrame(means, columns=[f"m_{c}" for c in cols])
-        out.insert(0, "seq", seen + np.arange(len(rows)))
-        out.insert(0, "event_id", rows["event_id"].to_numpy())
-        out.insert(0, "host", key[0])
-        kept = both[-(n - 1) :]
-        return (seen + len(rows), kept.ravel().tolist()), out.astype(object).where(out.notna(), None)
+            means = tail_sum(np.nan_to_num(both)) / tail_sum(~np.isnan(both))
+        new = len(rows["event_id"])
+        out = {"event_id": rows["event_id"], "seq": seen + np.arange(new), **{f"m_{c}": m for c, m in zip(cols, means.T)}}
+        return (seen + new, both[max(len(both) - n + 1, 0) :].copy()), out
 
     schema = "host BIGINT, event_id BIGINT, seq BIGINT, m_cpu_pct DOUBLE, m_mem_pct DOUBLE, m_gpu_pct DOUBLE, m_disk_mb_s DOUBLE"
-    timed = metrics.withColumn("us", F.unix_micros("ts"))
-    df = in_event_order(timed, "host", step, schema)
+    timed = metrics.select("host", F.unix_micros("ts").alias("us"), "event_id", *[F.col(c).cast("double").alias(c) for c in cols])
+    ordered = in_event_order(timed, ["host"], step, schema, ["us", "event_id"])
     enough = F.col("seq") >= n - 1
 
     def known(c: str) -> Column:
         return F.when(~F.isnan(f"m_{c}"), F.col(f"m_{c}"))
 
     found = bottleneck_codes(*[known(c) for c in cols])
-    return df.select(
-        "event_id",
-        "host",
-        F.when(enough, F.lit("analysed")).otherwise(F.lit("insufficient_data")).alias("status"),
-        F.when(enough, found).alias("bottlenecks"),
-        F.when(enough, known("cpu_pct")).alias("avg_cpu"),
-    )
+
+    def view(written: DataFrame) -> DataFrame:
+        return ordered.view(written).select(
+            "event_id",
+            "host",
+            F.when(enough, F.lit("analysed")).otherwise(F.lit("insufficient_data")).alias("status"),
+            F.when(enough, found).alias("bottlenecks"),
+            F.when(enough, known("cpu_pct")).alias("avg_cpu"),
+        )
+
+    return replace(ordered, view=view)
 
 
-def stream_ema(frames: DataFrame, alpha: float = 0.1, block: int = 4096) -> DataFrame:
+def stream_ema(frames: DataFrame, alpha: float = 0.1, block: int = 4096) -> TableStream:
     """out_t = (1 - alpha) * frame_t + alpha * out_(t-1), on the stabilised frame.
 
     Pixels do not see each other, so a frame is cut into blocks and a long recording is spread over
@@ -290,35 +371,33 @@ def stream_ema(frames: DataFrame, alpha: float = 0.1, block: int = 4096) -> Data
     parts = frames.select("asset_id", "frame_key", "luma", F.explode(F.sequence(F.lit(0), n_blocks - 1)).alias("block"))
     parts = parts.withColumn("luma", F.slice("luma", F.col("block") * block + 1, F.lit(block)))
 
-    def step(key, chunks, state: GroupState):
-        rows = _sorted(chunks, ["frame_key"])
-        last = np.array(state.get[0]) if state.exists else None
+    def step(key, last, rows):
         out = []
         for x in rows["luma"]:
-            x = np.asarray(x, dtype=float)
             last = x if last is None else (1 - alpha) * x + alpha * last
             out.append(last)
-        state.update((last.tolist(),))
-        yield pd.DataFrame({"asset_id": key[0], "frame_key": rows["frame_key"], "block": key[1], "luma": pd.Series(out, dtype=object)})
+        return last, {"frame_key": rows["frame_key"], "luma": out}
 
-    return parts.groupBy("asset_id", "block").applyInPandasWithState(
-        step, "asset_id INT, frame_key BIGINT, block INT, luma ARRAY<DOUBLE>", "last ARRAY<DOUBLE>", "append", GroupStateTimeout.NoTimeout
-    )
+    parts = parts.select("asset_id", F.col("frame_key").cast("bigint").alias("frame_key"), F.col("luma").cast("array<double>").alias("luma"), "block")
+    return in_event_order(parts, ["asset_id", "block"], step, "asset_id INT, frame_key BIGINT, block INT, luma ARRAY<DOUBLE>", ["frame_key"], None)
 
 
-def stream_checkpoint_cadence(events: DataFrame, every_s: float = 300.0) -> DataFrame:
+def stream_checkpoint_cadence(events: DataFrame, every_s: float = 300.0) -> TableStream:
     """Emit a restore point for the first event and then whenever ``every_s`` have passed since the last."""
     every = int(every_s * 1e6)
 
     def step(key, last, rows):
-        picked = []
-        for us, event_id in zip(rows["us"], rows["event_id"]):
-            if last is None or us - last >= every:
-                last = int(us)
-                picked.append((key[0], int(event_id), last))
-        return last, pd.DataFrame(picked, columns=["host", "event_id", "us"])
-
-    return in_event_order(events, "host", step, "host BIGINT, event_id BIGINT, us BIGINT")
+        us, picked, at = rows["us"], [], -1
+        while True:
+            at = max(at + 1, 0 if last is None else int(np.searchsorted(us, last + every)))
+            if at >= len(us):
+                break
+            picked.append(at)
+            last = int(us[at])
+        picked = np.array(picked, dtype=np.int64)
+        return last, {"event_id": rows["event_id"][picked], "us": us[picked]}
+
+    return in_event_order(events.select("host", "us", "event_id"), ["host"], step, "host BIGINT, event_id BIGINT, us BIGINT", ["us", "event_id"])
 
 
 def stream_snapshots(events: DataFrame, idle: str = "1 hour") -> DataFrame:

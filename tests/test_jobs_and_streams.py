@@ -1,8 +1,11 @@
 """Sources, sinks, job edge cases, and streams over several micro-batches."""
 
 import os
+import pickle
+import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -200,6 +203,42 @@ def test_a_busy_host_over_batches(spark, tmp_path):
     assert spark.conf.get(L.STATE_STORE, "") != L.ROCKSDB
 
 
+def test_many_hosts_in_one_trigger(spark, tmp_path):
+    """Events of many hosts come in one trigger; a state value, a timer and a Python call for each made this take minutes."""
+    df = spark.range(1, 20001).selectExpr("id AS event_id", "nullif(id % 2000, 7) AS host", "id * 130000000 AS us", "IF(pmod(xxhash64(id), 3) = 0, 'signup', 'purchase') AS kind")
+    df = df.withColumn("ts", F.timestamp_micros("us"))
+    df.write.parquet(str(tmp_path / "e.parquet"))
+    start = time.monotonic()
+    got = L.drain(L.stream_session_pairs(L.read_stream(spark, str(tmp_path), "e.parquet", df.schema)), "many").collect()
+    assert time.monotonic() - start < 40
+    want, last = [], {}
+    for r in df.orderBy("us").collect():
+        if r["host"] is None or r["us"] > 20000 * 130_000_000 - 600_000_000:
+            continue
+        if r["kind"] == "signup":
+            last[r["host"]] = r
+        elif o := last.pop(r["host"], None):
+            want.append((r["host"], o["event_id"], r["event_id"], o["us"], r["us"]))
+    assert sorted(map(tuple, got)) == sorted(want) and want
+
+
+def test_state_is_carried_over_batch_borders():
+    """Keys that span Arrow batches and null keys keep one state each; own rows bring it from before and give it to the next."""
+    out = pa.schema([("k", pa.int64()), ("n", pa.int64()), (L.OWN, pa.binary())])
+
+    def step(key, own, rows):
+        total = (own or 0) + np.cumsum(rows["v"])
+        return int(total[-1]), {"n": total.astype(np.int64)}
+
+    rows = [(None, 1, None), (None, 2, None), (5, None, pickle.dumps(100)), (5, 2**53 + 1, None), (5, 4, None), (6, None, pickle.dumps(9)), (2**53 + 1, 8, None)]
+    schema = pa.schema([("k", pa.int64()), ("v", pa.int64()), (L.OWN, pa.binary())])
+    for size in (1, 2, 3, 7):
+        parts = pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema).to_batches(max_chunksize=size)
+        got = [r for b in L.fold_runs(step, ["k"], out)(iter(parts)) for r in b.to_pylist()]
+        assert [(r["k"], r["n"]) for r in got if r[L.OWN] is None] == [(None, 1), (None, 3), (5, 2**53 + 101), (5, 2**53 + 105), (2**53 + 1, 8)]
+        assert {r["k"]: pickle.loads(r[L.OWN]) for r in got if r[L.OWN] is not None} == {None: 3, 5: 2**53 + 105, 6: 9, 2**53 + 1: 8}
+
+
 def test_pairs_take_the_first_close(spark, tmp_path):
     kinds = ["signup", "purchase", "purchase", "signup", "signup", "purchase", "view", "purchase"]
     rows = [(1, i, (i + 1) * 60_000_000, k) for i, k in enumerate(kinds)] + [(1, 99, 10**10, "signup")]
