@@ -170,18 +170,57 @@ def stream_latest_substages(events: DataFrame) -> DataFrame:
     return newest.select("job_id", "stage", "substage", "e.*")
 
 
-def stream_utilisation(metrics: DataFrame, window: str = "10 minutes", slide: str = "1 minute") -> DataFrame:
-    """Sliding statistics per host; a window is emitted once the watermark has passed it."""
-    w = metrics.withWatermark("ts", WATERMARK).groupBy(F.window("ts", window, slide), "host")
-    stats = w.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min("cpu_pct").alias("cpu_min"),
-        F.max("cpu_pct").alias("cpu_max"),
-        F.avg("cpu_pct").alias("cpu_avg"),
-        F.max_by("cpu_pct", "ts").alias("cpu_now"),
-        F.avg("mem_pct").alias("mem_avg"),
-    )
-    return stats.select("host", F.col("window.start").alias("start"), F.col("window.end").alias("end"), "n", "cpu_min", "cpu_max", "cpu_avg", "cpu_now", "mem_avg")
+def stream_utilisation(metrics: DataFrame, window: str = "10 minutes", slide: str = "1 minute") -> TableStream:
+    """Sliding statistics per host; a window is emitted once the watermark has passed it.
+
+    Rows are summed in panes, which lie whole in or out of a window, and only panes are repeated for each window. A host's windows are dealt out
+    in spans of time with the rows that reach into them, so rows are shuffled once, windows never, and no task holds a host. The state is the
+    rows of windows that are still open.
+    """
+    width, step = micros(window), micros(slide)
+    pane, span = math.gcd(width, step), step * max(64, 8 * width // step)
+
+    def floored(c: str | Column, to: int) -> Column:
+        c = F.col(c) if isinstance(c, str) else c
+        return c - F.pmod(c, F.lit(to))
+
+    def last_start(c: str) -> Column:
+        return floored(c, step)
+
+    def first_start(c: str) -> Column:
+        return floored(F.col(c) - width, step) + step
+
+    def work(rows: DataFrame, last: DataFrame, since: int, until: int) -> DataFrame:
+        open_ = rows.where(last_start("us") + width > since)
+        near = open_.withColumn("span", F.explode(F.sequence(floored(first_start("us"), span), floored(last_start("us"), span), F.lit(span))))
+        dealt = near.withColumn("pane", floored("us", pane)).repartition("host", "span")
+        parts = dealt.groupBy("host", "span", "pane").agg(
+            F.count(F.lit(1)).alias("n"),
+            F.min("cpu_pct").alias("cpu_min"),
+            F.max("cpu_pct").alias("cpu_max"),
+            F.sum("cpu_pct").alias("cpu_sum"),
+            F.count("cpu_pct").alias("cpu_n"),
+            F.max_by("cpu_pct", "us").alias("cpu_now"),
+            F.max("us").alias("us"),
+            F.sum(F.col("mem_pct").cast("double")).alias("mem_sum"),
+            F.count("mem_pct").alias("mem_n"),
+        )
+        begin, end = F.greatest(first_start("pane"), F.col("span")), F.least(last_start("pane"), F.col("span") + span - step)
+        spread = parts.where(begin <= end).withColumn("st", F.explode(F.sequence(begin, end, F.lit(step))))
+        closed = spread.where((F.col("st") + width > since) & (F.col("st") + width <= until))
+        found = closed.groupBy("host", "span", "st").agg(
+            F.sum("n").alias("n"),
+            F.min("cpu_min").alias("cpu_min"),
+            F.max("cpu_max").alias("cpu_max"),
+            F.try_divide(F.sum("cpu_sum"), F.sum("cpu_n")).alias("cpu_avg"),
+            F.max_by("cpu_now", "us").alias("cpu_now"),
+            F.try_divide(F.sum("mem_sum"), F.sum("mem_n")).alias("mem_avg"),
+        )
+        return found.select("host", F.timestamp_micros("st").alias("start"), F.timestamp_micros(F.col("st") + width).alias("end"), "n", "cpu_min", "cpu_max", "cpu_avg", "cpu_now", "mem_avg")
+
+    schema = StructType.fromDDL("host BIGINT, start TIMESTAMP, end TIMESTAMP, n BIGINT, cpu_min DOUBLE, cpu_max DOUBLE, cpu_avg DOUBLE, cpu_now DOUBLE, mem_avg DOUBLE")
+    rows = metrics.select("host", F.unix_micros("ts").alias("us"), F.col("cpu_pct").cast("double").alias("cpu_pct"), "mem_pct").where("us IS NOT NULL")
+    return TableStream(rows, schema, work, lambda until: last_start("us") + width > until, lambda written: written)
 
 
 def stream_resource_tumbling(metrics: DataFrame, interval: str = "30 seconds") -> DataFrame:

@@ -239,6 +239,22 @@ def test_state_is_carried_over_batch_borders():
         assert {r["k"]: pickle.loads(r[L.OWN]) for r in got if r[L.OWN] is not None} == {None: 3, 5: 2**53 + 105, 6: 9, 2**53 + 1: 8}
 
 
+@pytest.mark.parametrize("window,slide", [("10 minutes", "1 minute"), ("7 minutes", "3 minutes")])
+def test_windows_over_batches(spark, telemetry, tmp_path, window, slide):
+    """Windows over triggers equal those of a batch; rows are shuffled once and their windows are not."""
+    write_batches(spark, tmp_path, telemetry, ["event_id < 7 OR event_id BETWEEN 9 AND 12", "event_id IN (7, 8) OR event_id BETWEEN 13 AND 90", "event_id > 90"])
+    made = L.stream_utilisation(L.read_stream(spark, str(tmp_path), "*.parquet", telemetry.schema, max_files=1), window, slide)
+    got = L.drain(made, "w").select("host", "start", "end", "n", "cpu_min", "cpu_max", F.round("cpu_avg", 6), "cpu_now", F.round("mem_avg", 6))
+    w = telemetry.groupBy("host", F.window("ts", window, slide).alias("w")).agg(
+        F.count(F.lit(1)), F.min("cpu_pct"), F.max("cpu_pct"), F.round(F.avg("cpu_pct"), 6), F.max_by("cpu_pct", "ts"), F.round(F.avg("mem_pct"), 6)
+    )
+    want = w.where(F.unix_micros("w.end") <= 189 * 60_000_000).select("host", "w.start", "w.end", *[F.col(f"`{c}`") for c in w.columns[2:]])
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    work = made.work(telemetry.select("host", F.unix_micros("ts").alias("us"), "cpu_pct", "mem_pct"), None, -L.ALWAYS, 189 * 60_000_000)
+    work.collect()
+    assert work._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count(" Exchange ") == 1
+
+
 def test_pairs_take_the_first_close(spark, tmp_path):
     kinds = ["signup", "purchase", "purchase", "signup", "signup", "purchase", "view", "purchase"]
     rows = [(1, i, (i + 1) * 60_000_000, k) for i, k in enumerate(kinds)] + [(1, 99, 10**10, "signup")]
