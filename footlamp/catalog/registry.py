@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from footlamp.session import ship_package
+from footlamp.session import ship_package, small_batches
 
 Runner = Callable[[SparkSession, str], DataFrame]
 
@@ -31,6 +31,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Callable], Callable]:
 
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             ship_package(spark)
+            small_batches(spark)
             return fn(Tables(spark, sf_dir))
 
         REGISTRY[name] = Query(name, run, sql)

@@ -19,6 +19,16 @@ LOCAL_DEFAULTS = {
     "spark.ui.showConsoleProgress": "false",
 }
 
+#: Rows of an Arrow batch at most. A row is a frame or an audio block, and numpy, pandas and Arrow hold a batch and its result several times.
+BATCH_ROWS = 1000
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the rows of an Arrow batch to ``BATCH_ROWS``; a smaller setting stays."""
+    if not 0 < int(spark.conf.get(BATCH)) <= BATCH_ROWS:
+        spark.conf.set(BATCH, str(BATCH_ROWS))
+
 
 def get_session(app: str = "footlamp", cpus: str | None = None, **conf: str) -> SparkSession:
     """Return a session; ``local[cpus]`` only when no master was submitted."""
@@ -33,6 +43,7 @@ def get_session(app: str = "footlamp", cpus: str | None = None, **conf: str) ->
     for key, value in {**LOCAL_DEFAULTS, **conf}.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
+    small_batches(spark)
     ship_package(spark)
     return spark
 

@@ -145,3 +145,20 @@ def test_assembled_constant_tiles_stay_constant(spark):
     px = X.tile_pixels(X.make_tiles(sizes, 12, 4)).withColumn("weight", X.tile_weight()).withColumn("v", F.lit(5.0))
     out = X.assemble_tiles(px)
     assert out.count() == 600 and out.where("abs(v - 5) > 1e-9").count() == 0
+
+
+def test_batches_of_frames_are_bounded(spark):
+    """A query lowers the rows that Python gets at once, since memory goes with them; a smaller setting stays."""
+    from footlamp.catalog import REGISTRY
+    from footlamp.session import BATCH, BATCH_ROWS
+
+    before = spark.conf.get(BATCH)
+    try:
+        for given, kept in ((10_000, BATCH_ROWS), (0, BATCH_ROWS), (50, 50)):
+            spark.conf.set(BATCH, str(given))
+            REGISTRY["frm36_resample_cubic_x4"].run(spark, "/root/testdata/sf0.001")
+            assert int(spark.conf.get(BATCH)) == kept
+            largest = spark.range(3000).repartition(1).select(F.pandas_udf(lambda s: s * 0 + len(s), "bigint")("id").alias("n")).agg(F.max("n")).first()[0]
+            assert largest == kept
+    finally:
+        spark.conf.set(BATCH, before)
