@@ -32,6 +32,8 @@ LEAST, OF = 4, 5
 #: One distinct text of so many is looked at for common shingles; the commonest, at most so many, come last in the order.
 SAMPLE = 32
 COMMON = 200_000
+#: Slots by which texts that are not asked for are left out before a shuffle; so many rows at most are sent to all executors.
+SLOTS = 2**20
 #: Bits of a set's parity bitmap.
 BITS = 2048
 
@@ -149,11 +151,17 @@ def bits_allow(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return both.where(enough((F.col("n") + F.col("m") - apart) / 2, F.col("n"), F.col("m"))).select("u", "v")
 
 
+def only_asked(texts: DataFrame, asked: DataFrame) -> DataFrame:
+    """Rows of ``texts`` that ``asked`` names, and few others: those that share a slot. An exact join has to follow."""
+    slot = F.pmod(F.xxhash64("no_id", "id", "key"), F.lit(SLOTS))
+    return texts.withColumn("slot", slot).join(F.broadcast(asked.select(slot.alias("slot")).distinct()), "slot", "left_semi").drop("slot")
+
+
 def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
     """The ``pairs`` whose whole sets are similar enough; sets are made again from one of ``texts`` for each node asked for."""
     pairs = cut_lineage(bits_allow(pairs, nodes))
-    asked = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(nodes.select("node", "first"), "node").select("first.*")
-    sets = cut_lineage(texts.join(asked, ["no_id", "id", "key"]).select("text").mapInArrow(_sets, SET).dropDuplicates(["node"]))
+    asked = cut_lineage(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(nodes.select("node", "first"), "node").select("first.*"))
+    sets = cut_lineage(only_asked(texts, asked).join(asked, ["no_id", "id", "key"]).select("text").mapInArrow(_sets, SET).dropDuplicates(["node"]))
     a = sets.select(F.col("node").alias("u"), F.col("members").alias("a"))
     b = sets.select(F.col("node").alias("v"), F.col("members").alias("b"))
     both = pairs.join(a, "u").join(b, "v")

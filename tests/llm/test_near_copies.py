@@ -68,3 +68,14 @@ def test_stage_keeps_what_brute_force_keeps(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select(*COLUMNS.replace(",", "").split()[::2])
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     assert sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()) == plain_kept(rows)[0]
+
+
+def test_texts_not_asked_for_are_not_shuffled(spark):
+    """Whole texts were shuffled for a few pairs; now those that no pair asks for stay out, and none that is asked for is lost."""
+    texts = spark.range(20_000).selectExpr("id % 7 = 0 AS no_id", "id", "hash(id) AS key", "CAST(concat('text ', id) AS BINARY) AS text")
+    for few in (texts.where("id % 400 = 3"), texts.where("id < 0")):
+        asked = few.drop("text")
+        kept = near_copies.only_asked(texts, asked)
+        n = asked.count()
+        assert n <= kept.count() <= n + 40
+        assert kept.join(asked, ["no_id", "id", "key"]).count() == n
