@@ -1,12 +1,13 @@
 """SentencePiece encoding and decoding over a relational lattice.
 
 1. Texts are cut into words that no piece crosses; the distinct words of each block of documents are gathered.
-2. Every distinct word of the corpus is exploded into its substrings of bounded length, which are joined to the piece table.
-   The matches are the edges of the word's lattice; they are grouped by word.
+2. Every distinct word of the corpus is exploded into its substrings of the sizes that pieces with the same first characters
+   have, which are joined to the piece table. The matches are the edges of the word's lattice; they are grouped by word.
 3. Each lattice is folded by a higher-order aggregate. For a unigram model the fold is Viterbi's. For a BPE model the best sum
    of scores is not what the model means, so the fold merges: it takes, again and again, the best edge that
    spans exactly two segments. Both give the ids that the sentencepiece library gives.
-4. Blocks of documents meet the ids of their words and are put together.
+4. Blocks of documents meet the ids of their words and are put together. Ids are packed by block before they are shuffled and
+   go by the word's place among the block's sorted words, so no word is sent back.
 
 Words of more than ``LONG`` characters without a space, whose lattices have no bound, are encoded by the library itself
 when their block is put together.
@@ -15,7 +16,9 @@ when their block is put together.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from array import array
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,10 +34,14 @@ SPACE_PIECE = "▁"
 #: Characters of a lattice at most; its boundaries are the bits of one integer.
 LONG = 48
 #: Characters of text in a block of documents.
-BLOCK_CHARS = 32_000_000
+BLOCK_CHARS = 20_000_000
 #: Characters of text for each partition of words. A word's edges are gathered by hash, without a sort, so partitions are kept small.
-WORD_CHARS = 8_000_000
+WORD_CHARS = 4_000_000
 HASHED_GROUPS = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
+#: A word's place in a corpus: its block, then its place among the block's sorted words. Places that are packed at once.
+PLACE_BITS = 32
+PLACE_MASK = (1 << PLACE_BITS) - 1
+PACKED_IDS = 2_000_000
 #: The piece table is broadcast, so it is held to this size.
 MAX_PIECES = 1_000_000
 #: Fixed values of the format: kinds of pieces, kinds of models, and how far below the worst piece an unknown character scores.
@@ -64,6 +71,12 @@ class PieceModel:
         """Spaces as the space piece, with one in front of a text that is not empty."""
         return (SPACE_PIECE if self.dummy_prefix and text else "") + text.replace(" ", SPACE_PIECE)
 
+    def tokens(self, text: str) -> list[str]:
+        """Parts of the normalised text that no word crosses, each cut into words by ``pattern``: mostly what is between spaces."""
+        if SPACE_PIECE in text or "  " in text or text[:1] in ("", " ") or text[-1] == " ":
+            return re.findall(self.pattern, self.normalise(text))
+        return ((SPACE_PIECE if self.dummy_prefix else "") + text.replace(" ", " " + SPACE_PIECE)).split(" ")
+
 
 def load_model(path: str) -> PieceModel:
     """Read a model file on the driver. Models that normalise characters, or whose pieces cross spaces, are refused."""
@@ -115,11 +128,28 @@ START_BITS, SIZE_BITS, ID_BITS = 6, 6, 21
 NO_PLACE = MAX_PIECES
 
 
-def packed(place: Column, start: Column, size: Column, id_: Column) -> Column:
-    """An edge as one integer: its order is best first, then leftmost."""
-    e = F.shiftleft(place.cast("bigint"), START_BITS).bitwiseOR(start.cast("bigint"))
-    e = F.shiftleft(e, SIZE_BITS).bitwiseOR(size.cast("bigint"))
-    return F.shiftleft(e, ID_BITS).bitwiseOR(F.coalesce(id_ + 1, F.lit(0)).cast("bigint"))
+#: Characters by which the sizes of the pieces that may start at a place are looked up.
+HEAD = 3
+
+
+def head_table(spark: SparkSession, model: PieceModel) -> DataFrame:
+    """``head, sizes``: sizes of the pieces that start with the ``HEAD`` characters, and those of shorter substrings."""
+    sizes: dict[str, set[int]] = {}
+    for p, _, _ in model.pieces:
+        if len(p) >= HEAD:
+            sizes.setdefault(p[:HEAD], set(range(1, HEAD))).add(len(p))
+    schema = pa.schema([("head", pa.string()), ("sizes", pa.list_(pa.int32()))])
+    return spark.createDataFrame(pa.table([pa.array(list(sizes), pa.string()), pa.array(map(sorted, sizes.values()), pa.list_(pa.int32()))], schema=schema))
+
+
+def packed_piece(place: Column, id_: Column) -> Column:
+    """The bits of an edge that its piece gives."""
+    return F.shiftleft(place.cast("bigint"), START_BITS + SIZE_BITS + ID_BITS).bitwiseOR(F.coalesce(id_ + 1, F.lit(0)).cast("bigint"))
+
+
+def packed_span(start: Column, size: Column) -> Column:
+    """The bits of an edge that its place gives. With those of the piece it is one integer, whose order is best first, then leftmost."""
+    return F.shiftleft(F.shiftleft(start.cast("bigint"), SIZE_BITS).bitwiseOR(size.cast("bigint")), ID_BITS)
 
 
 def start_of(e: Column) -> Column:
@@ -137,22 +167,30 @@ def id_of(e: Column) -> Column:
 def edges(words: DataFrame, model: PieceModel) -> DataFrame:
     """The words' rows with ``edges``: best first, then leftmost. A character that is no piece has an edge with a null id.
 
-    The edges of a BPE lattice are packed integers, those of a unigram lattice structs ``cost, start, stop, id``. Words are
-    distinct and already partitioned by word, so grouping their edges again needs no shuffle.
+    The edges of a BPE lattice are structs ``edge, ends, inner``: the packed edge, its two boundaries and those inside it, one
+    bit each. Those of a unigram lattice are structs ``cost, start, stop, id``. Words are distinct and already partitioned by word, so grouping their edges again needs no shuffle.
     """
     n = F.length("word")
     rest = [c for c in words.columns if c != "word"]
-    starts = words.select("word", *rest, F.explode(F.sequence(F.lit(0), n - 1)).alias("start"))
-    spans = starts.select("*", F.explode(F.sequence(F.lit(1), F.least(F.lit(model.longest), n - F.col("start")))).alias("size"))
-    parts = spans.withColumn("piece", F.expr("substring(word, start + 1, size)"))
-    known = F.broadcast(piece_table(words.sparkSession, model))  # at most MAX_PIECES short rows, checked when the model was read
-    hits = parts.join(known, "piece", "left").where("id IS NOT NULL OR size = 1")
+    starts = words.select("word", *rest, F.explode(F.sequence(F.lit(0), n - 1)).alias("start")).withColumn("head", F.expr(f"substring(word, start + 1, {HEAD})"))
+    short = F.array(*[F.lit(i) for i in range(1, HEAD)])
+    heads = F.broadcast(head_table(words.sparkSession, model))  # no more rows than pieces
+    spans = starts.join(heads, "head", "left").select("word", *rest, "start", F.explode(F.coalesce("sizes", short)).alias("size"))
+    parts = spans.where(F.col("size") <= n - F.col("start")).withColumn("piece", F.expr("substring(word, start + 1, size)"))
+    pieces = piece_table(words.sparkSession, model)
+    # whatever needs no piece is computed before the join and the piece's bits beside it, since an aggregate evaluates its argument without generated code
     if model.kind == BPE:
-        edge = packed(F.coalesce("place", F.lit(NO_PLACE)), F.col("start"), F.col("size"), F.col("id"))
+        low, high = bit(F.col("start")), bit(F.col("start") + F.col("size"))
+        parts = parts.select("*", packed_span(F.col("start"), F.col("size")).alias("span"), low.bitwiseOR(high).alias("ends"), (high - F.shiftleft(low, 1)).alias("inner"))
+        pieces = pieces.select("piece", packed_piece(F.col("place"), F.col("id")).alias("bits"))
+        none = packed_piece(F.lit(NO_PLACE), F.lit(None).cast("int"))
+        edge, known = F.struct(F.coalesce("bits", none).bitwiseOR(F.col("span")).alias("edge"), "ends", "inner"), F.col("bits")
     else:
+        parts = parts.withColumn("stop", (F.col("start") + F.col("size")).cast("int"))
         worst = min(s for _, _, s in model.pieces) - UNKNOWN_PENALTY
-        edge = F.struct((-F.coalesce("score", F.lit(worst))).alias("cost"), "start", (F.col("start") + F.col("size")).cast("int").alias("stop"), "id")
-    return hits.groupBy("word").agg(F.array_sort(F.collect_list(edge)).alias("edges"), *[F.first(c).alias(c) for c in rest])
+        edge, known = F.struct((-F.coalesce("score", F.lit(worst))).alias("cost"), "start", "stop", "id"), F.col("id")
+    hits = parts.join(F.broadcast(pieces), "piece", "left").where(known.isNotNull() | (F.col("size") == 1))  # at most MAX_PIECES short rows
+    return hits.groupBy("word").agg(F.sort_array(F.collect_list(edge)).alias("edges"), *[F.first(c).alias(c) for c in rest])
 
 
 def bit(i: Column) -> Column:
@@ -160,35 +198,21 @@ def bit(i: Column) -> Column:
 
 
 def merged(lattice: Column, n: Column) -> Column:
-    """Path of a BPE lattice as structs. State: the segment boundaries, one bit each, and whether an edge was found last time."""
-    spans = F.transform(
-        F.filter(lattice, lambda e: stop_of(e) > start_of(e) + 1),
-        lambda e: F.struct(bit(start_of(e)).bitwiseOR(bit(stop_of(e))).alias("ends"), (bit(stop_of(e)) - bit(start_of(e) + 1)).alias("inner")),
-    )
+    """Path of a BPE lattice as structs. State: the segment boundaries, one bit each, negative once no edge is left to merge."""
 
     def fold(s: Column) -> Column:
-        def step(state: Column, _: Column) -> Column:
-            bounds = state["bounds"]
+        def step(bounds: Column, _: Column) -> Column:
             free = F.filter(s, lambda e: (bounds.bitwiseAND(e["ends"]) == e["ends"]) & (F.bit_count(bounds.bitwiseAND(e["inner"])) == 1))
-            inner = F.get(free, F.lit(0))["inner"]
-            merge = once(
-                inner,
-                lambda i: F.struct(F.when(i.isNull(), bounds).otherwise(bounds.bitwiseAND(F.bitwise_not(i))).alias("bounds"), i.isNotNull().alias("more")),
-            )
-            return F.when(state["more"], merge).otherwise(state)
+            merge = once(F.get(free, F.lit(0))["inner"], lambda i: F.when(i.isNull(), -bounds).otherwise(bounds.bitwiseAND(F.bitwise_not(i))))
+            return F.when(bounds < 0, bounds).otherwise(merge)
 
-        start = F.struct((bit(n + 1) - 1).alias("bounds"), (F.size(s) > 0).alias("more"))
-        return F.aggregate(F.sequence(F.lit(1), n), start, step, lambda state: state["bounds"])
+        return F.aggregate(F.sequence(F.lit(1), n), bit(n + 1) - 1, step, lambda b: F.abs(b))
 
     def path(bounds: Column) -> Column:
-        on = F.filter(
-            lattice,
-            lambda e: (bounds.bitwiseAND(bit(start_of(e)).bitwiseOR(bit(stop_of(e)))) == bit(start_of(e)).bitwiseOR(bit(stop_of(e))))
-            & (F.bit_count(bounds.bitwiseAND(bit(stop_of(e)) - bit(start_of(e) + 1))) == 0),
-        )
-        return F.array_sort(F.transform(on, lambda e: F.struct(start_of(e).alias("start"), stop_of(e).alias("stop"), id_of(e).alias("id"))))
+        on = F.filter(lattice, lambda e: (bounds.bitwiseAND(e["ends"]) == e["ends"]) & (bounds.bitwiseAND(e["inner"]) == 0))
+        return F.sort_array(F.transform(on, lambda e: F.struct(start_of(e["edge"]).alias("start"), stop_of(e["edge"]).alias("stop"), id_of(e["edge"]).alias("id"))))
 
-    return once(once(spans, fold), path)
+    return once(once(F.filter(lattice, lambda e: e["inner"] != 0), fold), path)
 
 
 def best_sum(lattice: Column, n: Column) -> Column:
@@ -264,6 +288,54 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([int(block[rows[0]])], pa.int64()), pa.array([press.compress(sink.getvalue())], pa.binary())], ["block", "docs"])
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """Integers by byte, highest bytes apart from lowest, so that they compress well."""
+    return np.ascontiguousarray(values.astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _from_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, dtype=np.uint8).reshape(4, -1).T).view("<i4").ravel()
+
+
+def _pack_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``places, ids`` of words to ``block, places, sizes, ids`` of blocks, compressed: the only form in which ids are shuffled."""
+    press = zstandard.ZstdCompressor(level=3)
+    held: list[tuple[np.ndarray, ...]] = []
+    n_held = 0
+
+    def packed() -> Iterator[pa.RecordBatch]:
+        where, sizes, starts, flat = [], [], [], []
+        at = 0
+        for w, z, f, o in held:
+            where.append(w), sizes.append(z), flat.append(f), starts.append(o + at)
+            at += len(f)
+        held.clear()
+        where, sizes, starts, flat = map(np.concatenate, (where, sizes, starts, flat))
+        order = np.argsort(where)
+        where, sizes, starts = where[order], sizes[order], starts[order]
+        cuts = [0, *(np.nonzero(np.diff(where >> PLACE_BITS))[0] + 1), len(where)]
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            own, stop = sizes[a:b], np.cumsum(sizes[a:b])
+            ids = flat[np.arange(stop[-1]) + np.repeat(starts[a:b] - (stop - own), own)]
+            parts = [np.diff(where[a:b] & PLACE_MASK, prepend=0), own, ids]
+            columns = [pa.array([int(where[a] >> PLACE_BITS)], pa.int64()), *(pa.array([press.compress(_planes(x))], pa.binary()) for x in parts)]
+            yield pa.RecordBatch.from_arrays(columns, ["block", "places", "sizes", "ids"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        blocks, coded = batch.column(0), batch.column(1)
+        repeats, starts, sizes = np.diff(blocks.offsets.to_numpy()), coded.offsets.to_numpy().astype(np.int64), np.diff(coded.offsets.to_numpy()).astype(np.int64)
+        places = blocks.flatten().to_numpy(zero_copy_only=False)
+        held.append((places, np.repeat(sizes, repeats), coded.flatten().to_numpy(zero_copy_only=False), np.repeat(starts[:-1] - starts[0], repeats)))
+        n_held += len(places)
+        if n_held >= PACKED_IDS:
+            yield from packed()
+            n_held = 0
+    if n_held:
+        yield from packed()
+
+
 def _unpack(blob: bytes) -> pa.Table:
     return pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(blob)).read_all()
 
@@ -286,68 +358,91 @@ def encode(docs: DataFrame, model: PieceModel, key: str = "doc_id", text: str =
     blocks = blocks_of(docs, key, text, max(1, -(-total // block_chars)))
     word_parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // WORD_CHARS))
     splitter = re.compile(model.pattern)
-    normalise, surfaces, dummy = model.normalise, model.surfaces, model.dummy_prefix
+    tokens, surfaces, dummy = model.tokens, model.surfaces, model.dummy_prefix
 
     def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[int, set[str]] = {}
+        own: set[str] = set()
+        current = None
+
+        def told() -> Iterator[pa.RecordBatch]:
+            words = block_words({w for t in own for w in splitter.findall(t)})
+            own.clear()
+            for i in range(0, len(words), 50_000):
+                part = words[i : i + 50_000]
+                places = (current << PLACE_BITS) + np.arange(i, i + len(part), dtype=np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(places), pa.array(part, pa.string())], ["place", "word"])
+
         for batch in batches:
             for block, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
-                own = seen.setdefault(block, set())
+                if block != current:
+                    yield from told()
+                    current = block
                 for t in _unpack(blob.as_py()).column("text"):
                     if t.is_valid:
-                        own.update(splitter.findall(normalise(t.as_py())))
-        for block, own in seen.items():
-            words = [w for w in own if len(w) <= LONG]
-            for i in range(0, len(words), 50_000):
-                part = words[i : i + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array([block] * len(part), pa.int64()), pa.array(part, pa.string())], ["block", "word"])
+                        own.update(tokens(t.as_py()))
+        yield from told()
 
     file = model.file
 
     def put_together(left: pa.Table, right: pa.Table) -> pa.Table:
         import sentencepiece
 
-        number = {w: i for i, w in enumerate(right.column("word").to_pylist())}
-        flat, edge = np.zeros(0, dtype=np.int32), np.zeros(1, dtype=np.int64)
-        if right.num_rows:
-            coded = right.column("ids").combine_chunks()
-            flat, edge = coded.flatten().to_numpy(zero_copy_only=False), coded.offsets.to_numpy().astype(np.int64)
-            edge = edge - edge[0]
-        lib = None
-        long_words: dict[str, np.ndarray] = {}
-
-        def ids_of(words: list[str]) -> np.ndarray:
-            """Ids of known words, gathered in one step."""
-            at = np.fromiter(map(number.__getitem__, words), dtype=np.int64, count=len(words))
-            starts, sizes = edge[at], edge[at + 1] - edge[at]
-            ends = np.cumsum(sizes)
-            return flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)]
+        token, number = numbers(), numbers()
+        seen: list[np.ndarray] = []
+        for blob in left.column("docs"):
+            for t in _unpack(blob.as_py()).column("text"):
+                if t.is_valid:
+                    own = tokens(t.as_py())
+                    seen.append(np.fromiter(map(token.__getitem__, own), dtype=np.int32, count=len(own)))
+        n_words, words = array("i"), array("i")
+        for t in token:
+            own = splitter.findall(t)
+            n_words.append(len(own))
+            words.extend(map(number.__getitem__, own))
+        # the ids of known words come by their places among the block's sorted words; those of long words are added here
+        known = block_words(number)
+        starts, sizes = np.zeros(len(number), dtype=np.int64), np.full(len(number), -1, dtype=np.int64)
+        order = np.fromiter(map(number.__getitem__, known), dtype=np.int64, count=len(known))
+        flat, end = [], 0
+        for row in right.select(["places", "sizes", "ids"]).to_batches():
+            for blobs in zip(*row.columns):
+                places, own, ids = (_from_planes(zstandard.ZstdDecompressor().decompress(b.as_py())) for b in blobs)
+                at = order[np.cumsum(places, dtype=np.int64)]
+                sizes[at], starts[at] = own, end + np.cumsum(own, dtype=np.int64) - own
+                flat.append(ids)
+                end += len(ids)
+        long_words = [w for w in number if len(w) > LONG]
+        lib = library(sentencepiece, file) if long_words else None
+        for w in long_words:
+            ids = np.array(lib.encode(w), dtype=np.int32)
+            starts[number[w]], sizes[number[w]] = end, len(ids)
+            flat.append(ids)
+            end += len(ids)
+        if (sizes < 0).any():
+            raise ValueError("a word of the block has no ids")
+        number.clear()
+        flat = np.concatenate([*flat, np.zeros(0, dtype=np.int32)])
+        words = np.frombuffer(words, dtype=np.int32) if words else np.zeros(0, dtype=np.int32)
+        stops = np.concatenate([[0], np.cumsum(sizes[words])])[np.concatenate([[0], np.cumsum(n_words, dtype=np.int64)])]
+        flat, starts, sizes = gathered(flat, starts, sizes, words), stops[:-1], np.diff(stops)
+        whole = np.array([decode_ids(flat[a:b].tolist(), surfaces, False) == t.replace(SPACE_PIECE, " ") for t, a, b in zip(token, stops[:-1], stops[1:])], dtype=bool)
+        token.clear()
+
+        def trips(text: str, at: np.ndarray, ids: np.ndarray) -> bool:
+            """Whether the ids decode to the text: if each token's do, without decoding the text itself."""
+            return (SPACE_PIECE not in text and bool(whole[at].all())) or decode_ids(ids.tolist(), surfaces, dummy) == text
 
         out: list[pa.Table] = []
+        numbered = iter(seen)
         for blob in left.column("docs"):
             docs_ = _unpack(blob.as_py())
             found, n, trip = [], [], []
             for t in docs_.column("text"):
-                if not t.is_valid:
-                    found.append(None)
-                    n.append(0)
-                    trip.append(None)
-                    continue
-                value = t.as_py()
-                words = splitter.findall(normalise(value))
-                parts, begin = [], 0
-                for i, w in enumerate(words):
-                    if len(w) > LONG:
-                        if w not in long_words:
-                            lib = lib or library(sentencepiece, file)
-                            long_words[w] = np.array(lib.encode(w), dtype=np.int32)
-                        parts += [ids_of(words[begin:i]), long_words[w]]
-                        begin = i + 1
-                parts.append(ids_of(words[begin:]))
-                own = np.concatenate(parts) if len(parts) > 1 else parts[0]
+                at = next(numbered) if t.is_valid else None
+                own = None if at is None else gathered(flat, starts, sizes, at)
                 found.append(own)
-                n.append(len(own))
-                trip.append(decode_ids(own.tolist(), surfaces, dummy) == value)
+                n.append(0 if own is None else len(own))
+                trip.append(None if own is None else trips(t.as_py(), at, own))
             out.append(
                 pa.table({"doc_id": docs_.column("doc_id"), "ids": pa.array(found, pa.list_(pa.int32())), "n_tokens": pa.array(n, pa.int64()), "round_trip": pa.array(trip, pa.bool_())})
             )
@@ -355,13 +450,32 @@ def encode(docs: DataFrame, model: PieceModel, key: str = "doc_id", text: str =
 
     spark = docs.sparkSession
     spark.conf.set(HASHED_GROUPS, str(max(WORD_CHARS, int(spark.conf.get(HASHED_GROUPS)))))
-    pairs = blocks.mapInArrow(words_of, "block bigint, word string").repartition(word_parts, "word")
-    where = pairs.groupBy("word").agg(F.collect_list("block").alias("blocks"))
-    meant = encode_words(where, model).select(F.explode("blocks").alias("block"), "word", "ids")
+    pairs = blocks.sortWithinPartitions("block").mapInArrow(words_of, "place bigint, word string").repartition(word_parts, "word")
+    where = pairs.groupBy("word").agg(F.collect_list("place").alias("places"))
+    meant = encode_words(where, model).select("places", "ids").mapInArrow(_pack_ids, "block bigint, places binary, sizes binary, ids binary")
     both = blocks.groupBy("block").cogroup(meant.groupBy("block"))
     return both.applyInArrow(put_together, "doc_id bigint, ids array<int>, n_tokens bigint, round_trip boolean")
 
 
+def numbers() -> defaultdict[str, int]:
+    """A table that numbers strings as they are asked for."""
+    found: defaultdict[str, int] = defaultdict()
+    found.default_factory = found.__len__
+    return found
+
+
+def gathered(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The runs ``at`` of ``flat`` one after the other; run ``i`` has ``sizes[i]`` values from ``starts[i]`` on."""
+    n = sizes[at]
+    ends = np.cumsum(n)
+    return flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[at] - (ends - n), n)]
+
+
+def block_words(words: Iterable[str]) -> list[str]:
+    """The words of at most ``LONG`` characters in the order that gives their places in a block."""
+    return sorted(w for w in words if len(w) <= LONG)
+
+
 ENCODED = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("n_tokens", pa.int64()), ("round_trip", pa.bool_())])
 
 

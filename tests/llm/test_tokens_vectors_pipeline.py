@@ -1,6 +1,9 @@
 """Encoding against the library, token files, neighbours against brute force, and the pipeline."""
 
+import re
+
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -40,6 +43,25 @@ def test_encoding_is_the_library_s(spark, model):
     assert sorted((r.doc_id, r.n_tokens) for r in bare) == [(0, 0), (1, 0), (2, len(library.encode("z" * 60)))]
 
 
+def test_tokens_are_cut_where_words_are(model):
+    for t in [*[t for t in TEXTS if t], "a b", " a b", "a  b ", "日本ab c", "a▁b c", "x\n y", " ", "▁"]:
+        assert [w for k in model.tokens(t) for w in re.findall(model.pattern, k)] == re.findall(model.pattern, model.normalise(t)), t
+
+
+def test_ids_are_packed_by_block_before_the_shuffle(spark, model):
+    """Ids of words that many blocks share go as few rows, not one for each word and block."""
+    names = [f"{a}{b}" for a in ("stage", "lamp", "curtain") for b in ("", "s", "light")]
+    coded = sentencepiece_lattice.encode(texts(spark, [" ".join(names[i % 3 :]) for i in range(60)]), model, block_chars=200)
+    plan = coded._jdf.queryExecution().executedPlan().toString()
+    assert "explode(blocks" not in plan and "places" in plan
+    library = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_lattice.model_path())
+    assert all(r.ids == library.encode(" ".join(names[r.doc_id % 3 :])) and r.round_trip for r in coded.collect())
+    place = [(b << sentencepiece_lattice.PLACE_BITS) + p for b, p in [(0, 3), (1, 0), (5, 70_000)]]
+    rows = [pa.record_batch({"places": pa.array([place, place[1:2]]), "ids": pa.array([[7, 8], [70_000]], pa.list_(pa.int32()))})]
+    out = {b.column(0)[0].as_py(): b for b in sentencepiece_lattice._pack_ids(iter(rows))}
+    assert sorted(out) == [0, 1, 5] and sum(b.num_rows for b in out.values()) == 3
+
+
 def test_decoding(spark, model):
     coded = sentencepiece_lattice.encode(texts(spark), model).withColumn("decoded2", F.lit(0))
     back = {r.doc_id: r.decoded for r in sentencepiece_lattice.decode(coded, model).collect()}
