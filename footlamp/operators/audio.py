@@ -426,9 +426,10 @@ def compress_envelope(samples: DataFrame, venue: str = "medium", rate: int = 220
     lv = df.groupBy(*KEY).agg(
         (F.max(F.abs("amp")) / (F.sqrt(F.avg(F.col("amp") * F.col("amp"))) + EPS)).alias("__c0"),
         (F.max(F.abs("out")) / (F.sqrt(F.avg(F.col("out") * F.col("out"))) + EPS)).alias("__c1"),
+        F.max("n").alias("__last"),
     )
     fix = F.when(F.col("__c1") > 0, clamp(F.col("__c0") / F.col("__c1"), 0.8, 1.2)).otherwise(1.0)
-    return join_per_key(df, lv, KEY, "n").select(*KEY, "n", (F.col("out") * fix).alias("amp"))
+    return join_per_key(df, lv, KEY, "n", last=F.col("__last")).select(*KEY, "n", (F.col("out") * fix).alias("amp"))
 
 
 def smooth_and_normalise(samples: DataFrame, target: float = 0.95) -> DataFrame:
@@ -445,12 +446,12 @@ def smooth_and_normalise(samples: DataFrame, target: float = 0.95) -> DataFrame:
 def scale_peak(df: DataFrame, keys: list[str], cols: list[str], target: float = 0.95) -> DataFrame:
     """Scale all ``cols`` of a key so that its peak is at most ``target``."""
     top = F.greatest(*[F.abs(c) for c in cols]) if len(cols) > 1 else F.abs(cols[0])
-    lv = df.groupBy(*keys).agg(F.max(top).alias("__p"))
+    lv = df.groupBy(*keys).agg(F.max(top).alias("__p"), F.max("n").alias("__last"))
     k = F.when(F.col("__p") > target, F.lit(target) / F.col("__p")).otherwise(1.0)
-    out = join_per_key(df, lv, keys, "n")
+    out = join_per_key(df, lv, keys, "n", last=F.col("__last"))
     for c in cols:
         out = out.withColumn(c, F.col(c) * k)
-    return out.drop("__p")
+    return out.drop("__p", "__last")
 
 
 # Space --------------------------------------------------------------------------------------------
@@ -506,7 +507,7 @@ def shift_audio(samples: DataFrame, delay_ms: float, rate: int) -> DataFrame:
         pad = keys.select(*KEY, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(d - 1).cast("bigint"))).alias("n"), F.lit(0.0).alias("amp"))
         return samples.withColumn("n", F.col("n") + d).unionByName(pad)
     total = samples.groupBy(*KEY).agg((F.max("n") + 1).alias("__t"))
-    df = join_per_key(samples, total, KEY, "n")
+    df = join_per_key(samples, total, KEY, "n", last=F.col("__t") - 1)
     short = F.lit(-d) >= F.col("__t")
     kept = df.where(short | (F.col("n") >= -d))
     return kept.select(*KEY, F.when(short, F.col("n")).otherwise(F.col("n") + d).alias("n"), "amp")
@@ -539,9 +540,9 @@ def remix(dialogue: DataFrame, music: DataFrame, dialogue_db: float = 0.0, music
     m = music.select("asset_id", "n", F.col("amp").alias("__m"))
     df = dialogue.join(m, ["asset_id", "n"], "left")
     df = df.select("asset_id", "n", (F.col("amp") * a + F.coalesce("__m", F.lit(0.0)) * b).alias("amp"))
-    top = df.groupBy("asset_id").agg(F.max(F.abs("amp")).alias("__p"))
+    top = df.groupBy("asset_id").agg(F.max(F.abs("amp")).alias("__p"), F.max("n").alias("__last"))
     k = F.when(F.col("__p") > 0, F.lit(10 ** (-headroom_db / 20)) / F.col("__p")).otherwise(1.0)
-    return join_per_key(df, top, ["asset_id"], "n").select("asset_id", "n", (F.col("amp") * k).alias("amp"))
+    return join_per_key(df, top, ["asset_id"], "n", last=F.col("__last")).select("asset_id", "n", (F.col("amp") * k).alias("amp"))
 
 
 # Choices ------------------------------------------------------------------------------------------

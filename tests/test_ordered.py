@@ -5,8 +5,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from footlamp.plans.joins import join_per_key
-from footlamp.plans.ordered import asof_last, exact_percentiles, in_ranges, number_rows, running_sums, sliding
+from footlamp.plans.joins import in_parts, join_per_key
+from footlamp.plans.ordered import CHUNK, asof_last, exact_percentiles, in_ranges, number_rows, running_sums, sliding
 
 
 @pytest.fixture(scope="module")
@@ -119,3 +119,13 @@ def test_join_per_key_left(data):
     some = df.where("k < 3").groupBy("k").agg(F.max("v").alias("top"))
     got = fetch(join_per_key(df, some, ["k"], "t", "left"))
     assert len(got) == len(pdf) and got["top"].isna().sum() == (pdf["k"] >= 3).sum()
+
+
+def test_join_per_key_repeats_the_summary_only_for_ranges_that_a_key_has(spark):
+    """Keys of few rows have one summary row each in the join, a key over three ranges has three; every row is joined once."""
+    df = spark.sql(f"SELECT 0 AS k, id * {CHUNK} DIV 2 AS t FROM range(6) UNION ALL SELECT id + 1 AS k, 0 AS t FROM range(50)")
+    df = df.unionByName(spark.sql("SELECT 1 AS k, CAST(NULL AS bigint) AS t UNION ALL SELECT 2 AS k, -3L AS t"))
+    top = df.groupBy("k").agg(F.max("t").alias("last"))
+    got = join_per_key(df, top, ["k"], "t", last=F.col("last"))
+    assert got.count() == df.count() and got.where("t > last").count() == 0
+    assert in_parts(top, F.col("last")).count() == 53
