@@ -1,9 +1,14 @@
 """Near copies of the pipeline against brute force."""
 
+import itertools
 import random
 
+import numpy as np
+import pyarrow as pa
+import pytest
+
 import corpus_pipeline
-from footlamp.llm import near_copies
+from footlamp.llm import near_copies, simhash
 
 COLUMNS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -79,3 +84,57 @@ def test_texts_not_asked_for_are_not_shuffled(spark):
         n = asked.count()
         assert n <= kept.count() <= n + 40
         assert kept.join(asked, ["no_id", "id", "key"]).count() == n
+
+
+def test_pairs_grow_with_a_group_not_with_its_square(spark, monkeypatch):
+    """Copies of one text that are like it but not each other, and copies of a text that is not there: pairs to measure were some 40 a text."""
+    rng = random.Random(8)
+    bases = [[f"w{rng.randrange(3000)}" for _ in range(150)] for _ in range(2)]
+    texts = [" ".join(edited(rng, b, rng.choice((2, 3, 3)))) for b in bases for _ in range(200)] + [" ".join(bases[0])]
+    rows = list(enumerate(texts))
+    asked, verified = [], near_copies.verified
+
+    def counted(pairs, nodes, whole):
+        asked.append(pairs.count())
+        return verified(pairs, nodes, whole)
+
+    monkeypatch.setattr(near_copies, "verified", counted)
+    docs = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in rows], COLUMNS)
+    kept = sorted(r.doc_id for r in near_copies.deduplicate(docs).collect())
+    assert kept == plain_kept(rows)[0]
+    assert sum(asked) < 8 * len(rows), asked
+
+
+def test_fingerprints_are_linked_by_the_pivot_cells_first(spark, monkeypatch):
+    """The stage left SimHash and its pivot cells out; their links are measured first, and copies beyond 3 bits are still found."""
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(3000)}" for _ in range(3000)]
+    texts = [" ".join(edited(rng, base, edits)) for edits in (0, 1, 1, 1, 2, 60, 60, 300)]
+    asked, links = [], simhash.links
+    monkeypatch.setattr(simhash, "links", lambda distinct: asked.append(links(distinct).count()) or links(distinct))
+    docs = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in enumerate(texts)], COLUMNS)
+    kept = sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect())
+    assert kept == plain_kept(list(enumerate(texts)))[0] and len(kept) < len(texts) - 4
+    assert len(asked) == 1 and asked[0] > 0
+
+
+def test_candidates_are_those_of_every_pair():
+    """Pairs of a list, whatever the slices of it, against a loop over all pairs."""
+    rng = np.random.default_rng(5)
+    lists = []
+    for size in (2, 5, 0, 1, 60):
+        n = rng.integers(20, 26, size)
+        lists.append([{"node": int(rng.integers(1 << 40)), "n": int(k), "at": int(rng.integers(4)), "root": int(rng.integers(3)), "small": [int(x) for x in rng.integers(0, 16, near_copies.SMALL) // 8]} for k in n])
+    member = pa.struct([("node", pa.int64()), ("n", pa.int64()), ("at", pa.int32()), ("root", pa.int64()), ("small", pa.list_(pa.int64()))])
+    want = set()
+    for members in lists:
+        for a, b in itertools.combinations(members, 2):
+            apart = sum((x ^ y).bit_count() for x, y in zip(a["small"], b["small"]))
+            most = min(a["n"] - a["at"], b["n"] - b["at"], a["n"], b["n"], (a["n"] + b["n"] - apart) / 2)
+            if a["root"] != b["root"] and 9 * most >= 4 * (a["n"] + b["n"]):
+                want.add((a["node"], b["node"]))
+    for pairs in (1, 7, 10_000):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(near_copies, "PAIRS", pairs)
+            got = [p for u, v, _ in near_copies._candidates(pa.array(lists, pa.list_(member))) for p in zip(u.tolist(), v.tolist())]
+        assert set(got) == want and len(got) == len(want) > 100
