@@ -87,7 +87,7 @@ def test_texts_not_asked_for_are_not_shuffled(spark):
 
 
 def test_pairs_grow_with_a_group_not_with_its_square(spark, monkeypatch):
-    """Copies of one text that are like it but not each other, and copies of a text that is not there: pairs to measure were some 40 a text."""
+    """Copies of one text that are like it but not each other, and copies of a text that is not there."""
     rng = random.Random(8)
     bases = [[f"w{rng.randrange(3000)}" for _ in range(150)] for _ in range(2)]
     texts = [" ".join(edited(rng, b, rng.choice((2, 3, 3)))) for b in bases for _ in range(200)] + [" ".join(bases[0])]
