@@ -137,6 +137,11 @@ def digit(i: int) -> Column:
     return F.floor(F.col("pattern") / F.lit(3**i)).cast("int") % 3
 
 
+def slots(n_rules: int) -> Column:
+    """0, which every pattern has, then ``3 * rule + digit + 1`` for each rule of column ``pattern``."""
+    return F.array(F.lit(0), *[F.lit(3 * i + 1) + digit(i) for i in range(n_rules)])
+
+
 @dataclass(frozen=True)
 class VoteModel:
     """Share of good documents, and a rule's accuracy on good and on bad ones when it votes."""
@@ -145,45 +150,52 @@ class VoteModel:
     on_good: tuple[float, ...]
     on_bad: tuple[float, ...]
 
-    def posterior(self) -> Column:
-        """Probability of being good for column ``pattern``; rules count as independent given the truth."""
-        good, bad = F.lit(self.good), F.lit(1 - self.good)
-        for i, (g, b) in enumerate(zip(self.on_good, self.on_bad)):
-            vote = digit(i)
-            good = good * F.when(vote == 2, g).when(vote == 0, 1 - g).otherwise(1.0)
-            bad = bad * F.when(vote == 2, 1 - b).when(vote == 0, b).otherwise(1.0)
-        return good / (good + bad)
+    def posterior(self, slots: Column) -> Column:
+        """Probability of being good for an array of ``slots``; rules count as independent given the truth.
+
+        The numbers go in as two arrays, so that the plan and its code are small and the same whatever they are.
+        """
+        good = [self.good, *[x for g in self.on_good for x in (1 - g, 1.0, g)]]
+        bad = [1 - self.good, *[x for b in self.on_bad for x in (b, 1.0, 1 - b)]]
+        g, b = (F.aggregate(F.transform(slots, lambda s: F.element_at(F.lit(of), s + 1)), F.lit(1.0), lambda p, x: p * x) for of in (good, bad))
+        return g / (g + b)
 
 
 def bounded(value: float, least: float, most: float) -> float:
     return min(most, max(least, value))
 
 
+def vote_sums(patterns: DataFrame, model: VoteModel) -> DataFrame:
+    """``slot, n, good, bad``: documents of ``patterns`` (``slots, n``) with each slot, and how many of them are good and bad by the model."""
+    p = patterns.select("slots", "n", model.posterior(F.col("slots")).alias("p"))
+    each = p.select(F.explode("slots").alias("slot"), "n", (F.col("n") * F.col("p")).alias("good"), (F.col("n") * (1 - F.col("p"))).alias("bad"))
+    return each.groupBy("slot").agg(*[F.sum(c).alias(c) for c in ("n", "good", "bad")])
+
+
 def estimate(patterns: DataFrame, n_rules: int, rounds: int = ROUNDS) -> VoteModel:
-    """Expectation-maximisation over ``pattern, n``; a round is one aggregate and gives one row.
+    """Expectation-maximisation over ``slots, n``; a round is one aggregate and gives a row for each rule and vote.
 
     There are at most ``3 ** n_rules`` patterns however many documents there are. Accuracy on bad documents is
     at least what makes a vote for good no evidence against: the share of good votes on good ones, turned round.
     """
     model = VoteModel(START_GOOD, (START_ON_GOOD,) * n_rules, (START_ON_BAD,) * n_rules)
     for _ in range(rounds):
-        p = patterns.withColumn("p", model.posterior())
-        sums = []
-        for i in range(n_rules):
-            for name, vote, weight in (("gg", 2, F.col("p")), ("gb", 0, F.col("p")), ("bg", 2, 1 - F.col("p")), ("bb", 0, 1 - F.col("p"))):
-                sums.append(F.sum(F.when(digit(i) == vote, F.col("n") * weight).otherwise(0.0)).alias(f"{name}{i}"))
-        row = p.agg(F.sum(F.col("n") * F.col("p")).alias("good"), F.sum("n").alias("n"), *sums).first()
-        if not row["n"]:
+        sums = {r.slot: r for r in vote_sums(patterns, model).collect()}
+        if not sums:
             break
+
+        def times(column: str, rule: int, vote: int) -> float:
+            return sums[s][column] if (s := 3 * rule + vote + 1) in sums else 0.0
+
         on_good = [
-            bounded((row[f"gg{i}"] + PSEUDO * START_ON_GOOD) / (row[f"gg{i}"] + row[f"gb{i}"] + PSEUDO), LEAST_ON_GOOD, MOST_ON_GOOD)
+            bounded((times("good", i, 2) + PSEUDO * START_ON_GOOD) / (times("good", i, 2) + times("good", i, 0) + PSEUDO), LEAST_ON_GOOD, MOST_ON_GOOD)
             for i in range(n_rules)
         ]
         on_bad = [
-            bounded((row[f"bb{i}"] + PSEUDO * START_ON_BAD) / (row[f"bg{i}"] + row[f"bb{i}"] + PSEUDO), max(LEAST_ON_BAD, 1 - on_good[i]), MOST_ON_BAD)
+            bounded((times("bad", i, 0) + PSEUDO * START_ON_BAD) / (times("bad", i, 2) + times("bad", i, 0) + PSEUDO), max(LEAST_ON_BAD, 1 - on_good[i]), MOST_ON_BAD)
             for i in range(n_rules)
         ]
-        share = (row["good"] + PSEUDO * START_GOOD) / (row["n"] + PSEUDO)
+        share = (sums[0]["good"] + PSEUDO * START_GOOD) / (sums[0]["n"] + PSEUDO)
         model = VoteModel(bounded(share, LEAST_GOOD, MOST_GOOD), tuple(on_good), tuple(on_bad))
     return model
 
@@ -195,9 +207,10 @@ def judge(counted: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
     since every rule is held to be better than a coin and most documents to be good.
     """
     voted = counted.withColumn("pattern", vote_pattern(rules))
-    patterns = cut_lineage(voted.where(~F.col("base_failed")).groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).coalesce(1))
+    patterns = voted.where(~F.col("base_failed")).groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
+    patterns = cut_lineage(patterns.select(slots(len(rules)).alias("slots"), "n").coalesce(1))
     model = estimate(patterns, len(rules))
-    kept = ~F.col("base_failed") & (model.posterior() >= THRESHOLD)
+    kept = ~F.col("base_failed") & (model.posterior(slots(len(rules))) >= THRESHOLD)
     return voted.withColumn("kept", kept).drop("pattern")
 
 

@@ -87,17 +87,18 @@ def signed(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def cell_numbers(fp: Column) -> Column:
-    """One cell number for each choice of 3 of 6 blocks: the distances to the references inside those blocks."""
+def cells(distinct: DataFrame) -> DataFrame:
+    """``fp, cell``: a cell number for each choice of 3 of 6 blocks, the distances to the references inside those blocks.
+
+    The choices are exploded first, so the plan holds one number's distances and not those of all.
+    """
     edges = [64 * i // BLOCKS for i in range(BLOCKS + 1)]
-    masks = [((1 << edges[i + 1]) - (1 << edges[i])) for i in range(BLOCKS)]
-    cells = []
-    for n, chosen in enumerate(combinations(masks, BLOCKS - RADIUS)):
-        mask = F.lit(signed(sum(chosen)))
-        distances = [F.bit_count(fp.bitwiseXOR(F.lit(signed(int(r)))).bitwiseAND(mask)).cast("bigint") for r in REFERENCES[:CELL_REFERENCES]]
-        packed = reduce(lambda a, d: F.shiftleft(a, 5).bitwiseOR(d.bitwiseAND(F.lit(31))), distances, F.lit(n).cast("bigint"))
-        cells.append(packed)
-    return F.array(*cells)
+    blocks = [((1 << edges[i + 1]) - (1 << edges[i])) for i in range(BLOCKS)]
+    chosen = [signed(sum(c)) for c in combinations(blocks, BLOCKS - RADIUS)]
+    each = distinct.select("fp", F.posexplode(F.lit(chosen).cast("array<bigint>")).alias("n", "mask"))
+    distances = [F.bit_count(F.col("fp").bitwiseXOR(F.lit(signed(int(r)))).bitwiseAND(F.col("mask"))).cast("bigint") for r in REFERENCES[:CELL_REFERENCES]]
+    packed = reduce(lambda a, d: F.shiftleft(a, 5).bitwiseOR(d.bitwiseAND(F.lit(31))), distances, F.col("n").cast("bigint"))
+    return each.select("fp", packed.alias("cell"))
 
 
 def forest(members: np.ndarray, radius: int = RADIUS, rows: int = 256) -> tuple[np.ndarray, np.ndarray]:
@@ -151,7 +152,7 @@ def links(distinct: DataFrame, part: int = CELL_PART) -> DataFrame:
     A cell of more than ``part`` members is dealt into parts and every two of them are compared in a task of
     their own, so no task gets more than about twice ``part`` members and no comparison is left out.
     """
-    members = distinct.select("fp", F.explode(cell_numbers(F.col("fp"))).alias("cell"))
+    members = cells(distinct)
     full = members.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     parts = F.ceil(F.col("n") / F.lit(part)).cast("int")
     own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")

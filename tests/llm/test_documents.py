@@ -345,3 +345,55 @@ def test_toxicity_words_of_few_examples_and_calibration(spark):
         part = [r for r in got if low <= r.score < high]
         if len(part) >= 30:
             assert abs(sum(r.score for r in part) / len(part) - sum(r.toxic for r in part) / len(part)) < 0.15
+
+
+def plain_model(patterns, n_rules):
+    """The rounds of ``quality.estimate`` over ``pattern: n`` in plain Python, patterns in order."""
+    digits = {p: [p // 3**i % 3 for i in range(n_rules)] for p in patterns}
+    good, on_good, on_bad = quality.START_GOOD, [quality.START_ON_GOOD] * n_rules, [quality.START_ON_BAD] * n_rules
+    for _ in range(quality.ROUNDS):
+        p = {}
+        for k, d in digits.items():
+            a, b = good, 1 - good
+            for v, g, w in zip(d, on_good, on_bad):
+                a, b = a * (1 - g, 1.0, g)[v], b * (w, 1.0, 1 - w)[v]
+            p[k] = a / (a + b)
+        say = lambda i, v, f: sum(n * f(p[k]) for k, n in patterns.items() if digits[k][i] == v)
+        bad_of, size = (lambda x: 1 - x), quality.PSEUDO
+        gs = [(say(i, 2, float), say(i, 0, float)) for i in range(n_rules)]
+        bs = [(say(i, 0, bad_of), say(i, 2, bad_of)) for i in range(n_rules)]
+        on_good = [quality.bounded((a + size * quality.START_ON_GOOD) / (a + b + size), quality.LEAST_ON_GOOD, quality.MOST_ON_GOOD) for a, b in gs]
+        on_bad = [quality.bounded((a + size * quality.START_ON_BAD) / (a + b + size), max(quality.LEAST_ON_BAD, 1 - g), quality.MOST_ON_BAD) for (a, b), g in zip(bs, on_good)]
+        share = (sum(n * p[k] for k, n in patterns.items()) + size * quality.START_GOOD) / (sum(patterns.values()) + size)
+        good = quality.bounded(share, quality.LEAST_GOOD, quality.MOST_GOOD)
+    return [good, *on_good, *on_bad]
+
+
+def test_votes_are_estimated_as_in_plain_python(spark):
+    """Patterns in which every rule votes, and in which some votes never occur."""
+    rng = np.random.default_rng(11)
+    for patterns in ({int(k): int(rng.integers(1, 5000)) for k in rng.choice(3**4, 40, replace=False)}, {3**4 - 1: 7, 3**4 // 2: 2}):
+        rows = spark.createDataFrame(list(patterns.items()), "pattern int, n bigint").select(quality.slots(4).alias("slots"), "n").coalesce(1)
+        m = quality.estimate(rows, 4)
+        assert np.allclose([m.good, *m.on_good, *m.on_bad], plain_model(patterns, 4), rtol=1e-12, atol=0)
+    assert quality.estimate(rows.limit(0), 4).good == quality.START_GOOD
+
+
+def plan_size(df, capsys):
+    capsys.readouterr()
+    df.explain(True)
+    return len(capsys.readouterr().out)
+
+
+def test_driver_holds_small_plans(spark, capsys, monkeypatch):
+    """Every round of the votes and the cells of fingerprints had a plan of 47,000 characters and more, which the driver had to plan and compile."""
+    rounds, model = [], quality.VoteModel(0.9, (0.9,) * len(quality.RULES), (0.4,) * len(quality.RULES))
+    monkeypatch.setattr(quality, "estimate", lambda patterns, n_rules: rounds.append(patterns) or model)
+    counts = "1L doc_id, 60L n_words, 300L word_chars, 0L n_symbols, 0L n_dup_lines, 0L n_repeat_words, 5L n_lines, 290L n_letters, false base_failed"
+    counted = spark.range(9).selectExpr(*counts.replace("L ", "L AS ").replace("false ", "false AS ").split(", "))
+    from footlamp.plans.storage import cut_lineage
+
+    assert plan_size(quality.judge(cut_lineage(counted)), capsys) < 40_000
+    assert plan_size(quality.vote_sums(rounds[0], model), capsys) < 20_000
+    fps = cut_lineage(spark.range(9).select(F.xxhash64("id").alias("fp")))
+    assert plan_size(simhash.links(fps), capsys) < 60_000
