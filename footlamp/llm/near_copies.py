@@ -251,17 +251,25 @@ def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def links(postings: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links ``u, v`` that join the nodes of ``postings`` (``shingle, node, n, at``) exactly as all similar pairs do."""
+    """Links ``u, v`` that join the nodes of ``postings`` (``shingle, node, n, at``) exactly as all similar pairs do.
+
+    The pairs, sets and rooted postings of a step are deleted before the next one, so only the links of all steps add up on disk.
+    """
+    spark = postings.sparkSession
     open_ = nodes.join(postings.select("node").distinct(), "node", "left_semi")
-    found = cut_lineage(verified(alike(open_.select("node", "fp")), nodes, texts))
+    found = result_only(spark, lambda: verified(alike(open_.select("node", "fp")), nodes, texts))
     for nearest in [True] * ROUNDS + [False]:
-        roots = cut_lineage(components(found)).select("node", "root")
-        rooted = postings.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        pairs = compared(cut_lineage(rooted), nodes, nearest)
-        found = found.unionByName(cut_lineage(verified(pairs, nodes, texts)))
+        found = found.unionByName(result_only(spark, lambda: verified(open_pairs(postings, found, nodes, nearest), nodes, texts)))
     return found
 
 
+def open_pairs(postings: DataFrame, found: DataFrame, nodes: DataFrame, nearest: bool) -> DataFrame:
+    """``compared`` pairs of nodes that the links ``found`` do not join yet."""
+    roots = cut_lineage(components(found)).select("node", "root")
+    rooted = postings.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return compared(cut_lineage(rooted), nodes, nearest)
+
+
 def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, key, g`` of every row; rows of one ``g`` are joined by texts of Jaccard 4/5 or more.
 

@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -9,6 +10,7 @@ import pytest
 
 import corpus_pipeline
 from footlamp.llm import near_copies, simhash
+from footlamp.plans import storage
 
 COLUMNS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -138,3 +140,22 @@ def test_candidates_are_those_of_every_pair():
             patch.setattr(near_copies, "PAIRS", pairs)
             got = [p for u, v, _ in near_copies._candidates(pa.array(lists, pa.list_(member))) for p in zip(u.tolist(), v.tolist())]
         assert set(got) == want and len(got) == len(want) > 100
+
+
+def test_sets_of_a_step_are_deleted_before_the_next(spark, monkeypatch, tmp_path):
+    """Sets, pairs and rooted postings of all four steps lay on disk until the last one ended."""
+    rng = random.Random(12)
+    bases = [[f"w{rng.randrange(3000)}" for _ in range(150)] for _ in range(3)]
+    rows = list(enumerate(" ".join(edited(rng, b, rng.choice((0, 1, 3)))) for b in bases for _ in range(20)))
+    left, compared = [], near_copies.compared
+
+    def looked(postings, nodes, nearest):
+        tables = [spark.read.parquet(str(p)).columns for p in tmp_path.iterdir()]
+        left.append((sum("members" in t for t in tables), sum({"shingle", "root"} <= set(t) for t in tables)))
+        return compared(postings, nodes, nearest)
+
+    monkeypatch.setattr(near_copies, "compared", looked)
+    monkeypatch.setattr(storage, "scratch_dir", lambda spark, purpose: f"{tmp_path}/{purpose}-{uuid.uuid4().hex}")
+    docs = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in rows], COLUMNS)
+    assert sorted(r.doc_id for r in near_copies.deduplicate(docs).collect()) == plain_kept(rows)[0]
+    assert left == [(0, 1)] * (near_copies.ROUNDS + 1)
